@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import minhash, quality
 
 QUERIES = {
+    "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_minhash_near_dedup": minhash.OP4_SQL,
+}

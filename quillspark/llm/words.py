@@ -144,7 +144,7 @@ def spans_of(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def shingles(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each row's distinct runs of so many words; a row with fewer words has the whole sequence as its only one."""
+    """(row, hash), by row, of each row's distinct runs of so many words; a row with fewer words has the whole sequence as its only one."""
     hashes, left = words.hashes(), words.left()
     whole = runs(hashes, length)
     at = np.flatnonzero(left[: len(whole)] >= length)
@@ -152,7 +152,7 @@ def shingles(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.concatenate([words.rows[at], few])
     found = np.concatenate([whole[at], mix(spans_of(hashes, words.first[few], words.first[few + 1]) + words.counts[few].astype(U))])
     _, index = np.unique(found ^ mix(rows.astype(U) + U(1)), return_index=True)
-    index.sort()
+    index = index[np.argsort(rows[index], kind="stable")]
     return rows[index], found[index]
 
 
