@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, quality
+from . import minhash, quality, substring
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
 }
 ORACLE_SQL = {
     "op4_minhash_near_dedup": minhash.OP4_SQL,
+    "op6_substring_dedup": substring.OP6_SQL,
 }
