@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash, quality, substring
+from . import minhash, mixing, quality, substring
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op2_quality_rules": quality.op2_quality_rules,
 }
 ORACLE_SQL = {
     "op4_minhash_near_dedup": minhash.OP4_SQL,
     "op6_substring_dedup": substring.OP6_SQL,
+    "op3_mix_sources": mixing.OP3_SQL,
 }
