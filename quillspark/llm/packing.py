@@ -36,7 +36,7 @@ WINDOW, END_ID = 2048, 1
 SHARD_DOCS, SHARD_TOKENS, PARTITION_TOKENS, QUERY_TOKENS = 2048, 1_500_000, 3_000_000, 24
 K1, B = 1.2, 0.75
 #: White space as the pre-tokenizer has it (Unicode's property White_Space): fixed values.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
