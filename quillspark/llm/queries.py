@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, substring
+from . import licenses, minhash, mixing, packing, quality, substring
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_pack_documents": packing.op5_pack_documents,
+    "op9_license_scan": licenses.op9_license_scan,
     "op2_quality_rules": quality.op2_quality_rules,
 }
 ORACLE_SQL = {

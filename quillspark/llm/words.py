@@ -160,11 +160,11 @@ def joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays([x.cast(kind) if x.type != kind else x for x in parts]) if parts else pa.array([], kind)
 
 
-def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+def lists(values: np.ndarray | pa.Array, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column with counts[r] of the values in row r."""
     at = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=at[1:])
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(at), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
