@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, minhash, mixing, packing, quality, substring
+from . import chat, licenses, minhash, mixing, packing, quality, substring
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_pack_documents": packing.op5_pack_documents,
     "op9_license_scan": licenses.op9_license_scan,
+    "op1_chat_format": chat.op1_chat_format,
     "op2_quality_rules": quality.op2_quality_rules,
 }
 ORACLE_SQL = {
