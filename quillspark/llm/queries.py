@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, minhash, mixing, packing, quality, substring
+from . import chat, embeddings, licenses, minhash, mixing, packing, quality, substring
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_pack_documents": packing.op5_pack_documents,
     "op9_license_scan": licenses.op9_license_scan,
     "op1_chat_format": chat.op1_chat_format,
+    "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
 }
 ORACLE_SQL = {
     "op4_minhash_near_dedup": minhash.OP4_SQL,
     "op6_substring_dedup": substring.OP6_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
+    "op7_embedding_near_dedup": embeddings.OP7_SQL,
 }
