@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, minhash, mixing, packing, quality, substring, tokencount
+from . import chat, embeddings, licenses, minhash, mixing, packing, quality, recurrent, substring, tokencount
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op8_token_counts": tokencount.op8_token_counts,
+    "op10_language_model": recurrent.op10_language_model,
     "op2_quality_rules": quality.op2_quality_rules,
 }
 ORACLE_SQL = {
