@@ -8,11 +8,11 @@ doc_id. The steps, each over all documents:
    owned by its smallest doc_id. Consecutive windows of an owner form a passage;
 3. passages are dealt to shards of bounded size and cut into phrases of 25 words, one in every 50-word window.
    A shard's phrases are compiled into an automaton over word hashes, and every document that has an
-   anchor of one of the shard's passages is streamed through it. At each hit the passage is laid along the
-   document; runs of at least 50 equal words are occurrences, and go if the owner's doc_id is smaller.
+   anchor of one of the shard's passages is streamed through it. The windows around each hit are looked up
+   among the shard's; those found are occurrences, and go if the owner's doc_id is smaller.
 Shards whose documents are many are salted: each salt compiles the same automaton for its share of documents.
 
-Words are compared by 64-bit hashes. Defined results: a null text has no words; a null doc_id neither causes
+Words and windows are compared by 64-bit hashes. Defined results: a null text has no words; a null doc_id neither causes
 nor suffers removals; rows with equal doc_id don't remove each other's words; extra columns pass through
 remove_repeats(); an empty table gives an empty result.
 """
@@ -138,37 +138,39 @@ def letters(hashes: np.ndarray) -> tuple[int, ...]:
 
 
 class PassageFinder:
-    """An automaton over the 25-word phrases of some passages."""
+    """An automaton over the 25-word phrases of some passages, and the passages' windows to confirm its hits."""
 
     def __init__(self, owners: list[int], passages: list[np.ndarray]):
         import ahocorasick
 
-        self.owners, self.passages = owners, passages
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for i, words in enumerate(passages):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for words in passages:
             whole = letters(words)
             for at in range(0, len(whole) - PHRASE + 1, PHRASE):
-                places.setdefault(whole[at : at + PHRASE], []).append((i, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, where in places.items():
-            self.automaton.add_word(phrase, where)
+                self.automaton.add_word(whole[at : at + PHRASE])
         self.automaton.make_automaton()
+        windows = [runs(words.view(U), WINDOW) for words in passages]
+        owned, order = np.unique(np.concatenate(windows), return_index=True)  # each window has one owner
+        self.windows = owned
+        self.owners = np.repeat(np.array(owners, np.int64), [len(w) for w in windows])[order]
 
     def removed(self, doc_id: int, words: np.ndarray) -> list[tuple[int, int]]:
-        """The runs (start, end) of at least 50 words that a passage of a smaller document holds."""
-        out, seen = [], set()
-        for last, where in self.automaton.iter(letters(words)):
-            for i, at in where:
-                shift = last - PHRASE + 1 - at
-                if self.owners[i] >= doc_id or (i, shift) in seen:
-                    continue
-                seen.add((i, shift))
-                passage = self.passages[i]
-                low, high = max(0, shift), min(len(words), shift + len(passage))
-                equal = np.concatenate([[False], words[low:high] == passage[low - shift : high - shift], [False]])
-                edges = np.flatnonzero(equal[1:] != equal[:-1]).reshape(-1, 2)
-                out += [(low + a, low + b) for a, b in edges.tolist() if b - a >= WINDOW]
-        return out
+        """The runs (start, end) of words in windows that a passage of a smaller document holds."""
+        if len(words) < WINDOW:
+            return []
+        last = np.fromiter((end for end, _ in self.automaton.iter(letters(words))), np.int64)
+        # the windows that hold a phrase found: they start up to 25 words before it
+        near = np.zeros(len(words) + WINDOW + 1, np.int64)
+        np.add.at(near, np.maximum(0, last - WINDOW + 1), 1)
+        np.add.at(near, last - PHRASE + 2, -1)
+        starts = np.flatnonzero(np.cumsum(near)[: len(words) - WINDOW + 1] > 0)
+        if not len(starts):
+            return []
+        found = runs(words.view(U), WINDOW)[starts]
+        at = np.minimum(np.searchsorted(self.windows, found), len(self.windows) - 1)
+        starts = starts[(self.windows[at] == found) & (self.owners[at] < doc_id)]
+        cuts = np.flatnonzero(np.diff(starts) > WINDOW) + 1
+        return [(int(x[0]), int(x[-1]) + WINDOW) for x in np.split(starts, cuts) if len(x)]
 
 
 def locate(phrases: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
