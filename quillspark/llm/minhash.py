@@ -9,8 +9,10 @@ concentrates about their similarity as that of t independent MinHashes does.
 Linking, without all pairs of a group:
 1. equal shingle sets become one class (an aggregate by the set's 128-bit hash);
 2. in each band bucket every class meets only the bucket's smallest class; verified links give components;
-3. buckets in which more than one component is left (only those) join class with class across
-   components, where the sketches' sign bits don't rule 0.75 out; verified links give the components.
+3. only buckets in which more than one component is left go on. Classes of different components in a bucket of up to
+   SMALL are paired where the sketches' sign bits don't rule 0.75 out, and verified. The larger buckets of one
+   smallest class are taken together and cut into blocks of bounded size; each pair of blocks is compared in one task, as
+   a product of membership matrices, and gives one link for two components at most. No pairs are written out.
 Each pair that shares a bucket is thus verified or already connected. 32 bands of 4 rows miss a pair of
 similarity 0.75 with probability 5e-6, and a pair of 0.8 with 5e-8. The sign-bit filter of step 3 passes a
 pair of 0.75 or more but for 2e-7.
@@ -22,6 +24,8 @@ by near_duplicates() and passed through by filter_documents(); an empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +37,8 @@ from .words import U, Words, joined, lists, mix, shingles, signed, slices
 
 SHINGLE, SIMILARITY = 5, 0.75
 BINS, ROWS, MOST_SIGNS = 128, 4, 40
+#: Classes in a bucket that are paired as rows; shingles in a block of a larger one; block pairs in a task.
+SMALL, BLOCK_SHINGLES, PAIRS_A_TASK = 16, 80_000, 8
 
 
 def similarity_sketch(rows: np.ndarray, found: np.ndarray, n_rows: int, bins: int = BINS) -> np.ndarray:
@@ -114,6 +120,64 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", check("text_a", "text_b").alias("ok")).where("ok").select("a", "b")
 
 
+def set_of(text: pa.Array) -> pa.Array:
+    """Each text's shingle set as bytes."""
+    out: list[bytes] = []
+    for part in slices(text):
+        rows, found = shingles(Words(part, lower=True), SHINGLE)
+        out += [x.tobytes() for x in np.split(found, np.searchsorted(rows, np.arange(1, len(part))))]
+    return pa.array(out, pa.binary())
+
+
+def similar_in_blocks(a: list[dict], b: list[dict], columns: int = 4096) -> list[tuple[int, int]]:
+    """For every two components with members in blocks a and b, one pair of members that are similar enough, if any."""
+    sets = [np.frombuffer(m["set"], U) for m in [*a, *b]]
+    sizes = np.array([len(x) for x in sets])
+    shared, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    rank = np.cumsum(times > 1) - 1
+    common = times[column] > 1
+    rows, column = rows[common], rank[column[common]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        at = slice(*np.searchsorted(column, [low, low + columns]))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[rows[at], column[at] - low] = 1
+        both += m[: len(a)] @ m[len(a) :].T
+    union = sizes[: len(a), None] + sizes[None, len(a) :] - both
+    labels = [np.array([m["label"] for m in x], np.int64) for x in (a, b)]
+    i, j = np.nonzero((both > 0) & (both >= SIMILARITY * union) & (labels[0][:, None] != labels[1][None, :]))
+    _, first = np.unique(np.stack([labels[0][i], labels[1][j]]), axis=1, return_index=True)
+    return [(a[i[k]]["rep"], b[j[k]]["rep"]) for k in first]
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            a, b = (batch.column(c)[r].as_py() for c in ("members_a", "members_b"))
+            if found := similar_in_blocks(a, b):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+
+def links_in_blocks(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components among the members of each hub's group: (hub, rep, label, n_shingles)."""
+    cuts = groups.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = store.write(groups.join(cuts, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "placed")
+    reps = placed.select("rep").distinct()
+    sets = docs.join(reps, docs["doc_id"] == reps["rep"]).select("rep", F.arrow_udf(set_of, T.BinaryType()).asNondeterministic()("text").alias("set"))
+    blocks = placed.join(sets, "rep").groupBy("hub", "block").agg(F.collect_list(F.struct("rep", "label", "set")).alias("members"))
+    blocks = store.write(blocks, "blocks")
+    numbers = blocks.select("hub", "block")
+    x, y = numbers.withColumnRenamed("block", "a"), numbers.withColumnRenamed("block", "b")
+    pairs = store.write(x.join(y, "hub").where("a <= b"), "pairs")
+    tasks = max(1, -(-pairs.count() // PAIRS_A_TASK))
+    for s in "ab":
+        pairs = pairs.join(blocks.select("hub", F.col("block").alias(s), F.col("members").alias(f"members_{s}")), ["hub", s])
+    return store.write(pairs.repartition(tasks, "hub", "a", "b").mapInArrow(compare_blocks, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) for every row."""
     keyed = store.write(docs.select("doc_id", sketches("text").alias("s")).select("doc_id", "s.*"), "sketches")
@@ -128,15 +192,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = store.write(verified(stars, docs), "links")
     label = store.components(links)
     # what is left: buckets that hold members of several components
-    member = classes.join(label, F.col("rep") == F.col("node"), "left").select("rep", "bits1", "bits2", F.coalesce("component", "rep").alias("label"), F.explode("bands").alias("band"))
-    mixed = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    rest = store.write(member.join(mixed, "band", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    member = classes.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "bits1", "bits2", F.coalesce("component", "rep").alias("label"), F.explode("bands").alias("band"))
+    mixed = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("hub"), F.count("*").alias("n")).where("low < high").select("band", "hub", "n")
+    rest = store.write(member.join(mixed, "band"), "rest")
+    x, y = rest.where(f"n <= {SMALL}").alias("x"), rest.where(f"n <= {SMALL}").alias("y")
     differ = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2")))
     across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (differ <= MOST_SIGNS))
     across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = store.write(verified(store.write(across, "across"), docs), "links")
-    final = store.components(links.unionByName(more))
+    large = links_in_blocks(rest.where(f"n > {SMALL}").select("hub", "rep", "label", "n_shingles").distinct(), docs)
+    final = store.components(links.unionByName(more).unionByName(large))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
     return keyed.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
