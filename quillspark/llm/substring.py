@@ -7,8 +7,8 @@ doc_id. The steps, each over all documents:
 2. the windows with such anchors are counted whole; those in two documents are confirmed, and each is
    owned by its smallest doc_id. Consecutive windows of an owner form a passage;
 3. passages are dealt to shards of bounded size and cut into phrases of 25 words, one in every 50-word window.
-   A shard's phrases are compiled into an automaton over word hashes, and every document that has an
-   anchor of one of the shard's passages is streamed through it. The windows around each hit are looked up
+   A shard's phrases are compiled into an automaton over word hashes, and of every document the stretches
+   that have an anchor of one of the shard's passages are streamed through it. The windows around each hit are looked up
    among the shard's; those found are occurrences, and go if the owner's doc_id is smaller.
 Shards whose documents are many are salted: each salt compiles the same automaton for its share of documents.
 
@@ -34,7 +34,7 @@ from .words import U, Words, joined, lists, mix, runs, signed, sliding_min, slic
 
 WINDOW, GRAM, PHRASE = 50, 20, 25
 #: Words of passages in a shard's automaton, and words of documents that one task streams through it.
-SHARD_WORDS, TASK_WORDS = 400_000, 4_000_000
+SHARD_WORDS, TASK_WORDS = 400_000, 2_000_000
 LONGS = T.ArrayType(T.LongType())
 
 
@@ -132,6 +132,30 @@ PASSAGES = pa.list_(pa.struct([("words", pa.list_(pa.int64())), ("anchors", pa.l
 PASSAGE_TYPE = T.ArrayType(T.StructType([T.StructField("words", LONGS), T.StructField("anchors", LONGS)]))
 
 
+def segments_of(text: pa.Array, anchors: pa.Array) -> pa.Array:
+    """Per text: the stretches of words (start, word hashes) that windows with one of the given anchors cover."""
+    out, at_row = [], 0
+    for part in slices(text):
+        w = Words(part)
+        hashes = w.hashes()
+        at, anchor = anchored(hashes, w.left())
+        rows = w.rows[at]
+        own_rows, own = flat(anchors.slice(at_row, len(part)))
+        at_row += len(part)
+        hit = np.isin(keyed(anchor, rows), keyed(own, own_rows))
+        at, rows = at[hit], rows[hit]
+        cells: list[list[dict]] = [[] for _ in range(len(part))]
+        for run in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > WINDOW) | (np.diff(rows) > 0)) + 1) if len(at) else []:
+            r, start, end = rows[run[0]], at[run[0]], at[run[-1]] + WINDOW
+            cells[r].append({"start": int(start - w.first[r]), "words": signed(hashes[start:end])})
+        out.append(pa.array(cells, SEGMENTS))
+    return joined(out, SEGMENTS)
+
+
+SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.list_(pa.int64()))]))
+SEGMENT_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", LONGS)]))
+
+
 def letters(hashes: np.ndarray) -> tuple[int, ...]:
     """Word hashes as the automaton's 32-bit letters; the runs that it leads to are compared in full."""
     return tuple((hashes.view(U) >> U(33)).astype(np.int64).tolist())
@@ -173,19 +197,13 @@ class PassageFinder:
         return [(int(x[0]), int(x[-1]) + WINDOW) for x in np.split(starts, cuts) if len(x)]
 
 
-def locate(phrases: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-    """The removals in one share of one shard's documents."""
+def locate(phrases: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
+    """The removals in one share of one shard's segments."""
     rows: list[tuple[int, int, int]] = []
-    if len(phrases) and len(docs):
+    if len(phrases) and len(segments):
         finder = PassageFinder(phrases["owner"].tolist(), [np.asarray(x, np.int64) for x in phrases["words"]])
-        text, ids, at = pa.array(docs["text"], pa.large_string()), docs["doc_id"].tolist(), 0
-        for part in slices(text):
-            w = Words(part)
-            hashes = signed(w.hashes())
-            for r in range(len(part)):
-                found = finder.removed(ids[at + r], hashes[w.first[r] : w.first[r + 1]])
-                rows += [(ids[at + r], a, b) for a, b in found]
-            at += len(part)
+        for doc_id, start, words in zip(segments["doc_id"].tolist(), segments["start"].tolist(), segments["words"], strict=True):
+            rows += [(doc_id, start + a, start + b) for a, b in finder.removed(doc_id, np.asarray(words, np.int64))]
     return pd.DataFrame(rows, columns=["doc_id", "start", "end"]).astype("int64")
 
 
@@ -231,11 +249,11 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     passages = store.write(passages.select("owner", F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), "p.*"), "passages")
     # which documents go through which automata
     routes = passages.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    sent = shared.join(routes, "anchor").select("doc_id", "shard").distinct()
-    sent = store.write(sent.join(surveyed.groupBy("doc_id").agg(F.sum("n_words").alias("n")), "doc_id"), "sent")
-    salts = sent.groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WORDS).cast("int").alias("salts"))
+    sent = store.write(shared.join(routes, "anchor").groupBy("doc_id", "shard").agg(F.collect_set("anchor").alias("anchors")), "sent")
+    salts = sent.groupBy("shard").agg(F.ceil(F.sum(F.size("anchors")) * WINDOW / TASK_WORDS).cast("int").alias("salts"))
     salted = passages.select("owner", "shard", "words").join(salts, "shard").select("owner", "words", "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    streamed = sent.join(salts, "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int").alias("salt")).join(texts, "doc_id")
+    streamed = sent.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int")).join(texts, "doc_id")
+    streamed = streamed.select("doc_id", "shard", "salt", F.explode(udf(segments_of, SEGMENT_TYPE, "text", "anchors")).alias("s")).select("doc_id", "shard", "salt", "s.*")
     found = salted.groupBy("shard", "salt").cogroup(streamed.groupBy("shard", "salt")).applyInPandas(locate, "doc_id long, start long, end long")
     return surveyed.drop("anchors"), found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
