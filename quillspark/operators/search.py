@@ -58,12 +58,14 @@ def first_seen(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str, query: str) -> DataFrame:
-    """Every chunk with every query and its score: occurrences of the terms (repeats count again) by the number of terms."""
+    """Every chunk with every query and its score: occurrences of the terms (repeats count again) by the number of terms.
+
+    The queries are a stated set that meets all chunks; scores are computed in the join's stage and only positive ones go on.
+    """
     q = queries.withColumn("quill_terms", X.keyword_terms(query))
     c = chunks.withColumn("quill_text", F.lower(text))
     hits = F.aggregate("quill_terms", F.lit(0.0), lambda s, t: s + X.occurrences(F.col("quill_text"), t))
-    scored = c.join(q, F.exists("quill_terms", lambda t: F.contains(F.col("quill_text"), t)))
-    return scored.withColumn("score", hits / F.greatest(F.size("quill_terms"), F.lit(1))).drop("quill_terms", "quill_text").where("score > 0")
+    return c.crossJoin(q).withColumn("score", hits / F.greatest(F.size("quill_terms"), F.lit(1))).drop("quill_terms", "quill_text").where("score > 0")
 
 
 def best_then_top(scored: DataFrame, key: list[str], group: str, position: str, k: int) -> DataFrame:

@@ -46,11 +46,11 @@ def code_search(spark, d):
     return R.substring_search(table(spark, d, "part"), "Brand#1", ["p_name", "p_brand", "p_type"], "p_partkey").select("p_partkey", "p_name", "p_brand", "p_type")
 
 
-@query("""with q as (select 'all'[1:1] || substr(n_name, 2, 1) as q, n_nationkey from nation), h as (
+@query("""with q as (select substr('redsmallringwidget', (n_nationkey % 16 + 1)::int, 2) as q, n_nationkey from nation), h as (
   select n_nationkey, q, p_partkey, row_number() over (partition by n_nationkey order by p_partkey) as rank from q join (select *, lower(p_name) as a, lower(p_brand) as b, lower(p_type) as c from part) on contains(a, lower(q)) or contains(b, lower(q)) or contains(c, lower(q)))
 select * from h where rank <= 15""")
 def code_search_batch(spark, d):
-    q = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("a"), F.substring("n_name", 2, 1)).alias("q"))
+    q = table(spark, d, "nation").select("n_nationkey", F.expr("substr('redsmallringwidget', n_nationkey % 16 + 1, 2)").alias("q"))
     return R.substring_search_batch(table(spark, d, "part"), q, "q", "n_nationkey", ["p_name", "p_brand", "p_type"], "p_partkey").select("n_nationkey", "q", "p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
@@ -166,7 +166,7 @@ def grounding_normalize_unicode(spark, d):
 
 @query(rf"""with q as (select item_id, {NORMALIZED.format(c="text")} as q from benchmark), s as (
   select doc_id, {NORMALIZED.format(c="text")} as s from documents)
-select item_id, count_if(contains(s, q)) as n_containing, count_if(contains(s, q)) > 0 as grounded from q, s group by item_id""")
+select item_id, count_if(contains(s, q))::bigint as n_containing, count_if(contains(s, q)) > 0 as grounded from q, s group by item_id""")
 def quote_grounding(spark, d):
     q = table(spark, d, "benchmark").select("item_id", X.grounding_normalized("text", full=False).alias("q"))
     s = table(spark, d, "documents").select("doc_id", X.grounding_normalized("text", full=False).alias("s"))
@@ -266,10 +266,10 @@ def gap_rollup(spark, d):
 
 @query(rf"""with {SPANS}, k as (select doc_id, count(*) as n, count_if(category = 'action') > 0 as a from sp group by doc_id), t as (
   select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, n, a from documents left join k using (doc_id)), h as (
-  select doc_id, length(t) as len, coalesce(n, 0) as n, regexp_matches(lower(t), 'tion|ment|ung') or coalesce(a, false) as e1, regexp_matches(t, '[0-9]') as e2, regexp_matches(lower(t), 'ing|ando|lich') as e3, regexp_matches(lower(t), 'with|avec|con|mit') as e4 from t), s as (
+  select doc_id, length(t) as len, coalesce(n, 0) as n, regexp_matches(lower(t), 'tion|ment|ung') or coalesce(a, false) as e1, regexp_matches(t, '[0-9]') as e2, regexp_matches(lower(t), 'ing|ando|lich') as e3, regexp_matches(lower(t), 'with|avec|con|mit') as e4 from t), w as (
   select *, least(100, 30 * e1::int + 20 * e2::int + 20 * e3::int + 20 * e4::int + least(10, n)) as score from h)
 select doc_id, score::int as score, (len < 120)::int + (not e1 and not e2)::int + (score < 45)::int as n_blocking,
-  case when len < 120 or (not e1 and not e2) or score < 45 then 'block' when score < 75 or not (e1 and e2 and e3 and e4) then 'needs_review' else 'pass' end as status from s""")
+  case when len < 120 or (not e1 and not e2) or score < 45 then 'block' when score < 75 or not (e1 and e2 and e3 and e4) then 'needs_review' else 'pass' end as status from w""")
 def sufficiency_score(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     out = V.sufficiency(docs, "doc_id", "text", V.spans(docs, "doc_id", "text", PLAIN), PLAIN)
