@@ -317,7 +317,7 @@ def html_clean(spark, d):
 
 
 @query(r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '\s*\[SOURCE [A-Z]\]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as text_md5 from (
-  select doc_id, chr(10) || '  Kept [3] and ' || (doc_id % 10) || case when doc_id % 2 = 0 then ' ' else ' [note: keep]' end || ' end.' || chr(10) || case when doc_id % 3 = 0 then 'last' else '' end as s from documents)""")
+  select doc_id, chr(10) || '  Kept [3] and ' || (doc_id % 10) || case when doc_id % 2 = 0 then ' ' else ' [note: keep]' end || ' end.' || chr(10) || chr(10) || case when doc_id % 3 = 0 then 'last' else '' end as s from documents)""")
 def sanitize_lines(spark, d):
     letter = F.expr("""concat('SECTION 1: PURPOSE\n[INSERT DATE]\n  Kept [3] and [SOURCE A] ', doc_id % 10, case when doc_id % 2 = 0 then ' [PHONE]' else ' [note: keep]' end, ' end.\n[Your Name]\n', case when doc_id % 3 = 0 then 'last' else '' end)""")
     letter = F.replace(letter, F.lit("and [SOURCE A] "), F.lit("and [SOURCE B] "))
@@ -357,7 +357,7 @@ def status_counts(spark, d):
     return H.status_counts(table(spark, d, "orders"), "o_orderstatus")
 
 
-@query("select count(*) as total, count_if(o_orderstatus = 'F') as finished, count_if(o_orderstatus = 'O') as open, count_if(o_orderstatus = 'X') as failed from orders")
+@query("select count(*) as total, count_if(o_orderstatus = 'F')::bigint as finished, count_if(o_orderstatus = 'O')::bigint as open, count_if(o_orderstatus = 'X')::bigint as failed from orders")
 def status_pivot(spark, d):
     return H.status_pivot(table(spark, d, "orders"), "o_orderstatus", {"finished": "F", "open": "O", "failed": "X"})
 
@@ -383,7 +383,7 @@ METRICS = r"""m as (select doc_id, quality, toxic, ((regexp_matches(text, '[.]')
   (select len(list_filter(ws, lambda w: contains(lower(text), w))) / greatest(len(ws), 1) from (select list_filter(regexp_split_to_array('about thand ofering other', '[ ]+'), lambda w: length(w) > 4) as ws)) as coverage from labels join documents using (doc_id))"""
 
 
-@query(f"""with {METRICS} select quality, toxic, count(*) as n, count_if(structure = 1) as passed, count_if(structure <> 1) as failed, round(sum(structure), 6) as structure, count_if(coverage >= 0.3) as covered from m group by all""")
+@query(f"""with {METRICS} select quality, toxic, count(*) as n, count_if(structure = 1)::bigint as passed, count_if(structure <> 1)::bigint as failed, round(sum(structure), 6) as structure, count_if(coverage >= 0.3)::bigint as covered from m group by all""")
 def eval_tally(spark, d):
     parts = (("stop", "[.]"), ("word", "(?i)the|der|le"), ("lines", "\n"))
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
