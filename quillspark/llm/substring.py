@@ -2,6 +2,7 @@
 
 A window is 50 consecutive words. A word goes if a window over it also starts in a document with a smaller
 doc_id. The steps, each over all documents:
+0. a text equal to that of a smaller doc_id goes whole, and only the first of equal texts takes part in the rest;
 1. every window picks the least hash among its 31 runs of 20 words as its anchor. Equal windows pick equal
    anchors, so only windows whose anchor occurs in two documents can recur (an aggregate of min and max doc_id);
 2. the windows with such anchors are counted whole; those in two documents are confirmed, and each is
@@ -13,7 +14,8 @@ doc_id. The steps, each over all documents:
 Shards whose documents are many are salted: each salt compiles the same automaton for its share of documents.
 
 Words and windows are compared by 64-bit hashes. Defined results: a null text has no words; a null doc_id neither causes
-nor suffers removals; rows with equal doc_id don't remove each other's words; extra columns pass through
+nor suffers removals; rows with equal doc_id don't remove each other's words
+(if their texts differ, each loses the runs found in either); extra columns pass through
 remove_repeats(); an empty table gives an empty result.
 """
 
@@ -233,9 +235,16 @@ TRIM = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("ke
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(survey, runs): doc_id, n_words, full_sha256 of every row; the removed runs of words by doc_id, for those that have any."""
+    """(survey, runs): doc_id, n_words, full_sha256 and copy of every row; the removed runs of words by doc_id, for those that have any.
+
+    copy: the whole text (of a window or more) is that of a smaller doc_id, so all its words go; only the first of
+    equal texts takes part in what follows. Its doc_id is the smallest, so no window gets another owner by that.
+    """
     surveyed = store.write(docs.select("doc_id", udf(survey, SURVEY, "text").alias("s")).select("doc_id", "s.*"), "survey")
-    anchors = surveyed.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
+    whole = surveyed.where(f"n_words >= {WINDOW}").groupBy("full_sha256").agg(F.min("doc_id").alias("first"))
+    surveyed = surveyed.join(whole, "full_sha256", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    surveyed = store.write(surveyed.select("doc_id", "n_words", "full_sha256", "copy", F.when(~F.col("copy"), F.col("anchors")).alias("anchors")), "survey")
+    anchors = surveyed.where("doc_id is not null and not copy").select("doc_id", F.explode("anchors").alias("anchor"))
     recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = store.write(anchors.join(recurring, "anchor"), "anchors")
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
@@ -262,10 +271,12 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row."""
     surveyed, found = removals(docs)
     found = store.write(found, "runs")
-    key = [F.col("doc_id"), "n_words", "full_sha256"]
     trimmed = docs.select("doc_id", "text").join(found, "doc_id").select("doc_id", udf(trim, TRIM, "text", "runs").alias("t"), udf(survey_digest, T.StringType(), "text").alias("full_sha256"))
     trimmed = trimmed.groupBy("doc_id", "full_sha256").agg(F.first("t.n_removed").alias("n_removed"), F.first("t.kept_sha256").alias("kept_sha256"))
-    return surveyed.join(trimmed, ["doc_id", "full_sha256"], "left").select(*key[:2], F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"))
+    out = surveyed.join(trimmed, ["doc_id", "full_sha256"], "left")
+    gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept = F.when(F.col("copy"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "full_sha256"))
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), kept.alias("kept_sha256"))
 
 
 def survey_digest(text: pa.Array) -> pa.Array:
@@ -278,7 +289,9 @@ def survey_digest(text: pa.Array) -> pa.Array:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows with removed words cut out of text (then words are joined by one space) and n_chars, if a column, kept in step. Rows that lose all words go."""
-    _, found = removals(docs)
+    surveyed, found = removals(docs)
+    copies = surveyed.where("copy").groupBy("doc_id").agg(F.collect_set(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("runs"))
+    found = found.join(copies.select("doc_id"), "doc_id", "left_anti").unionByName(copies)
     found = store.write(found.withColumnRenamed("doc_id", "quill_id").withColumnRenamed("runs", "quill_runs"), "runs")
     both = docs.join(found, docs["doc_id"] == found["quill_id"], "left")
     cut = both.withColumn("quill_cut", F.when(F.col("quill_runs").isNotNull(), udf(trim, TRIM, "text", "quill_runs")))
