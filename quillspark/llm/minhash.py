@@ -165,8 +165,8 @@ def links_in_blocks(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between components among the members of each hub's group: (hub, rep, label, n_shingles)."""
     cuts = groups.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = store.write(groups.join(cuts, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "placed")
-    reps = placed.select("rep").distinct()
-    sets = docs.join(reps, docs["doc_id"] == reps["rep"]).select("rep", F.arrow_udf(set_of, T.BinaryType()).asNondeterministic()("text").alias("set"))
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("text"))
+    sets = texts.join(placed.select("rep").distinct(), "rep").select("rep", F.arrow_udf(set_of, T.BinaryType()).asNondeterministic()("text").alias("set"))
     blocks = placed.join(sets, "rep").groupBy("hub", "block").agg(F.collect_list(F.struct("rep", "label", "set")).alias("members"))
     blocks = store.write(blocks, "blocks")
     numbers = blocks.select("hub", "block")
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = links_in_blocks(rest.where(f"n > {SMALL}").select("hub", "rep", "label", "n_shingles").distinct(), docs)
     final = store.components(links.unionByName(more).unionByName(large))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    return keyed.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return keyed.join(named, key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

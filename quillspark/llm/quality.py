@@ -108,13 +108,15 @@ def fit(patterns: dict[str, int], rounds: int = 100, bad_prior: float = 0.05) ->
     Starts from a bad prior of 5 percent and the guess that a pattern with a bad vote is bad.
     right_good, right_bad: how often a rule that votes is right about good and about bad documents.
     """
+    if not patterns:
+        return {}, {}
     names = sorted(patterns)
     votes = np.array([[{"g": 1, "b": -1}.get(c, 0) for c in p] for p in names]).reshape(len(names), -1)
     n = np.array([patterns[p] for p in names], float)
     good, bad = (votes == 1).astype(float), (votes == -1).astype(float)
     post = np.where(bad.any(1), 0.1, 1 - bad_prior / 2)
     prior = right_good = right_bad = np.zeros(0)
-    for _ in range(rounds if names else 0):
+    for _ in range(rounds):
         yes, no = n * post, n * (1 - post)
         prior = (yes.sum() + 1) / (n.sum() + 2)
         # half of each estimate is a prior (bad votes on 1 of 200 good and 3 of 10 bad documents): it ties the
