@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +43,39 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenizer_path() -> str:
+    """The byte-level BPE vocabulary as ranks; its ids are those of byte_bpe_50k.json, which the tests compare."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Encoder:
-    """Little-endian 32-bit ids of texts; remembers the ids of short pieces, up to a bound."""
-
-    def __init__(self, path: str, most: int = 400_000):
+def load_tokenizer(path: str):
+    """A function from texts to lists of ids, special tokens being ordinary text: of a ranks file, or of a tokenizer's JSON."""
+    if path.endswith(".json"):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda texts: list(map(encode, texts))
+
+
+class Encoder:
+    """Little-endian 32-bit ids of texts; remembers the ids of short pieces, up to a bound."""
+
+    def __init__(self, path: str, most: int = 800_000):
+        self.ids_of = load_tokenizer(path)
         self.known: dict[str, bytes] = {}
         self.most = most
 
@@ -67,8 +85,10 @@ class Encoder:
         if len(self.known) + len(new) > self.most:
             self.known = {}
             new = list(set().union(*cut))
-        for piece, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(code.ids, "<u4").tobytes()
+        ids = self.ids_of(new)
+        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+        for piece, own in zip(new, ids, strict=True):
+            self.known[piece] = flat[at : (at := at + 4 * len(own))]
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
