@@ -8,12 +8,14 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat, embeddings, licenses, minhash, mixing, packing, quality, recurrent, store, substring, tokencount
 
 R = random.Random(11)
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY = ["alpha", "Beta", "gamma,", "delta.", "épée", "zeta", "the", "of", "漢字", "x1", "MIT", "license"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, sum long"  # with clashing extra names
 
@@ -193,7 +195,7 @@ def test_op4_sketch_fills_and_estimates():
 def test_op5_pieces(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t, *_ in rows}
     out = packing.pack_documents(docs).toPandas()
@@ -218,8 +220,8 @@ def test_op5_ids_equal_the_tokenizer():
     encoder = packing.Encoder(packing.tokenizer_path())
     signs = " \n\t\r\x0b\x1c\x1f\x85  　ab'sZ9é—🙂漢<|endoftext|>###"
     texts = ["".join(R.choice(signs) for _ in range(R.randrange(60))) for _ in range(1500)] + ["<|endoftext|> it's we'll  go\n\n x "]
-    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
+    want = packing.Encoder(JSON)
+    assert encoder(texts) == want(texts) == [np.array(ids, "<u4").tobytes() for ids in want.ids_of(texts)]
 
 
 def test_op5_bm25_neighbours_come_first():
