@@ -9,8 +9,8 @@
    it exactly; what is cut off stays unused. Rests left in an unfilled window go on to the next shard.
 So only the last sequence of a partition can be short, and padding is below one window a partition.
 
-Ids come from a public tokenizer's file, whose path is a parameter. Texts are cut between white space and words in the way of
-its own pre-tokenizer, and each distinct piece is encoded once a task.
+Ids come from a public tokenizer's file, whose path is a parameter. Texts are cut at white space in the way of its own
+pre-tokenizer, and each distinct piece is encoded once a task.
 
 Defined results: a null text is empty and has only its end id; equal rows are packed separately; extra columns are
 ignored; an empty table gives an empty result.
@@ -18,7 +18,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .words import U, mix
+from .words import U, Words, mix, slices
 
 WINDOW, END_ID = 2048, 1
 #: Rests and their tokens in one index, tokens in one partition, query tokens.
@@ -38,7 +37,6 @@ SHARD_DOCS, SHARD_TOKENS, PARTITION_TOKENS, QUERY_TOKENS = 2048, 1_500_000, 3_00
 K1, B = 1.2, 0.75
 #: White space as the pre-tokenizer has it (Unicode's property White_Space): fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -50,7 +48,11 @@ def tokenizer_path() -> str:
 
 
 def load_tokenizer(path: str):
-    """A function from texts to lists of ids, special tokens being ordinary text: of a ranks file, or of a tokenizer's JSON."""
+    """A function from pieces (bytes) to all their ids and each one's number of ids, special tokens being ordinary text.
+
+    path: a tokenizer's JSON, or a ranks file. Ranks encode the pieces that begin with a space as one text, in which
+    each stays a pre-token of its own; the tokens' lengths in bytes tell where a piece ends.
+    """
     if path.endswith(".json"):
         import os
 
@@ -59,7 +61,7 @@ def load_tokenizer(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return lambda pieces: numbered([e.ids for e in tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)])
     import base64
 
     import public_tokenizers
@@ -67,53 +69,143 @@ def load_tokenizer(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda texts: list(map(encode, texts))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+    n_bytes[list(ranks.values())] = list(map(len, ranks))
+
+    def ids_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        spaced = np.fromiter((p[:1] == b" " and len(p) > 1 and p[1:2] != b" " for p in pieces), bool, len(pieces))
+        many = [p for p, x in zip(pieces, spaced.tolist(), strict=True) if x]
+        ids = np.array(own.encode_to_numpy(b"".join(many).decode(), disallowed_special=()), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, many), np.int64, len(many)))
+        sizes = np.diff(np.searchsorted(np.cumsum(n_bytes[ids]), ends, "right"), prepend=0)
+        rest, rest_sizes = numbered([own.encode_ordinary(p.decode()) for p, x in zip(pieces, spaced.tolist(), strict=True) if not x])
+        out = np.empty(len(pieces), np.int64)
+        out[spaced], out[~spaced] = sizes, rest_sizes
+        flat, of_spaced = np.empty(len(ids) + len(rest), np.uint32), np.repeat(spaced, out)
+        flat[of_spaced], flat[~of_spaced] = ids, rest
+        return flat, out
+
+    return ids_of
+
+
+def numbered(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts; remembers the ids of short pieces, up to a bound."""
+    """The ids of texts; remembers the ids of distinct pieces, up to a bound."""
 
     def __init__(self, path: str, most: int = 800_000):
         self.ids_of = load_tokenizer(path)
-        self.known: dict[str, bytes] = {}
         self.most = most
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set().union(*cut))
-        ids = self.ids_of(new)
-        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-        for piece, own in zip(new, ids, strict=True):
-            self.known[piece] = flat[at : (at := at + 4 * len(own))]
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        self.clear()
+
+    def clear(self) -> None:
+        self.rank: dict[int, int] = {}  # of a piece's hash
+        self.codes, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; pieces are cut, hashed and made distinct as arrays, and only new ones are encoded."""
+        w = Words(column)
+        starts, ends = pieces(w)
+        row = np.searchsorted(w.offsets, starts, "right") - 1
+        distinct, first, back = np.unique(w.spans(starts, ends), return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.rank) + len(keys) > self.most:
+            self.clear()
+        known = list(map(self.rank.get, keys))
+        new = [k for k, r in enumerate(known) if r is None]
+        if new:
+            raw, at = w.data.tobytes(), first[new]
+            codes, sizes = self.ids_of([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            for k in new:
+                known[k] = self.rank[keys[k]] = len(self.rank)
+            self.codes, self.sizes = np.concatenate([self.codes, codes]), np.concatenate([self.sizes, sizes])
+        if not len(keys):
+            return [np.zeros(0, np.uint32)] * len(column)
+        codes, sizes = self.codes, self.sizes
+        begins = np.cumsum(sizes) - sizes
+        rank = np.array(known, np.int64)[back]
+        n = sizes[rank]
+        total = np.cumsum(n)
+        flat = codes[np.repeat(begins[rank] - (total - n), n) + np.arange(total[-1])]
+        per_row = np.bincount(row, n, len(column)).astype(np.int64)
+        return np.split(flat, np.cumsum(per_row)[:-1])
+
+
+def pieces(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of all rows start and end: a word with the single space before it, and the other white space.
+
+    Of white space before a word, all but its last character is one piece, and the last another unless it is a space; at a
+    text's end all of it is one piece. That is what the pre-tokenizer's pattern does at white space.
+    """
+    bounds = w.offsets
+    whole = white_space(w.data)
+    inside = np.ones(len(w.data), bool)
+    for at, n in whole:
+        for k in range(int(n.max()) if len(n) else 0):
+            inside[at[n > k] + k] = False
+    before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < len(inside))]
+    before[edges], after[edges - 1] = False, False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    # white space runs
+    gap_before, gap_after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+    gap_before[1:], gap_after[:-1] = ~inside[:-1], ~inside[1:]
+    gap_before[edges], gap_after[edges - 1] = False, False
+    low, high = np.flatnonzero(~inside & ~gap_before), np.flatnonzero(~inside & ~gap_after) + 1
+    at_end = np.isin(high, bounds)
+    last = np.empty(len(high), np.int64)  # where each run's last character begins
+    lead = np.concatenate([a for a, _ in whole]) if whole else np.zeros(0, np.int64)
+    lead.sort()
+    last[:] = lead[np.searchsorted(lead, high) - 1] if len(high) else 0
+    single = (w.data[last] == 32) & ~at_end if len(high) else np.zeros(0, bool)
+    joined_to = np.isin(starts, high[single])
+    cut = ~at_end & (low < last)
+    alone = ~at_end & ~single
+    all_starts = np.concatenate([starts - joined_to, low[at_end], low[cut], last[alone]])
+    all_ends = np.concatenate([ends, high[at_end], last[cut], high[alone]])
+    order = np.argsort(all_starts, kind="stable")
+    return all_starts[order], all_ends[order]
+
+
+def white_space(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Where Unicode's white space characters begin, and their lengths in bytes."""
+    ascii_ = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    found = [(ascii_, np.ones(len(ascii_), np.int64))]
+    for c in (x.encode() for x in SPACE if ord(x) > 127):
+        at = np.flatnonzero(data[: len(data) - len(c) + 1] == c[0])
+        for k in range(1, len(c)):
+            at = at[data[at + k] == c[k]]
+        if len(at):
+            found.append((at, np.full(len(at), len(c))))
+    return found
 
 
 def encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Full windows as finished pieces; the rest of each document with its ids and its place in the order of similar texts."""
     encoder, made = Encoder(path), 0
     base = (1 << 62) | (TaskContext.get().partitionId() << 34)
-    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for low in range(0, len(ids), 256):
+        ids, done = batch.column("doc_id").to_pylist(), 0
+        for part in slices(batch.column("text"), 1 << 20):
             rows = []
-            for doc_id, code in zip(ids[low : low + 256], encoder([t or "" for t in texts.slice(low, 256).to_pylist()]), strict=True):
-                code += end
-                n = len(code) // 4
+            for doc_id, code in zip(ids[done : done + len(part)], encoder(part), strict=True):
+                code = np.append(code, np.uint32(end_id))
+                n = len(code)
                 full = n // WINDOW * WINDOW
                 for start in range(0, full, WINDOW):
-                    rows.append((doc_id, start, WINDOW, zlib.crc32(code[4 * start : 4 * (start + WINDOW)]), n, base + made, None, None))
+                    rows.append((doc_id, start, WINDOW, zlib.crc32(code[start : start + WINDOW].tobytes()), n, base + made, None, None))
                     made += 1
                 if full < n:
-                    rest = np.frombuffer(code, "<u4")[full:]
+                    rest = code[full:]
                     pairs = rest[:-1].astype(U) << U(32) | rest[1:].astype(U)
                     near = int(mix(pairs).min() >> U(1)) if len(pairs) else 0
-                    rows.append((doc_id, full, n - full, None, n, None, rest.tobytes(), near))
+                    rows.append((doc_id, full, n - full, None, n, None, rest.astype("<u4").tobytes(), near))
+            done += len(part)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ENCODED.types, strict=True)], schema=ENCODED)
 
 
@@ -205,7 +297,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offset = 0
             for i, low, high in sequence:
                 doc_id, start, n, ids = held[i]
-                yield doc_id, start + low, high - low, zlib.crc32(ids[low:high].tobytes()), n, base + made, offset
+                yield doc_id, start + low, high - low, zlib.crc32(ids[low:high].astype("<u4").tobytes()), n, base + made, offset
                 offset += high - low
             made += 1
 
