@@ -234,8 +234,9 @@ SURVEY = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("fu
 TRIM = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(survey, runs): doc_id, n_words, full_sha256 and copy of every row; the removed runs of words by doc_id, for those that have any.
+def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(survey, runs, texts): doc_id, n_words, full_sha256 and copy of every row; the removed runs of words by doc_id, for those that have any; and
+    the texts with recurring anchors, bucketed by doc_id. Texts are shuffled once, and every later join meets them in their buckets.
 
     copy: the whole text (of a window or more) is that of a smaller doc_id, so all its words go; only the first of
     equal texts takes part in what follows. Its doc_id is the smallest, so no window gets another owner by that.
@@ -248,8 +249,9 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = store.write(anchors.join(recurring, "anchor"), "anchors")
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    texts = docs.select("doc_id", F.col("text").alias("text"))
-    windows = texts.join(by_doc, "doc_id").select("doc_id", F.explode(udf(windows_of, LONGS, "text", "anchors")).alias("window"))
+    texts = store.write_bucketed(docs.select("doc_id", F.col("text").alias("text")).join(by_doc, "doc_id"), "texts", "doc_id")
+    windows = texts.select("doc_id", F.explode(udf(windows_of, LONGS, "text", "anchors")).alias("window"))
+    texts = texts.select("doc_id", "text")
     owned = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("window", "owner")
     owned = store.write(owned.groupBy("owner").agg(F.collect_list("window").alias("owned")), "owned")
     total = owned.agg(F.sum(F.size("owned"))).first()[0] or 0
@@ -264,14 +266,14 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     streamed = sent.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int")).join(texts, "doc_id")
     streamed = streamed.select("doc_id", "shard", "salt", F.explode(udf(segments_of, SEGMENT_TYPE, "text", "anchors")).alias("s")).select("doc_id", "shard", "salt", "s.*")
     found = salted.groupBy("shard", "salt").cogroup(streamed.groupBy("shard", "salt")).applyInPandas(locate, "doc_id long, start long, end long")
-    return surveyed.drop("anchors"), found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    return surveyed.drop("anchors"), found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs")), texts
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row."""
-    surveyed, found = removals(docs)
+    surveyed, found, texts = removals(docs)
     found = store.write(found, "runs")
-    trimmed = docs.select("doc_id", "text").join(found, "doc_id").select("doc_id", udf(trim, TRIM, "text", "runs").alias("t"), udf(survey_digest, T.StringType(), "text").alias("full_sha256"))
+    trimmed = texts.join(found, "doc_id").select("doc_id", udf(trim, TRIM, "text", "runs").alias("t"), udf(survey_digest, T.StringType(), "text").alias("full_sha256"))
     trimmed = trimmed.groupBy("doc_id", "full_sha256").agg(F.first("t.n_removed").alias("n_removed"), F.first("t.kept_sha256").alias("kept_sha256"))
     out = surveyed.join(trimmed, ["doc_id", "full_sha256"], "left")
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
@@ -289,7 +291,7 @@ def survey_digest(text: pa.Array) -> pa.Array:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows with removed words cut out of text (then words are joined by one space) and n_chars, if a column, kept in step. Rows that lose all words go."""
-    surveyed, found = removals(docs)
+    surveyed, found, _ = removals(docs)
     copies = surveyed.where("copy").groupBy("doc_id").agg(F.collect_set(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("runs"))
     found = found.join(copies.select("doc_id"), "doc_id", "left_anti").unionByName(copies)
     found = store.write(found.withColumnRenamed("doc_id", "quill_id").withColumnRenamed("runs", "quill_runs"), "runs")
