@@ -9,6 +9,7 @@ epsilon) on the leading principal dimensions, label by label, and the ordered se
    and their boxes are within epsilon. Only the small box rows are joined; vectors follow for the pairs left.
 5. A pair of blocks is joined recursively: intervals of the two sequences whose boxes are farther apart than epsilon are
    skipped, others are halved down to a leaf, where one matrix product gives all cosines in double precision.
+   A pair of blocks returns each linked vector's number of links and the smallest vector it reaches, not the links.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and those without a
 label, link with nothing; vectors of different lengths neither; rows that share a vec_id count one by one in n_links; a null
@@ -81,8 +82,8 @@ def to_cells(batches: Iterator[pa.RecordBatch], basis: dict, epsilon: float) ->
             mean, axes = basis[x.shape[1]]
             y = np.floor((x - mean) @ axes[:, :GRID_DIMS] / epsilon).astype(np.int64)
             cells[rows, : y.shape[1]] = y
-        columns = [batch.column("label"), pa.array(batch.column("embedding").value_lengths(), pa.int64()), *(pa.array(c) for c in cells.T.copy()), batch.column("rep"), batch.column("embedding")]
-        yield pa.RecordBatch.from_arrays(columns, ["label", "dim", *(f"c{i}" for i in range(GRID_DIMS)), "rep", "embedding"])
+        columns = [batch.column("label"), pa.array(batch.column("embedding").value_lengths(), pa.int64()), *(pa.array(c) for c in cells.T.copy()), *(batch.column(c) for c in ("rep", "n", "embedding"))]
+        yield pa.RecordBatch.from_arrays(columns, ["label", "dim", *(f"c{i}" for i in range(GRID_DIMS)), "rep", "n", "embedding"])
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch], basis: dict) -> Iterator[pa.RecordBatch]:
@@ -95,22 +96,23 @@ def to_blocks(batches: Iterator[pa.RecordBatch], basis: dict) -> Iterator[pa.Rec
         x = units(np.array([h[1] for h in held], np.float64))
         mean, axes = basis[x.shape[1]]
         y = (x - mean) @ axes
-        row = {"block": made, "label": key[0], "dim": key[1], "low": y.min(0).tolist(), "high": y.max(0).tolist(), "reps": np.array([h[0] for h in held], np.int64).tobytes(), "vectors": np.array([h[1] for h in held], np.float64).tobytes()}
+        reps, ns = (np.array([h[k] for h in held], np.int64).tobytes() for k in (0, 2))
+        row = {"block": made, "label": key[0], "dim": key[1], "low": y.min(0).tolist(), "high": y.max(0).tolist(), "reps": reps, "ns": ns, "vectors": np.array([h[1] for h in held], np.float64).tobytes()}
         return pa.RecordBatch.from_pylist([row], BLOCKS)
 
     for batch in batches:
-        for label, dim, rep, vector in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "rep", "embedding")), strict=True):
+        for label, dim, rep, n, vector in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "rep", "n", "embedding")), strict=True):
             if held and (key != (label, dim) or len(held) >= BLOCK):
                 yield block()
                 made, held = made + 1, []
             key = (label, dim)
-            held.append((rep, vector))
+            held.append((rep, vector, n))
     if held:
         yield block()
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("dim", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("reps", pa.binary()), ("vectors", pa.binary())])
-BLOCKS_DDL = "block long, label long, dim long, low array<double>, high array<double>, reps binary, vectors binary"
+BLOCKS = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("dim", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("reps", pa.binary()), ("ns", pa.binary()), ("vectors", pa.binary())])
+BLOCKS_DDL = "block long, label long, dim long, low array<double>, high array<double>, reps binary, ns binary, vectors binary"
 
 
 def join_intervals(a: np.ndarray, b: np.ndarray, box_a: np.ndarray, box_b: np.ndarray, cosine: float, base: tuple[int, int] = (0, 0), same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -138,16 +140,32 @@ def join_intervals(a: np.ndarray, b: np.ndarray, box_a: np.ndarray, box_b: np.nd
     yield i, j
 
 
+def summed(i: np.ndarray, j: np.ndarray, reps: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rep, others, least) of each vector that a link i-j touches: the vectors linked with it and the smallest rep reachable by these links."""
+    others = np.bincount(i, ns[j], len(reps)) + np.bincount(j, ns[i], len(reps))
+    least, before = reps.copy(), None
+    while before is None or (before != least).any():
+        before, low = least.copy(), np.minimum(least[i], least[j])
+        np.minimum.at(least, i, low)
+        np.minimum.at(least, j, low)
+    at = np.flatnonzero(others)
+    return reps[at], others[at].astype(np.int64), least[at]
+
+
 def join_blocks(batches: Iterator[pa.RecordBatch], basis: dict, cosine: float) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and block that have links, not for each link: a large group of near vectors stays linear."""
     for batch in batches:
         for r in batch.to_pylist():
             mean, axes = basis[r["dim"]]
+            same = r["a"] == r["b"]
             xs = [units(np.frombuffer(r[f"vectors_{s}"], np.float64).reshape(-1, r["dim"])) for s in "ab"]
-            reps = [np.frombuffer(r[f"reps_{s}"], np.int64) for s in "ab"]
             boxes = [(x - mean) @ axes for x in xs]
-            for i, j in join_intervals(*xs, *boxes, cosine, same=r["a"] == r["b"]):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[0][i]), pa.array(reps[1][j])], ["a", "b"])
+            links = list(join_intervals(*xs, *boxes, cosine, same=same))
+            if not sum(len(i) for i, _ in links):
+                continue
+            reps, ns = (np.concatenate([np.frombuffer(r[f"{c}_{s}"], np.int64) for s in ("a" if same else "ab")]) for c in ("reps", "ns"))
+            i, j = (np.concatenate([x[k] for x in links]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(i, j if same else j + len(xs[0]), reps, ns)], ["a", "others", "least"])
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -160,7 +178,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = store.write(classes, "classes")
     basis = principal(classes)
     grid = [f"c{i}" for i in range(GRID_DIMS)]
-    cells = classes.select("label", "rep", "embedding").mapInArrow(lambda it: to_cells(it, basis, epsilon), f"label long, dim long, {', '.join(f'{c} long' for c in grid)}, rep long, embedding {classes.schema['embedding'].dataType.simpleString()}")
+    cells = classes.select("label", "rep", "n", "embedding").mapInArrow(lambda it: to_cells(it, basis, epsilon), f"label long, dim long, {', '.join(f'{c} long' for c in grid)}, rep long, n long, embedding {classes.schema['embedding'].dataType.simpleString()}")
     cells = store.write(cells, "cells")
     order = ["label", "dim", *grid, "rep"]
     blocks = store.write(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: to_blocks(it, basis), BLOCKS_DDL), "blocks")
@@ -173,12 +191,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     pairs = store.write(pairs, "pairs")
     tasks = max(1, -(-pairs.count() // PAIRS_A_TASK))
     for s in "ab":
-        side = blocks.select(F.col("block").alias(s), F.col("reps").alias(f"reps_{s}"), F.col("vectors").alias(f"vectors_{s}"))
+        side = blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("reps", "ns", "vectors")))
         pairs = pairs.join(side, s)
-    links = store.write(pairs.repartition(tasks, "a", "b").mapInArrow(lambda it: join_blocks(it, basis, cosine), "a long, b long"), "links")
-    group = store.components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(classes.select(F.col("rep").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
+    links = store.write(pairs.repartition(tasks, "a", "b").mapInArrow(lambda it: join_blocks(it, basis, cosine), "a long, others long, least long"), "links")
+    group = store.components(links, "a", "least")
+    linked = links.groupBy("a").agg(F.sum("others").alias("others"))
     named = classes.select("k1", "k2", "rep", "n").join(linked, F.col("rep") == F.col("a"), "left").join(group, F.col("rep") == F.col("node"), "left")
     named = named.select("k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     return rows.select("vec_id", "k1", "k2").join(named, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
