@@ -200,7 +200,7 @@ class Network:
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss, gradients and last state for inputs x and targets y of shape (steps, lanes), starting from the states h."""
+        """Loss, gradients and last state for inputs x and targets y of shape (steps, lanes), starting from the states h. Targets under 0 count for nothing."""
         w, k = self.w, self.hidden
         kept, states = [], []
         embedded = w["embed"][x]
@@ -210,8 +210,9 @@ class Network:
             h, *rest = self.step(into[t], before)
             kept.append((before, *rest))
             states.append(h)
-        s = np.concatenate(states)
-        rows = self.place[y.ravel()]
+        live = np.flatnonzero(y.ravel() >= 0)
+        s = np.concatenate(states)[live]
+        rows = self.place[y.ravel()[live]]
         own = self.cls_of[rows]
         g = {name: np.zeros_like(v) for name, v in w.items()}
         p = softmax(s @ w["to_class"] + w["class_bias"])
@@ -232,7 +233,9 @@ class Network:
                 g["to_symbol"][low:high] = q.T @ s[at]
                 g["symbol_bias"][low:high] = q.sum(0)
                 ds[at] += q @ w["to_symbol"][low:high]
-        ds = ds.reshape(*x.shape, k)
+        every_ds = np.zeros((y.size, k), ds.dtype)
+        every_ds[live] = ds
+        ds = every_ds.reshape(*x.shape, k)
         dinto = np.empty_like(into)
         dh = np.zeros_like(h)
         for t in reversed(range(len(x))):
@@ -262,17 +265,17 @@ class Network:
             for t in range(0, part.shape[1] - 1, steps):
                 x, y = part[:, t : t + steps], part[:, t + 1 : t + steps + 1]
                 x = x[:, : y.shape[1]]
-                whole = (y >= 0).all(1)
-                if not whole.any():
+                going = y[:, 0] >= 0
+                if not going.any():
                     break
-                if not whole.all():
-                    part, h, x, y = part[whole], h[whole], x[whole], y[whole]
+                if not going.all():
+                    part, h, x, y = part[going], h[going], x[going], y[going]
                 loss, g, h = self.gradients(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), h)
                 for name, v in g.items():
                     v /= len(part)
                     past[name] += v * v
                     self.w[name] -= (rate * v / np.sqrt(past[name])).astype(np.float32)
-                total, n = total + loss, n + x.size
+                total, n = total + loss, n + int((y >= 0).sum())
         return total / max(n, 1)
 
     def packed(self) -> bytes:

@@ -373,6 +373,28 @@ def test_op10_gradients_scores_and_learning():
     assert last < 0.7 * np.log(12)
 
 
+def test_op10_learns_from_short_texts_and_ends():
+    r = np.random.default_rng(2)
+    # a one-line document, and one whose second step holds two words and the end
+    for n in (4, recurrent.STEPS + 3):
+        row = np.full((1, recurrent.SPAN + 1), -1, np.int32)
+        row[0, : n + 1] = [recurrent.END, *r.integers(2, 12, n - 1), recurrent.END]
+        net = recurrent.Network(np.ones(12))
+        before = net.score(row[0, 1 : n + 1], np.array([n]))
+        for _ in range(20):
+            net.train(row)
+        after = net.score(row[0, 1 : n + 1], np.array([n]))
+        assert after[-1] > before[-1] + 0.1 and after.sum() > before.sum()
+    # what lies beyond a lane's end changes neither loss nor gradients
+    x, y = r.integers(0, 12, (6, 2)), r.integers(0, 12, (6, 2))
+    y[4:, 1] = -1
+    h = np.zeros((2, net.hidden), np.float32)
+    loss, g, _ = net.gradients(x, y, h)
+    parts = [net.gradients(x[:, :1], y[:, :1], h[:1]), net.gradients(x[:4, 1:], y[:4, 1:], h[1:])]
+    assert loss == pytest.approx(sum(p[0] for p in parts), rel=1e-4)
+    assert all(np.allclose(g[k], parts[0][1][k] + parts[1][1][k], atol=1e-4) for k in g)
+
+
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs.select("doc_id", "text", "lang", "source", "n_chars")
