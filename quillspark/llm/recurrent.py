@@ -4,8 +4,9 @@ Counts. Documents are turned into blocks of word hashes (of bounded size). Every
 their training counts to one aggregate and gets the totals of its words back, so a word crosses the
 network once a block, not once an occurrence. Training documents are those whose doc_id's crc32 isn't 2 modulo 7.
 Network. A gated recurrent unit in numpy over the most frequent words, one symbol for all others and an end symbol. Its output
-is factored into classes of words of like frequency. A seeded share of the training windows (SHARE) is dealt to a few
-trainers, which run truncated backpropagation through time from common weights; weights are averaged after each round.
+is factored into classes of words of like frequency. All training documents are dealt whole to trainers, as many as
+the tokens ask for, which run truncated backpropagation through time from common weights, the state carried from step to step of
+a document; weights are averaged after each round, by groups of trainers first.
 Scores. All documents are scored whole, many side by side, with the state carried from window to window. A word outside the
 network's vocabulary has the other-symbol's probability times its smoothed share of all such words' counts, so what
 the corpus counts also enters the model's score, and the probabilities of seen words and one unseen word sum to one.
@@ -17,8 +18,9 @@ rows score alike; extra columns are ignored; an empty table gives an empty resul
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +34,9 @@ from . import store
 from .words import U, Words, mix, signed, slices
 
 VOCABULARY, CLASSES, HIDDEN, EMBEDDED = 4000, 64, 16, 16
-#: Share of the training windows that the network is fitted on, its rounds, and words in a window and a truncated step.
-SHARE, ROUNDS, SPAN, STEPS, LANES = 0.1, 3, 96, 24, 32
-TRAINER_TOKENS, MOST_TRAINERS, RATE = 300_000, 16, 0.3
+#: Share of the training documents that the network is fitted on (all), its rounds, and words in a truncated step.
+SHARE, ROUNDS, STEPS, LANES = 1.0, 3, 24, 32
+TRAINER_TOKENS, RATE = 300_000, 0.3
 BLOCK_BYTES, SCORED_LANES, SCORED_STEPS = 8 << 20, 256, 64
 END_HASH = 0x656E64
 OTHER, END = 0, 1
@@ -106,6 +108,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
+def dealt(lengths: np.ndarray, lanes: int) -> list[list[int]]:
+    """Documents dealt to lanes, the longest first, each to the shortest lane; the longest lane first, in each the documents in their order."""
+    queue, own = [(0, i) for i in range(min(lanes, len(lengths)))], [[] for _ in range(min(lanes, len(lengths)))]
+    for d in np.argsort(-lengths, kind="stable").tolist():
+        n, lane = heapq.heappop(queue)
+        own[lane].append(d)
+        heapq.heappush(queue, (n + int(lengths[d]), lane))
+    return sorted((sorted(x) for x in own), key=lambda x: -int(lengths[x].sum()))
+
+
 class Network:
     """A gated recurrent unit whose output is factored: first the class of a symbol, then the symbol in its class.
 
@@ -168,13 +180,7 @@ class Network:
         before[1:], before[first] = symbols[:-1], END
         new = np.zeros(len(symbols), bool)
         new[first] = True
-        # documents are dealt to lanes, the longest first, each to the shortest lane
-        queue, dealt = [(0, i) for i in range(min(lanes, len(lengths)))], [[] for _ in range(min(lanes, len(lengths)))]
-        for d in np.argsort(-lengths, kind="stable").tolist():
-            n, lane = heapq.heappop(queue)
-            dealt[lane].append(np.arange(first[d], first[d] + lengths[d]))
-            heapq.heappush(queue, (n + int(lengths[d]), lane))
-        order = sorted((np.concatenate(x) for x in dealt), key=len, reverse=True)
+        order = [np.concatenate([np.arange(first[d], first[d] + lengths[d]) for d in x]) for x in dealt(lengths, lanes)]
         long = np.array([len(x) for x in order])
         table = self.w["embed"] @ self.w["inner"] + self.w["bias"]
         out = np.empty(len(symbols), np.float32)
@@ -199,14 +205,14 @@ class Network:
             out[flat] = self.log_probs(np.concatenate(states), symbols[flat])
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss, gradients and last state for inputs x and targets y of shape (steps, lanes), starting from the states h. Targets under 0 count for nothing."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, new: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Loss, gradients and last state for inputs x and targets y of shape (steps, lanes), starting from the states h, and from zero where new. Targets under 0 count for nothing."""
         w, k = self.w, self.hidden
         kept, states = [], []
         embedded = w["embed"][x]
         into = embedded @ w["inner"] + w["bias"]
         for t in range(len(x)):
-            before = h
+            before = h if new is None else h * ~new[t][:, None]
             h, *rest = self.step(into[t], before)
             kept.append((before, *rest))
             states.append(h)
@@ -250,33 +256,40 @@ class Network:
             g["gates"] += before.T @ dzr
             g["news"] += before.T @ dback
             dh = dh * z + dzr @ w["gates"].T + dback @ w["news"].T
+            if new is not None:
+                dh *= ~new[t][:, None]
         flat = dinto.reshape(-1, 3 * k)
         g["inner"], g["bias"] = embedded.reshape(-1, embedded.shape[2]).T @ flat, flat.sum(0)
         np.add.at(g["embed"], x.ravel(), flat @ w["inner"].T)
         return float(loss), g, h
 
-    def train(self, windows: np.ndarray, steps: int = STEPS, lanes: int = LANES, rate: float = RATE) -> float:
-        """One pass over windows of symbols (rows; -1 fills short ones) with AdaGrad; the mean loss a symbol."""
+    def train(self, documents: Sequence[np.ndarray], steps: int = STEPS, lanes: int = LANES, rate: float = RATE) -> float:
+        """One pass over documents of symbols after the symbol before (-1 fills short ones) with AdaGrad; the mean loss a symbol.
+
+        The state is zero at a document's start and carried on to its end.
+        """
+        rows = [d[d >= 0] for d in documents]
+        rows = [d for d in rows if len(d) > 1]
+        lengths = np.array([len(d) - 1 for d in rows], int)
+        order = dealt(lengths, lanes)
+        long = np.array([int(lengths[x].sum()) for x in order])
+        x, y = (np.full((-(-int(long.max(initial=0)) // steps) * steps, len(order)), fill, np.int32) for fill in (END, -1))
+        new = np.zeros(x.shape, bool)
+        for i, own in enumerate(order):
+            x[: long[i], i], y[: long[i], i] = np.concatenate([rows[d][:-1] for d in own]), np.concatenate([rows[d][1:] for d in own])
+            new[np.cumsum(lengths[own]) - lengths[own], i] = True
         past = {name: np.full_like(v, 1.0) for name, v in self.w.items()}
-        total, n = 0.0, 0
-        for low in range(0, len(windows), lanes):
-            part = windows[low : low + lanes]
-            h = np.zeros((len(part), self.hidden), np.float32)
-            for t in range(0, part.shape[1] - 1, steps):
-                x, y = part[:, t : t + steps], part[:, t + 1 : t + steps + 1]
-                x = x[:, : y.shape[1]]
-                going = y[:, 0] >= 0
-                if not going.any():
-                    break
-                if not going.all():
-                    part, h, x, y = part[going], h[going], x[going], y[going]
-                loss, g, h = self.gradients(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), h)
-                for name, v in g.items():
-                    v /= len(part)
-                    past[name] += v * v
-                    self.w[name] -= (rate * v / np.sqrt(past[name])).astype(np.float32)
-                total, n = total + loss, n + int((y >= 0).sum())
-        return total / max(n, 1)
+        total, h = 0.0, np.zeros((len(order), self.hidden), np.float32)
+        for t in range(0, len(x), steps):
+            going = int(np.searchsorted(-long, -t, "left"))
+            at = slice(t, t + steps), slice(0, going)
+            loss, g, h = self.gradients(x[at], y[at], h[:going], new[at])
+            for name, v in g.items():
+                v /= going
+                past[name] += v * v
+                self.w[name] -= (rate * v / np.sqrt(past[name])).astype(np.float32)
+            total += loss
+        return total / max(int(lengths.sum()), 1)
 
     def packed(self) -> bytes:
         return np.concatenate([self.w[name].ravel() for name in self.NAMES]).astype(np.float32).tobytes()
@@ -300,52 +313,58 @@ def block_rows(batch: pa.RecordBatch) -> Iterator[dict]:
         }
 
 
-def training_windows(batches: Iterator[pa.RecordBatch], symbols: Symbols, share: float) -> Iterator[pa.RecordBatch]:
-    """A seeded share of the training documents' windows, as symbols after the end symbol or the word before."""
+def training_documents(batches: Iterator[pa.RecordBatch], symbols: Symbols, share: float) -> Iterator[pa.RecordBatch]:
+    """The training documents (or a seeded share of them) whole, as symbols; draw is seeded by id and symbols."""
+    small = np.uint16 if len(symbols.counts) <= 1 << 16 else np.int32
     for batch in batches:
         for r in block_rows(batch):
             local, lengths = np.frombuffer(r["local"], np.int32), np.frombuffer(r["lengths"], np.int32)
-            ids = symbols.look_up(r["hashes"])[local].astype(np.int32)
+            ids = symbols.look_up(r["hashes"])[local].astype(small)
             first = np.cumsum(lengths) - lengths
-            rows = []
-            for doc_id, held, low, n in zip(r["doc_ids"], r["held"], first.tolist(), lengths.tolist(), strict=True):
-                starts = np.arange(0, n, SPAN)
-                draw = mix(starts.astype(U) + U(zlib.crc32(str(doc_id).encode()) << 24))
-                for s in starts[(draw >> U(11)) < U(int(share * (1 << 53)))].tolist() if not held else []:
-                    before = ids[low + s - 1] if s else END
-                    rows.append((int(draw[s // SPAN] >> U(40)), np.append(np.int32(before), ids[low + s : low + min(n, s + SPAN)]).tobytes()))
+            own = [(d, ids[low : low + n].tobytes()) for d, held, low, n in zip(r["doc_ids"], r["held"], first.tolist(), lengths.tolist(), strict=True) if not held]
+            draw = mix(np.array([zlib.crc32(str(d).encode()) << 24 ^ zlib.crc32(b) for d, b in own], U))
+            rows = [(int(x >> U(40)), b, len(b) // ids.itemsize) for x, (_, b) in zip(draw, own, strict=True) if int(x >> U(11)) < int(share * (1 << 53))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["draw", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.int64())], ["draw", "ids", "n"])
 
 
-def trainer_of(counts: np.ndarray, weights):
+def trainer_of(counts: np.ndarray, weights, groups: int):
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         own = Network(counts).unpack(np.frombuffer(weights.value, np.float32))
-        rows = rows.sort_values(["draw", "window"])
-        table = np.full((len(rows), SPAN + 1), -1, np.int32)
-        for i, w in enumerate(rows["window"]):
-            ids = np.frombuffer(w, np.int32)
-            table[i, : len(ids)] = ids
-        own.train(table)
-        return pd.DataFrame({"n": [int((table >= 0).sum())], "weights": [own.packed()]})
+        trainer = int(rows["trainer"].iloc[0])
+        rows = rows.sort_values(["draw", "ids"])
+        small = np.dtype(np.uint16 if len(counts) <= 1 << 16 else np.int32)
+        own.train([np.append(np.int32(END), np.frombuffer(b, small).astype(np.int32)) for b in rows["ids"]])
+        return pd.DataFrame({"trainer": [trainer], "slot": [trainer % groups], "n": [int(rows["n"].sum())], "weights": [own.packed()]})
 
     return train
 
 
-def fit(windows: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """The network after some rounds of training in parallel; each round's trainers see other windows."""
-    spark = windows.sparkSession
+def averaged(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("trainer")
+    total = int(rows["n"].sum())
+    mean = sum(np.frombuffer(w, np.float32).astype(float) * (n / total) for n, w in zip(rows["n"], rows["weights"], strict=True))
+    return pd.DataFrame({"trainer": [int(rows["trainer"].iloc[0])], "slot": [0], "n": [total], "weights": [mean.astype(np.float32).tobytes()]})
+
+
+def fit(documents: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """The network after some rounds of training in parallel; each round's trainers see other documents, and together they see all."""
+    spark = documents.sparkSession
     network = Network(counts)
-    n = (windows.agg(F.sum(F.length("window"))).first()[0] or 0) // 4
-    trainers = max(1, min(MOST_TRAINERS, n // (rounds * TRAINER_TOKENS)))
+    n = documents.agg(F.sum("n")).first()[0] or 0
+    trainers = max(1, n // (rounds * TRAINER_TOKENS))
+    groups = math.isqrt(trainers - 1) + 1  # so the driver gets the root of the trainers' number of weights
+    ddl = "trainer long, slot long, n long, weights binary"
     for k in range(rounds if n else 0):
         weights = spark.sparkContext.broadcast(network.packed())  # a fixed size: it follows from the vocabulary and layers
 
-        mine = windows.where(F.col("draw") % rounds == k).withColumn("trainer", F.floor(F.col("draw") / rounds) % trainers)
-        got = mine.groupBy("trainer").applyInPandas(trainer_of(counts, weights), "n long, weights binary").collect()
+        mine = documents.where(F.col("draw") % rounds == k).withColumn("trainer", F.floor(F.col("draw") / rounds) % trainers)
+        # training takes long on few bytes: a stated number of partitions keeps them from being merged by size
+        got = mine.repartition(trainers, "trainer").groupBy("trainer").applyInPandas(trainer_of(counts, weights, groups), ddl)
+        got = got.groupBy("slot").applyInPandas(averaged, ddl).collect()
         if got:
-            total = sum(r["n"] for r in got)
-            network.unpack(sum(np.frombuffer(r["weights"], np.float32).astype(float) * (r["n"] / total) for r in got))
+            mean = averaged(pd.DataFrame(got, columns=["trainer", "slot", "n", "weights"]))
+            network.unpack(np.frombuffer(mean["weights"][0], np.float32))
         weights.destroy()
     return network
 
@@ -384,9 +403,9 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, share: float
     tokens, kinds = seen["n"] or 0, seen["v"]
     top = [(r["h"], r["c"]) for r in totals.orderBy(F.desc("c"), "h").limit(vocabulary).collect()]
     symbols = Symbols.of(top, tokens)
-    windows = store.write(blocks.mapInArrow(lambda it: training_windows(it, symbols, share), "draw long, window binary"), "windows")
+    training = store.write(blocks.mapInArrow(lambda it: training_documents(it, symbols, share), "draw long, ids binary, n long"), "training")
     counts = symbols.counts
-    weights = fit(windows, counts).packed()
+    weights = fit(training, counts).packed()
     of_block = words.select("block", "h").join(totals, "h").groupBy("block").agg(F.collect_list(F.struct("h", "c")).alias("totals"))
     known = blocks.select("block", "doc_ids", "held", "lengths", "local", "hashes").join(of_block, "block", "left")
     return known.drop("block").mapInArrow(lambda it: score_blocks(it, symbols, counts, weights, tokens, kinds), SCORES)

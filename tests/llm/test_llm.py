@@ -377,7 +377,7 @@ def test_op10_learns_from_short_texts_and_ends():
     r = np.random.default_rng(2)
     # a one-line document, and one whose second step holds two words and the end
     for n in (4, recurrent.STEPS + 3):
-        row = np.full((1, recurrent.SPAN + 1), -1, np.int32)
+        row = np.full((1, 97), -1, np.int32)
         row[0, : n + 1] = [recurrent.END, *r.integers(2, 12, n - 1), recurrent.END]
         net = recurrent.Network(np.ones(12))
         before = net.score(row[0, 1 : n + 1], np.array([n]))
@@ -395,6 +395,39 @@ def test_op10_learns_from_short_texts_and_ends():
     assert all(np.allclose(g[k], parts[0][1][k] + parts[1][1][k], atol=1e-4) for k in g)
 
 
+def test_op10_fits_on_all_training_documents_whole(docs, rows, monkeypatch):
+    seen, fit = [], recurrent.fit
+    monkeypatch.setattr(recurrent, "fit", lambda documents, *x: (seen.append(documents), fit(documents, *x))[1])
+    monkeypatch.setattr(recurrent, "TRAINER_TOKENS", 500)  # several trainers and groups of them
+    out = recurrent.score_documents(docs).collect()
+    got = sorted(r["n"] for r in seen[0].select("n").collect())
+    assert got == sorted(r["n_tokens"] for r in out if not r["held_out"]) and sum(got) == out[0]["train_tokens"]
+
+
+def test_op10_carries_state_through_a_document():
+    r = np.random.default_rng(3)
+    ids = [np.append(np.int32(recurrent.END), r.integers(0, 12, n)) for n in (150, 40)]
+    got, want = recurrent.Network(np.ones(12)), recurrent.Network(np.ones(12))
+    got.train(ids[:1], rate=0.1)
+    past, h = {k: np.ones_like(v) for k, v in want.w.items()}, np.zeros((1, want.hidden), np.float32)
+    for t in range(0, 150, recurrent.STEPS):
+        x, y = (ids[0][t + i : min(t + i + recurrent.STEPS, 150 + i)][:, None] for i in (0, 1))
+        _, g, h = want.gradients(x, y, h)
+        for k, v in g.items():
+            past[k] += v * v
+            want.w[k] -= (0.1 * v / np.sqrt(past[k])).astype(np.float32)
+    assert all(np.allclose(got.w[k], want.w[k], atol=1e-5) for k in want.w)
+    # two documents in a lane: neither state nor gradient crosses from one to the next
+    x, y = (np.concatenate([d[i : len(d) - 1 + i] for d in ids])[:, None] for i in (0, 1))
+    new = np.zeros(x.shape, bool)
+    new[[0, 150]] = True
+    zero = np.zeros((1, want.hidden), np.float32)
+    loss, g, _ = want.gradients(x, y, zero, new)
+    parts = [want.gradients(d[:-1, None], d[1:, None], zero) for d in ids]
+    assert loss == pytest.approx(sum(p[0] for p in parts), rel=1e-4)
+    assert all(np.allclose(g[k], parts[0][1][k] + parts[1][1][k], atol=1e-3) for k in g)
+
+
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs.select("doc_id", "text", "lang", "source", "n_chars")
