@@ -49,7 +49,9 @@ def containment_join(queries: DataFrame, codes: DataFrame, query: str, code: str
     """Pairs of a query code and a listed code of which one holds the other, both without points, hyphens and white space."""
     q = queries.withColumn("query_key", X.code_key(query)).where("query_key <> ''")
     c = codes.withColumn("code_key", X.code_key(code))
-    return q.join(c, F.contains("code_key", F.col("query_key")) | F.contains("query_key", F.col("code_key")))
+    # distinct keys meet each other, then their members join by equality
+    pairs = q.select("query_key").distinct().join(c.select("code_key").distinct(), F.contains("code_key", F.col("query_key")) | F.contains("query_key", F.col("code_key")))
+    return q.join(pairs, "query_key").join(c, "code_key")
 
 
 def first_seen(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -98,7 +100,10 @@ def retrieve(cases: DataFrame, codes: DataFrame, chunks: DataFrame, *, key: str,
     case_codes: an array column. Returns key, policy, score, rank, by_code.
     """
     asked = cases.select(key, F.posexplode(case_codes).alias("code_order", "query_code"))
-    hits = containment_join(asked, codes.select(policy, code, policy_order), "query_code", code)
+    # of one code key's policies, those after the first k have k others before them in every case that the key meets
+    listed = first_seen(codes.select(policy, code, policy_order, X.code_key(code).alias("quill_key")), ["quill_key", policy], [F.col(policy_order)])
+    listed = ranked(listed, ["quill_key"], [F.col(policy_order)], "quill_n").where(F.col("quill_n") <= k).drop("quill_key", "quill_n")
+    hits = containment_join(asked, listed, "query_code", code)
     hits = first_seen(hits, [key, policy], [F.col("code_order"), F.col(policy_order)])
     by_code = ranked(hits, [key], [F.col("code_order"), F.col(policy_order)]).where(F.col("rank") <= k)
     by_code = by_code.select(key, policy, F.lit(1.0).alias("score"), "rank", F.lit(True).alias("by_code"))

@@ -44,6 +44,25 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).limit(5).collect() is not None
 
 
+def equals(spark, db, name, sql, sf=SF):
+    got, want = plans.QUERIES[name](spark, sf), db.sql(sql)
+    got = rows(got.columns, [tuple(r) for r in got.collect()])
+    assert got == rows(want.columns, want.fetchall()) and got[1]
+
+
+def whole(name, *cuts):
+    """A query's SQL with its cuts taken out or changed: what the query over whole tables gives."""
+    sql = plans.SQL[name]
+    for old, new in cuts:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+def test_retrieval_looks_at_all_documents(spark, db):
+    equals(spark, db, "retrieve_with_fallback", whole("retrieve_with_fallback_60", (" where doc_id < 60", "")))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
