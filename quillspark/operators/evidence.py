@@ -37,19 +37,27 @@ def span_offsets(text: Column | str, profile: Profile = MEDICAL) -> Column:
     return F.arrow_udf(_offsets(profile.span.replace("(?d)", "")), kind)(text)
 
 
+def touched(text: Column, side: int, profile: Profile = MEDICAL) -> Column:
+    """A text's distinct tokens and, for each topic, whether it touches it as a criterion (side 1) or a span (side 2)."""
+    topics = [text.rlike(t[side]) for t in profile.topics]
+    return F.struct(F.array_distinct(X.analysis_tokens(text, profile.stop_words)).alias("tokens"), F.array(*topics).alias("topics"))
+
+
 def overlap_score(criterion: Column, span: Column, profile: Profile = MEDICAL) -> Column:
-    """Distinct tokens in common, plus points for each topic that both touch."""
-    tokens = lambda c: X.analysis_tokens(c, profile.stop_words)
-    score = F.size(F.array_intersect(tokens(criterion), tokens(span)))
-    for points, on_criterion, on_span in profile.topics:
-        score = score + F.when(criterion.rlike(on_criterion) & span.rlike(on_span), points).otherwise(0)
+    """Distinct tokens in common, plus points for each topic that both touch; both from touched()."""
+    score = F.size(F.array_intersect(criterion["tokens"], span["tokens"]))
+    for i, (points, *_) in enumerate(profile.topics):
+        score = score + F.when(criterion["topics"][i] & span["topics"][i], points).otherwise(0)
     return score
 
 
 def top_spans(criteria: DataFrame, found: DataFrame, on: list[str], criterion_key: list[str], profile: Profile = MEDICAL, k: int = 3, least: int = 2) -> DataFrame:
     """The k spans that overlap most with each criterion, ties in span order; criteria(text: criterion), found from spans()."""
+    # tokens and topics of each side are found before the join, once a row and not once a pair
+    criteria = criteria.withColumn("quill_c", touched(F.col("criterion"), 1, profile))
+    found = found.withColumn("quill_s", touched(F.col("text"), 2, profile))
     pairs = criteria.join(found, on) if on else criteria.crossJoin(found)
-    scored = pairs.withColumn("score", overlap_score(F.col("criterion"), F.col("text"), profile)).where(F.col("score") >= least)
+    scored = pairs.withColumn("score", overlap_score(F.col("quill_c"), F.col("quill_s"), profile)).where(F.col("score") >= least).drop("quill_c", "quill_s")
     return ranked(scored, criterion_key, [F.desc("score"), F.col("span")]).where(F.col("rank") <= k)
 
 

@@ -112,9 +112,19 @@ def keyword_topk(spark, d):
   select *, row_number() over (partition by q_id, label order by score desc, vec_id) as n from s), r as (
   select *, row_number() over (partition by q_id order by score desc, vec_id) as rank from b where n = 1)
 select q_id, vec_id, label, round(score, 6) as score, rank from r where rank <= 5""")
+def vector_topk_20(spark, d):
+    """vector_topk for the first 20 vectors, for its SQL."""
+    return _nearest(spark, d, "vec_id < 20")
+
+
+@query()
 def vector_topk(spark, d):
+    return _nearest(spark, d, "vec_id % 100 = 0")
+
+
+def _nearest(spark, d, asked: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))  # the stated queries
+    q = v.where(asked).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
     out = R.vector_topk(v, q, "embedding", "q", "q_id", "label", "vec_id")
     return out.select("q_id", "vec_id", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -244,7 +254,7 @@ def evidence_offsets(spark, d):
 
 
 def _criteria(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").where("item_id < 8").select("item_id", F.col("text").alias("criterion"))  # a stated set of criteria
+    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("criterion"))
 
 
 MATCHED = f"""c as (select item_id, text as criterion, {TOKENS.format(c="text")} as ct from benchmark where item_id < 8), st as (select *, {TOKENS.format(c="text")} as tt from sp), sc as (
@@ -254,9 +264,19 @@ MATCHED = f"""c as (select item_id, text as criterion, {TOKENS.format(c="text")}
 
 
 @query(f"with {SPANS}, {MATCHED} select item_id, doc_id, span, score::int as score, rank from top where rank <= 3")
+def criterion_top3_8(spark, d):
+    """criterion_top3 for the first 8 criteria, for its SQL."""
+    return _matched(spark, d, _criteria(spark, d).where("item_id < 8"))
+
+
+@query()
 def criterion_top3(spark, d):
+    return _matched(spark, d, _criteria(spark, d))
+
+
+def _matched(spark, d, criteria: DataFrame) -> DataFrame:
     found = V.spans(table(spark, d, "documents"), "doc_id", "text", PLAIN)
-    out = V.top_spans(_criteria(spark, d), found, [], ["item_id", "doc_id"], PLAIN)
+    out = V.top_spans(criteria, found, [], ["item_id", "doc_id"], PLAIN)
     return out.select("item_id", "doc_id", F.col("span").cast("long").alias("span"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -265,8 +285,18 @@ def criterion_top3(spark, d):
   select doc_id, item_id, i, 'item ' || (item_id % 4) || ': ' || es[i] as gap from (select *, unnest(range(1, len(es) + 1)) as i from m)), f as (
   select doc_id, gap, min((item_id, i)) as place from g group by all), r as (select *, row_number() over (partition by doc_id order by place) as n from f)
 select doc_id, string_agg(gap, '; ' order by n) as gaps from r where n <= 20 group by doc_id""")
+def gap_rollup_8(spark, d):
+    """gap_rollup for the first 8 criteria, for its SQL."""
+    return _gaps(spark, d, _criteria(spark, d).where("item_id < 8"))
+
+
+@query()
 def gap_rollup(spark, d):
-    criteria, docs = _criteria(spark, d), table(spark, d, "documents").select("doc_id", "text")
+    return _gaps(spark, d, _criteria(spark, d))
+
+
+def _gaps(spark, d, criteria: DataFrame) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
     top = V.top_spans(criteria, V.spans(docs, "doc_id", "text", PLAIN), [], ["item_id", "doc_id"], PLAIN)
     none = docs.select("doc_id").crossJoin(criteria).join(top.select("item_id", "doc_id").distinct(), ["item_id", "doc_id"], "left_anti")
     rows = none.select("doc_id", "item_id", F.expr("concat('item ', item_id % 4)").alias("title"), V.missing_elements("criterion", F.lit(False), PLAIN).alias("missing"))

@@ -63,6 +63,12 @@ def test_retrieval_looks_at_all_documents(spark, db):
     equals(spark, db, "retrieve_with_fallback", whole("retrieve_with_fallback_60", (" where doc_id < 60", "")))
 
 
+def test_searches_take_whole_query_sets(spark, db):
+    equals(spark, db, "vector_topk", whole("vector_topk_20", (" where vec_id < 20", " where vec_id % 100 = 0")))
+    for name in ("criterion_top3", "gap_rollup"):
+        equals(spark, db, name, whole(name + "_8", (" where item_id < 8", "")))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
