@@ -54,6 +54,20 @@ def containment_join(queries: DataFrame, codes: DataFrame, query: str, code: str
     return q.join(pairs, "query_key").join(c, "code_key")
 
 
+def window_join(quotes: DataFrame, sources: DataFrame, key: str, source_key: str, quote: str, source: str) -> DataFrame:
+    """Pairs of a quote and a source (token arrays) that holds the quote in order within a window (has_ordered_window).
+
+    A source must have every token of the quote, so the quote's rarest one finds the sources by equality before the exact test.
+    """
+    has = sources.select(source_key, F.explode(F.array_distinct(source)).alias("quill_t"))  # a token goes without the source's other tokens
+    asked = quotes.where(F.size(quote) >= 4).select(key, F.explode(F.array_distinct(quote)).alias("quill_t"))
+    often = has.join(asked.select("quill_t").distinct(), "quill_t", "left_semi").groupBy("quill_t").agg(F.count("*").alias("quill_n"))
+    rarest = asked.join(often, "quill_t", "left").groupBy(key).agg(F.min_by("quill_t", F.struct(F.coalesce("quill_n", F.lit(0)), "quill_t")).alias("quill_t"))
+    pairs = has.join(rarest, "quill_t").select(key, source_key)
+    near = pairs.join(quotes, key).join(sources, source_key)
+    return near.where(X.has_ordered_window(quote, source))
+
+
 def first_seen(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return ranked(df, key, order, "quill_n").where("quill_n = 1").drop("quill_n")

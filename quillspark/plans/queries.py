@@ -57,8 +57,18 @@ def code_search_batch(spark, d):
 @query(rf"""with q as (select item_id, {TERMS.format(n=9)} as ts from benchmark), h as (
   select item_id, doc_id, row_number() over (partition by item_id order by doc_id) as rank from (select doc_id, lower(text || coalesce(source, '')) as t from documents) join q on len(list_filter(ts, lambda x: contains(t, x))) > 0)
 select item_id, doc_id, rank from h where rank <= 5""")
+def any_term_search_9(spark, d):
+    """any_term_search with only the terms of nine characters or more, for its SQL."""
+    return _any_term(spark, d, F.array_join(X.keyword_terms("text", 9), " "))
+
+
+@query()
 def any_term_search(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", F.array_join(X.keyword_terms("text", 9), " ").alias("q"))
+    return _any_term(spark, d, F.col("text"))
+
+
+def _any_term(spark, d, asked) -> DataFrame:
+    q = table(spark, d, "benchmark").select("item_id", asked.alias("q"))
     return R.any_term_search(table(spark, d, "documents"), q, F.concat("text", F.coalesce("source", F.lit(""))), "q", "item_id", "doc_id").select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -195,12 +205,10 @@ def quote_grounding(spark, d):
 
 @query()
 def quote_window(spark, d):
-    """Documents that hold a passage's first twelve tokens in order within a window."""
-    q = table(spark, d, "benchmark").select("item_id", F.slice(X.grounding_tokens(X.grounding_normalized("text", full=False)), 1, 12).alias("q"))
-    s = table(spark, d, "documents").select("doc_id", X.grounding_tokens(X.grounding_normalized("text", full=False)).alias("s"))
-    # the passage's first token meets the documents that have it: an equi-join before the window test
-    near = s.select("doc_id", "s", F.explode(F.array_distinct("s")).alias("t")).join(q.select("item_id", "q", F.get("q", F.lit(0)).alias("t")), "t")
-    return near.where(X.has_ordered_window("q", "s")).select("item_id", "doc_id")
+    """Documents that hold all of a passage's tokens in order within a window."""
+    q = table(spark, d, "benchmark").select("item_id", X.grounding_tokens(X.grounding_normalized("text")).alias("q"))
+    s = table(spark, d, "documents").select("doc_id", X.grounding_tokens(X.grounding_normalized("text")).alias("s"))
+    return R.window_join(q, s, "item_id", "doc_id", "q", "s").select("item_id", "doc_id")
 
 
 FACTS = r"[0-9]+(?:\.[0-9]+)? ?(?:mm|kg|days|%)"

@@ -3,6 +3,9 @@
 import glob
 import math
 import os
+import random
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -69,6 +72,51 @@ def test_searches_take_whole_query_sets(spark, db):
         equals(spark, db, name, whole(name + "_8", (" where item_id < 8", "")))
 
 
+def grounding_tokens(text):
+    """The reference's normalisation (F4) and tokens (F5) in plain Python."""
+    text = unicodedata.normalize("NFKC", text)
+    for many, one in (("“”", '"'), ("‘’", "'"), ("–—−", "-"), ("²", "2"), ("³", "3")):
+        text = re.sub(f"[{many}]", one, text)
+    text = re.sub("[^a-z0-9%/]+", " ", text.lower().replace("&", " and ")).strip()
+    return text, [x for x in text.split() if len(x) > 1 or re.search("[0-9]", x)]
+
+
+def holds(quote, source):
+    if len(quote) < 4 or len(source) < len(quote):
+        return False
+    for start in (i for i, x in enumerate(source) if x == quote[0]):
+        at = 0
+        for x in source[start : start + len(quote) + max(6, (3 * len(quote) + 3) // 4)]:
+            at += x == quote[at]
+            if at == len(quote):
+                return True
+    return False
+
+
+def fixture(spark, path, benchmark, documents):
+    spark.createDataFrame([*enumerate(benchmark)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, None) for i, t in enumerate(documents)], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_quote_window_takes_all_tokens(spark, tmp_path):
+    r = random.Random(7)
+    word = [f"word{k}" for k in range(9)] + ["5", "x", "ﬁne", "A—b"]
+    quotes = [" ".join(r.choices(word, k=n)) for n in (2, 4, 5, 8, 13, 20, 30) for _ in range(3)]
+    docs = [" ".join(x for w in q.split() for x in ([w] if r.random() < 0.97 else []) + r.choices(word, k=r.random() < 0.3)) for q in quotes for _ in range(3)]
+    opening = quotes[-1].split()[:14]
+    docs += [" ".join(opening + ["other"] * 30), "", f"so {quotes[-1]} ends", f"so {quotes[-4].upper()} ends"]
+    got = {(x["item_id"], x["doc_id"]) for x in plans.QUERIES["quote_window"](spark, fixture(spark, tmp_path, quotes, docs)).collect()}
+    tokens = [[grounding_tokens(x)[1] for x in many] for many in (quotes, docs)]
+    want = {(i, k) for i, q in enumerate(tokens[0]) for k, s in enumerate(tokens[1]) if holds(q, s)}
+    assert got == want and len(want) > 15 and (len(quotes) - 1, len(docs) - 4) not in got and (len(quotes) - 1, len(docs) - 2) in got
+
+
+def test_any_term_search_takes_short_terms(spark, db):
+    cut = plans.TERMS.format(n=9)
+    equals(spark, db, "any_term_search", whole("any_term_search_9", (cut, plans.TERMS.format(n=3))))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
