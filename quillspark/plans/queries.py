@@ -182,13 +182,14 @@ NORMALIZED = r"trim(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9%
 
 @query(rf"""select doc_id, md5(n) as text_md5, len(list_filter(string_split(n, ' '), lambda t: length(t) > 1 or regexp_matches(t, '[0-9]')))::int as n_tokens
   from (select doc_id, {NORMALIZED.format(c="text")} as n from documents where not regexp_matches(text, '[^\x00-\x7F]'))""")
-def grounding_normalize(spark, d):
+def grounding_normalize_ascii(spark, d):
+    """grounding_normalize of the ASCII texts, for its SQL, which has no NFKC."""
     n = table(spark, d, "documents").where(X.ascii_only("text")).select("doc_id", X.grounding_normalized("text").alias("n"))
     return n.select("doc_id", F.md5("n").alias("text_md5"), F.size(X.grounding_tokens("n")).alias("n_tokens"))
 
 
 @query()
-def grounding_normalize_unicode(spark, d):
+def grounding_normalize(spark, d):
     n = table(spark, d, "documents").select("doc_id", X.grounding_normalized("text").alias("n"))
     return n.select("doc_id", F.md5("n").alias("text_md5"), F.size(X.grounding_tokens("n")).alias("n_tokens"))
 

@@ -1,6 +1,7 @@
 """Every query with SQL, side by side with DuckDB on the smallest tables."""
 
 import glob
+import hashlib
 import math
 import os
 import random
@@ -117,6 +118,25 @@ def test_any_term_search_takes_short_terms(spark, db):
     equals(spark, db, "any_term_search", whole("any_term_search_9", (cut, plans.TERMS.format(n=3))))
 
 
+def test_grounding_normalize_of_all_texts(spark, tmp_path):
+    texts = ["plain & simple, 5%", "“Quoted” – it’s 5−3 m² and x³ — a/b", "ﬁne Ｆｕｌｌ ½ ① naïve Äpfel", "漢字 ΑΒΓ ï", "İstanbul ß K Å", "a\u00a0b\u2003c", "", "‘7’ x y 8"]
+    got = {r["doc_id"]: (r["text_md5"], r["n_tokens"]) for r in plans.QUERIES["grounding_normalize"](spark, fixture(spark, tmp_path, [], texts)).collect()}
+    want = {}
+    for i, x in enumerate(texts):
+        normal, tokens = grounding_tokens(x)
+        want[i] = (hashlib.md5(normal.encode()).hexdigest(), len(tokens))
+    assert got == want
+
+
+def test_grounding_normalize_takes_every_document(spark, db):
+    texts = dict(db.sql("select doc_id, text from documents where text is not null").fetchall())
+    assert any(not x.isascii() for x in texts.values())
+    got = {r["doc_id"]: (r["text_md5"], r["n_tokens"]) for r in plans.QUERIES["grounding_normalize"](spark, SF).collect() if r["doc_id"] in texts}
+    plain_version = {i: grounding_tokens(x) for i, x in texts.items()}
+    assert got == {i: (hashlib.md5(n.encode()).hexdigest(), len(t)) for i, (n, t) in plain_version.items()}
+
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
