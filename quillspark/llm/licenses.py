@@ -4,8 +4,10 @@ All rolling three-word hashes of every text are joined with the templates' (the
 set is made where the hashes are computed, so only hashes that will join are shuffled). A match of word
 position p with template position q votes for the diagonal p - q, on which an unchanged copy lies whole:
 1. votes are aggregated by document, template and diagonal. A base phrase is found where a diagonal has all its votes;
-2. neighbouring diagonals (inserted or missing words shift a copy by a few) are merged, and spans with enough
-   votes are compared with the template word by word; similar ones give the template's label, of overlapping ones the best.
+2. the matches of a document with a template are chained in the order of both; a template position occurs once in a chain, so
+   copies stay apart, and words may be inserted or missing as far as the least likeness of a template so long allows. Spans from
+   the first to the last matched word are compared with the template word by word; similar ones give the template's
+   label, of overlapping ones the best.
 
 Templates are a parameter; their number of three-word runs is that of the words given here, which bounds the
 broadcast. Defined results: a null text has no words and no labels; equal rows get equal results; extra
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from . import store
 from .words import Words, joined, lists, runs, signed, slices
 
-GRAM, NEIGHBOURS, LEAST_VOTES, LEAST_SIMILARITY = 3, 4, 0.4, 0.8
+GRAM, LEAST_VOTES, LEAST_SIMILARITY = 3, 0.4, 0.8
 
 
 @dataclass(frozen=True)
@@ -112,14 +114,73 @@ GRAM_TYPE = T.StructType([T.StructField("hash", T.LongType()), T.StructField("po
 SURVEY = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("grams", T.ArrayType(GRAM_TYPE)), T.StructField("clips", T.ArrayType(CLIP_TYPE))])
 
 
-def likeness(templates: tuple[Template, ...], template: pa.Array, start: pa.Array, end: pa.Array, clips: pa.Array) -> pa.Array:
-    """How alike the span of words and the template are, from 0 to 1: twice the words in order in both over all words."""
+def chains(hits: list[tuple[int, int]], length: int, most: int) -> list[list[tuple[int, int]]]:
+    """Chains of (position, template position), the best first, none with a match of another.
+
+    A span of m words with M of them matched is alike enough where M - share * m >= share * length, share being half
+    the least likeness; so a chain's value is M - share * m, and no gap over 1.5 * length can pay. most: how many words of a gap may
+    count as matched.
+    """
+    share, hits = LEAST_SIMILARITY / 2, sorted(hits)
+    value, back, first = [], [-1] * len(hits), 0
+    for j, (p, q) in enumerate(hits):
+        while p - hits[first][0] > 1.5 * length:
+            first += 1
+        best = GRAM * (1 - share)
+        for i in range(j - 1, first - 1, -1):
+            a, b = p - hits[i][0], q - hits[i][1]
+            if a > 0 and b > 0 and (v := value[i] + min(most, a, b) - share * a) > best:
+                best, back[j] = v, i
+        value.append(best)
+    used, out = [False] * len(hits), []
+    for j in sorted(range(len(hits)), key=lambda j: (-value[j], j)):
+        own = []
+        while j >= 0 and not used[j]:
+            used[j] = True
+            own.append(hits[j])
+            j = back[j]
+        if own:
+            out.append(own[::-1])
+    return out
+
+
+def copies(template: list[str], hits: list[tuple[int, int]], words: dict[int, str]) -> list[tuple[int, int, float]]:
+    """(start, end, likeness) of the spans that are alike enough, none overlapping a better one. Likeness is twice the words in order in both over all words."""
+    n, spans, matcher = len(template), {}, SequenceMatcher(None, template, autojunk=False)
+    for most in (GRAM, n):
+        for chain in chains(hits, n, most):
+            if len(chain) < LEAST_VOTES * (n - GRAM + 1):
+                continue
+            (a, qa), (b, qb) = chain[0], chain[-1]
+            wide = max(a - qa, 0), b + n - qb
+            own = [words.get(k, "") for k in range(*wide)]
+            matcher.set_seq2(own)
+            blocks = [x for x in matcher.get_matching_blocks() if x.size]
+            # single words at the ends match too; the span ends at the last matched word
+            for low, high in ((a, b + GRAM), (wide[0] + blocks[0].b, wide[0] + blocks[-1].b + blocks[-1].size) if blocks else (a, b + GRAM)):
+                if (low, high) not in spans:
+                    matcher.set_seq2([words.get(k, "") for k in range(low, high)])
+                    spans[low, high] = matcher.ratio()
+    out: list[tuple[int, int, float]] = []
+    taken: set[int] = set()
+    for (low, high), score in sorted(spans.items(), key=lambda x: (-x[1], x[0][0] - x[0][1], x[0])):
+        if score >= LEAST_SIMILARITY and taken.isdisjoint(range(low, high)):
+            taken.update(range(low, high))
+            out.append((low, high, score))
+    return out
+
+
+def likeness(templates: tuple[Template, ...], template: pa.Array, hits: pa.Array, clips: pa.Array) -> pa.Array:
     own = [t.text.split() for t in templates]
     out = []
-    for t, a, b, clip in zip(template.to_pylist(), start.to_pylist(), end.to_pylist(), clips.to_pylist(), strict=True):
-        words = [w for c in clip or [] for i, w in enumerate(c["words"], c["start"]) if a <= i < b]
-        out.append(SequenceMatcher(None, own[t], words, autojunk=False).ratio())
-    return pa.array(out, pa.float64())
+    for t, found, clip in zip(template.to_pylist(), hits.to_pylist(), clips.to_pylist(), strict=True):
+        words = {i: w for c in clip or [] for i, w in enumerate(c["words"], c["start"])}
+        out.append([{"start": a, "end": b, "score": x} for a, b, x in copies(own[t], [(h["pos"], h["at"]) for h in found], words)])
+    return pa.array(out, COPIES)
+
+
+COPIES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+COPY_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
@@ -134,19 +195,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> tuple[
     facts = spark.createDataFrame([(i, t.label, t.base, len(t.text.split())) for i, t in enumerate(templates)], "template int, label string, base boolean, length long")
     votes = surveyed.select("doc_id", "key", F.explode("grams").alias("g")).select("doc_id", "key", "g.*").distinct()
     votes = votes.join(F.broadcast(joined_to), "hash").withColumn("diagonal", F.col("pos") - F.col("at"))
-    diagonals = votes.groupBy("doc_id", "key", "template", "diagonal").agg(F.count("*").alias("votes")).join(F.broadcast(facts), "template")
-    diagonals = store.write(diagonals, "diagonals")
-    exact = diagonals.where(F.col("base") & (F.col("votes") == F.col("length") - GRAM + 1))
+    votes = store.write(votes.join(F.broadcast(facts), "template"), "votes")
+    diagonals = votes.where("base").groupBy("doc_id", "key", "template", "label", "base", "length", "diagonal").agg(F.count("*").alias("votes"))
+    exact = diagonals.where(F.col("votes") == F.col("length") - GRAM + 1)
     exact = exact.select("doc_id", "key", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("end"), F.lit(1.0).alias("score"))
-    mine = "partition by doc_id, key, template order by diagonal"
-    near = diagonals.where("not base").withColumn("new", F.expr(f"coalesce(diagonal - lag(diagonal) over ({mine}) > {NEIGHBOURS}, true)"))
-    near = near.withColumn("run", F.expr(f"sum(int(new)) over ({mine})"))
-    near = near.groupBy("doc_id", "key", "template", "label", "length", "run").agg(F.sum("votes").alias("votes"), F.greatest(F.min("diagonal"), F.lit(0)).alias("start"), (F.max("diagonal") + F.col("length")).alias("end"))
-    near = near.where(F.col("votes") >= LEAST_VOTES * (F.col("length") - GRAM + 1))
-    compare = F.arrow_udf(lambda *x: likeness(templates, *x), T.DoubleType()).asNondeterministic()
+    near = votes.where("not base").groupBy("doc_id", "key", "template", "label", "length").agg(F.collect_list(F.struct("pos", "at")).alias("hits"))
+    near = near.where(F.size("hits") >= LEAST_VOTES * (F.col("length") - GRAM + 1))
+    compare = F.arrow_udf(lambda *x: likeness(templates, *x), COPY_TYPE).asNondeterministic()
     clips = surveyed.where("size(clips) > 0").groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.first("clips").alias("clips"))
-    near = near.join(clips, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))).withColumn("score", compare("template", "start", "end", "clips")).where(F.col("score") >= LEAST_SIMILARITY)
-    spans = exact.unionByName(near.select("doc_id", "key", "label", F.lit(False).alias("base"), "start", "end", "score"))
+    near = near.join(clips, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "label", F.explode(compare("template", "hits", "clips")).alias("copy"))
+    spans = exact.unionByName(near.select("doc_id", "key", "label", F.lit(False).alias("base"), "copy.*"))
     # of spans that overlap, only the most alike (of equals the longest) gives its label; base phrases always do
     best = """filter(spans, x -> x.base or not exists(spans, y -> y.start < x.end and y.end > x.start
         and (y.score > x.score or y.score = x.score and y.end - y.start > x.end - x.start)))"""

@@ -318,6 +318,32 @@ def test_op9_changed_notices(spark):
     assert sorted((r["doc_id"], r["label"]) for r in spans.collect()) == [(0, "gpl-3"), (1, "bsd"), (3, "all-rights-reserved")]
 
 
+def test_op9_repeated_and_widely_changed_notices(spark):
+    text = {t.label: t.text for t in licenses.TEMPLATES if not t.base}
+    cc0, isc, half = text["cc0"].split(), text["isc"].split(), len(text["cc0"].split()) // 2
+    wide = " ".join([*cc0[:half], "one", "two", "three", "four", "five", *cc0[half:]])
+    texts = [
+        "All rights reserved. All rights reserved.",
+        "\n".join(f"All rights reserved {k % 3 * 'x'}" for k in range(300)),
+        wide,
+        f"{wide} {wide} and {' '.join(isc)}. {' '.join(isc)}",
+        " ".join([*isc[:8], "the", "to", *isc]),  # a torn copy before a whole one
+        " ".join([*cc0, *["other"] * 6, *cc0[-4:]]),  # and a stray tail after one
+        " ".join([*cc0[:half], *["more"] * 16, *cc0[half:]]),  # too much between
+    ]
+    _, spans = licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    got = {k: [] for k in range(len(texts))}
+    for r in spans.collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["label"], round(r["score"], 3)))
+    n, m = len(cc0), len(isc)
+    assert sorted(got[0]) == [(0, 3, "all-rights-reserved", 1.0), (3, 6, "all-rights-reserved", 1.0)]
+    assert len(got[1]) == 300
+    like = round(2 * n / (2 * n + 5), 3)
+    assert got[2] == [(0, n + 5, "cc0", like)]
+    assert sorted(got[3]) == [(0, n + 5, "cc0", like), (n + 5, 2 * n + 10, "cc0", like), (2 * n + 11, 2 * n + 11 + m, "isc", 1.0), (2 * n + 11 + m, 2 * n + 11 + 2 * m, "isc", 1.0)]
+    assert got[4] == [(10, 10 + m, "isc", 1.0)] and got[5] == [(0, n, "cc0", 1.0)] and got[6] == []
+
+
 def test_op10_base_scores_and_rest(docs, rows, empty):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     tokens = {i: [*words(t, True), None] for i, t, *_ in rows}
