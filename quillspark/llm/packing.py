@@ -4,13 +4,13 @@
    rest (shorter than a window) waits to be packed.
 2. Rests are range-partitioned by a MinHash of their token pairs, so that similar texts come to lie together (equal hashes
    are split by doc_id, so a large group of copies spreads), and each partition is streamed in shards of bounded size.
-3. A shard is a BM25 inverted index over token ids. The next unused rest is the seed; its rarest tokens are the
+3. A shard is a BM25 inverted index over token ids. The next unused rest is the seed; all its tokens are the
    query; unused neighbours fill the window from the best on, and the best that no longer fits is cut to fill
    it exactly; what is cut off stays unused. Rests left in an unfilled window go on to the next shard.
 So only the last sequence of a partition can be short, and padding is below one window a partition.
 
-Ids come from a public tokenizer's file, whose path is a parameter. Texts are cut at white space in the way of its own
-pre-tokenizer, and each distinct piece is encoded once a task.
+Ids come from a public tokenizer's file, whose path is a parameter. Texts are cut at its added tokens, which have ids of their
+own, and between them at white space in the way of its own pre-tokenizer; each distinct piece is encoded once a task.
 
 Defined results: a null text is empty and has only its end id; equal rows are packed separately; extra columns are
 ignored; an empty table gives an empty result.
@@ -18,12 +18,16 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +36,8 @@ from . import store
 from .words import U, Words, mix, slices
 
 WINDOW, END_ID = 2048, 1
-#: Rests and their tokens in one index, tokens in one partition, query tokens.
-SHARD_DOCS, SHARD_TOKENS, PARTITION_TOKENS, QUERY_TOKENS = 2048, 1_500_000, 3_000_000, 24
+#: Rests and their tokens in one index, tokens in one partition.
+SHARD_DOCS, SHARD_TOKENS, PARTITION_TOKENS = 2048, 1_500_000, 3_000_000
 K1, B = 1.2, 0.75
 #: White space as the pre-tokenizer has it (Unicode's property White_Space): fixed values.
 SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -48,19 +52,16 @@ def tokenizer_path() -> str:
 
 
 def load_tokenizer(path: str):
-    """A function from pieces (bytes) to all their ids and each one's number of ids, special tokens being ordinary text.
+    """A function from pieces (bytes) to all their ids and each one's number of ids; ranks have no added tokens.
 
     path: a tokenizer's JSON, or a ranks file. Ranks encode the pieces that begin with a space as one text, in which
     each stays a pre-token of its own; the tokens' lengths in bytes tell where a piece ends.
     """
     if path.endswith(".json"):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda pieces: numbered([e.ids for e in tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)])
     import base64
 
@@ -89,6 +90,15 @@ def load_tokenizer(path: str):
     return ids_of
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The ids of the tokens that a tokenizer's JSON adds to its model; a ranks file's are those of the JSON beside it, if there is one."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or []}
+
+
 def numbered(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
@@ -99,7 +109,7 @@ class Encoder:
     def __init__(self, path: str, most: int = 800_000):
         self.ids_of = load_tokenizer(path)
         self.most = most
-
+        self.added = added_tokens(path)
         self.clear()
 
     def clear(self) -> None:
@@ -107,6 +117,16 @@ class Encoder:
         self.codes, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; texts are cut at added tokens first, as each part is a text of its own to the pre-tokenizer."""
+        if not any(pc.any(pc.match_substring(column, t)).as_py() for t in self.added):
+            return self.parts(column)
+        # of added tokens that begin at the same place the longest counts
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        rows = [cut.split(t or "") for t in column.to_pylist()]
+        found = iter(self.parts(pa.array([x for row in rows for x in row[::2]], column.type)))
+        return [np.concatenate([np.array([self.added[x]], np.uint32) if k % 2 else next(found) for k, x in enumerate(row)]) for row in rows]
+
+    def parts(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; pieces are cut, hashed and made distinct as arrays, and only new ones are encoded."""
         w = Words(column)
         starts, ends = pieces(w)
@@ -234,10 +254,8 @@ class Shard:
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
-        """Each rest's score for the seed's rarest tokens that others have too."""
+        """Each rest's score for all the seed's tokens that others have too."""
         terms = self.rank[self.doc_at[seed] : self.doc_at[seed + 1]]
-        if len(terms) > QUERY_TOKENS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TOKENS)[:QUERY_TOKENS]]
         terms = terms[self.idf[terms] > 0]
         if not len(terms):
             return np.zeros(self.n)

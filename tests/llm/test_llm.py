@@ -227,6 +227,33 @@ def test_op5_ids_equal_the_tokenizer():
     assert [x.tolist() for x in encoder(column)] == [x.tolist() for x in json(column)] == want
 
 
+def test_op5_added_tokens_equal_the_tokenizer_at_its_defaults(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(JSON), packing.Encoder(packing.tokenizer_path())
+    parts = ["<|endoftext|>", "<|endoftext|>", " ", "  ", "\n\n", "word", "é's", "<|endo", "|>", "\u3000", "9"]
+    texts = ["".join(R.choices(parts, k=R.randrange(12))) for _ in range(1500)] + ["a  <|endoftext|>  b<|endoftext|><|endoftext|>", "plain"]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder(pa.array([*texts, None]))] == [*want, []] and 50256 in want[-2]
+    out = packing.pack_documents(spark.createDataFrame([(1, texts[-2])], "doc_id long, text string")).collect()
+    assert [r["ids_crc32"] for r in out] == [zlib.crc32(np.array([*want[-2], 1], "<u4").tobytes())]
+
+
+def test_op5_scores_all_terms_of_the_seed():
+    r = np.random.default_rng(4)
+    rests = [r.integers(0, 200, n, dtype=np.uint32) for n in (300, 50, 120, 200, 90)]
+    n, mean = len(rests), np.mean([len(x) for x in rests])
+    df = Counter(t for x in rests for t in set(x.tolist()))
+    idf = {t: np.log1p((n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    k1, b = packing.K1, packing.B
+    for seed, q in enumerate(rests):
+        got = packing.Shard(rests).scores(seed)
+        for d, x in enumerate(rests):
+            if d != seed:
+                c = Counter(x.tolist())
+                assert got[d] == pytest.approx(sum(idf[t] * c[t] * (k1 + 1) / (c[t] + k1 * (1 - b + b * len(x) / mean)) for t in set(q.tolist()) if c[t]))
+
+
 def test_op5_bm25_neighbours_come_first():
     topic = lambda k: np.random.default_rng(k).integers(1000 * (k % 4), 1000 * (k % 4) + 40, 500, dtype=np.uint32)
     sequences, left = packing.fill([topic(k) for k in range(40)])
