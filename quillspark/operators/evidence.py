@@ -3,23 +3,39 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import text as X
-from quillspark.operators.search import ranked
+from quillspark.operators.search import in_blocks, ranked
 from quillspark.profiles import MEDICAL, Profile
 
 
-def spans(notes: DataFrame, key: str, text: str, profile: Profile = MEDICAL, limit: int = 80) -> DataFrame:
-    """key, span (from 1 over the kept ones), text, category: pieces of text that may be evidence, at most so many a note."""
-    pieces = notes.select(key, F.posexplode(X.all_matches(text, profile.span)).alias("at", "piece"))
-    pieces = pieces.select(key, "at", X.trimmed("piece").alias("text")).where((F.col("text") != "") & F.col("text").rlike(profile.span_candidate))
-    return ranked(pieces, [key], [F.col("at")], "span").where(F.col("span") <= limit).select(key, "span", "text", X.first_label("text", profile.categories, "other").alias("category"))
+def span_array(text: Column | str, profile: Profile = MEDICAL, limit: int = 80, offsets: bool = False) -> Column:
+    """The pieces of text that may be evidence, in order, the first so many: texts, or structs with start and end of the untrimmed piece."""
+    pieces = F.transform(X.all_matches(text, profile.span), lambda x: X.trimmed(x))
+    holds = lambda x: (x != "") & x.rlike(profile.span_candidate)
+    if not offsets:
+        return F.slice(F.filter(pieces, holds), 1, limit)
+    placed = F.zip_with(pieces, span_offsets(text, profile), lambda x, at: F.struct(x.alias("text"), at["start"].alias("start"), at["end"].alias("end")))
+    return F.slice(F.filter(placed, lambda x: holds(x["text"])), 1, limit)
+
+
+def spans(notes: DataFrame, key: str, text: str, profile: Profile = MEDICAL, limit: int = 80, offsets: bool = False) -> DataFrame:
+    """key, span (from 1 over the kept ones), text, category (and start, end in code points): a note's evidence; nothing is shuffled."""
+    pieces = notes.select(key, F.posexplode(span_array(text, profile, limit, offsets)).alias("at", "piece"))
+    own = F.col("piece.text") if offsets else F.col("piece")
+    rows = pieces.select(key, (F.col("at") + 1).alias("span"), own.alias("text"), *(["piece.start", "piece.end"] if offsets else []))
+    return rows.withColumn("category", X.first_label("text", profile.categories, "other"))
 
 
 def _offsets(pattern: str):
@@ -52,15 +68,135 @@ def overlap_score(criterion: Column, span: Column, profile: Profile = MEDICAL) -
 
 
 def top_spans(criteria: DataFrame, found: DataFrame, on: list[str], criterion_key: list[str], profile: Profile = MEDICAL, k: int = 3, least: int = 2) -> DataFrame:
-    """The k spans that overlap most with each criterion, ties in span order; criteria(text: criterion), found from spans()."""
+    """The k spans of its own key that overlap most with each criterion, ties in span order; criteria(text: criterion), found from spans().
+
+    For a stated set of criteria that meets all notes see top_spans_of_all().
+    """
     # tokens and topics of each side are found before the join, once a row and not once a pair
     criteria = criteria.withColumn("quill_c", touched(F.col("criterion"), 1, profile))
     found = found.withColumn("quill_s", touched(F.col("text"), 2, profile))
-    pairs = criteria.join(found, on) if on else criteria.crossJoin(found)
+    pairs = criteria.join(found, on)
     scored = pairs.withColumn("score", overlap_score(F.col("quill_c"), F.col("quill_s"), profile)).where(F.col("score") >= least).drop("quill_c", "quill_s")
     return ranked(scored, criterion_key, [F.desc("score"), F.col("span")]).where(F.col("rank") <= k)
 
 
+class Criteria:
+    """A block of a stated set of criteria as matrices: tokens by criteria, and topics by criteria."""
+
+    def __init__(self, keys: list, tokens: list[list[str]], topics: list[list[bool]], profile: Profile):
+        words = sorted({t for own in tokens for t in own})
+        number = {t: i for i, t in enumerate(words)}
+        self.keys, self.words = keys, pa.array(words, pa.string())
+        self.weight = np.zeros((len(words), len(keys)), np.float32)
+        for q, own in enumerate(tokens):
+            self.weight[[number[t] for t in own], q] = 1
+        self.topics = np.array(topics, bool).reshape(len(keys), len(profile.topics)).T
+        self.points = [t[0] for t in profile.topics]
+
+    def scored(self, batch: pa.RecordBatch, most: int = 2000) -> Iterator[tuple[int, int, np.ndarray, dict[str, pa.Array]]]:
+        """(note, first span of the batch, scores (spans, criteria), the batch's spans by field) of every note with spans."""
+        column = batch.column(1)
+        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        whole = column.flatten()
+        field = dict(zip([f.name for f in whole.type], whole.flatten(), strict=True))
+        size = field["tokens"].value_lengths().to_numpy(zero_copy_only=False)
+        term = pc.fill_null(pc.index_in(field["tokens"].flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(size)), size)[term >= 0]
+        term = term[term >= 0]
+        touched = field["topics"].flatten().to_numpy(zero_copy_only=False).reshape(len(size), -1)
+        note = 0
+        while note < len(ends):
+            low = int(ends[note - 1]) if note else 0
+            to = max(note + 1, int(np.searchsorted(ends, low + most, "right")))
+            high = int(ends[to - 1])
+            scores = np.zeros((high - low, len(self.keys)), np.float32)
+            at = slice(*np.searchsorted(row, [low, high]))
+            if at.start < at.stop:
+                rows, starts = np.unique(row[at], return_index=True)
+                scores[rows - low] = np.add.reduceat(self.weight[term[at]], starts)
+            for points, mine, asked in zip(self.points, touched[low:high].T, self.topics, strict=True):
+                scores[np.ix_(mine, asked)] += points
+            for n in range(note, to):
+                a, b = int(ends[n - 1]) if n else 0, int(ends[n])
+                yield n, a, scores[a - low : b - low], field
+            note = to
+
+
+def _spans_of_notes(notes: DataFrame, key: str, text: str, profile: Profile) -> DataFrame:
+    span = lambda x: F.struct(x.alias("text"), X.first_label(x, profile.categories, "other").alias("category"), *(touched(x, 2, profile)[c].alias(c) for c in ("tokens", "topics")))
+    return notes.select(F.col(key).alias("quill_key"), F.transform(span_array(text, profile), span).alias("quill_spans"))
+
+
+def _in_blocks(criteria: DataFrame, profile: Profile, *columns: Column | str) -> Iterator[list]:
+    side = touched(F.col("criterion"), 1, profile)
+    return in_blocks(criteria.select(*columns, side["tokens"].alias("quill_tokens"), side["topics"].alias("quill_topics")), "quill_tokens")
+
+
+def top_spans_of_all(criteria: DataFrame, notes: DataFrame, criterion_key: str, key: str, text: str, profile: Profile = MEDICAL, k: int = 3, least: int = 2) -> DataFrame:
+    """criterion_key, key, span, text, category, score, rank: top_spans() of every note for every criterion of a stated set.
+
+    A note and a block of criteria meet as a matrix product in the note's own task: nothing is shuffled. criteria have the column criterion.
+    """
+    types = [criteria.schema[criterion_key].dataType, notes.schema[key].dataType, T.IntegerType(), T.StringType(), T.StringType(), T.IntegerType(), T.IntegerType()]
+    fields = T.StructType([T.StructField(n, t) for n, t in zip([criterion_key, key, "span", "text", "category", "score", "rank"], types, strict=True)])
+    kind = to_arrow_type(types[0])
+    source = _spans_of_notes(notes, key, text, profile)
+
+    def one(block: list) -> DataFrame:
+        keys, tokens, topics = ([r[c] for r in block] for c in (0, "quill_tokens", "quill_topics"))
+
+        def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = Criteria(keys, tokens, topics, profile)
+            names = pa.array(keys, kind)
+            for batch in batches:
+                found: list[tuple] = []
+                field: dict = {}
+                for note, first, scores, field in asked.scored(batch):
+                    if not len(scores):
+                        continue
+                    order = np.argsort(-scores, axis=0, kind="stable")[:k]
+                    best = np.take_along_axis(scores, order, 0)
+                    rank, q = np.nonzero(best >= least)
+                    found.append((q, np.full(len(q), note), order[rank, q], first + order[rank, q], best[rank, q], rank))
+                if found:
+                    q, note, at, place, score, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+                    ints = lambda x: pa.array(x.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(note)), ints(at + 1), *(field[c].take(pa.array(place)) for c in ("text", "category")), ints(score), ints(rank + 1)], fields.names)
+
+        return source.mapInArrow(find, fields)
+
+    parts = [one(b) for b in _in_blocks(criteria, profile, criterion_key)]
+    return reduce(DataFrame.unionByName, parts) if parts else notes.sparkSession.createDataFrame([], fields)
+
+
+def gaps_of_all(criteria: DataFrame, notes: DataFrame, title: str, order: str, key: str, text: str, profile: Profile = MEDICAL, least: int = 2, limit: int = 20) -> DataFrame:
+    """key, gaps: the first distinct "title: element" of each note, over the criteria of a stated set that none of its spans matches, in their order.
+
+    Notes without a gap have an empty list. The set is one block, which its caller keeps small enough for a task.
+    """
+    lacking = missing_elements("criterion", F.lit(False), profile)
+    named = F.transform(lacking, lambda x: F.concat(F.col(title), F.lit(": "), x)).alias("quill_gaps")
+    block = [r for b in _in_blocks(criteria.orderBy(order), profile, order, named) for r in b]
+    own = [r["quill_gaps"] for r in block]
+    fields = T.StructType([T.StructField(key, notes.schema[key].dataType), T.StructField("gaps", T.ArrayType(T.StringType()))])
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = Criteria([r[0] for r in block], [r["quill_tokens"] for r in block], [r["quill_topics"] for r in block], profile)
+        for batch in batches:
+            out: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            for note, _, scores, _ in asked.scored(batch):
+                unmet = ~(scores >= least).any(0) if len(scores) else np.ones(len(block), bool)
+                seen: dict[str, None] = {}
+                for q in np.flatnonzero(unmet).tolist():
+                    if len(seen) >= limit:
+                        break
+                    seen |= dict.fromkeys(own[q])
+                out[note] = [*seen][:limit]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], fields.names)
+
+    return _spans_of_notes(notes, key, text, profile).mapInArrow(find, fields)
+
+
 def missing_elements(criterion: Column | str, matched: Column, profile: Profile = MEDICAL) -> Column:
     """What a criterion without matched spans lacks: its elements' labels, or the default one."""
     asked = F.filter(F.array(*(F.when(X.col(criterion).rlike(p), F.lit(label)) for p, label in profile.elements)), lambda x: x.isNotNull())
@@ -101,24 +237,62 @@ def freshness(effective: Column | str, as_of: Column | str, review: int = 365, s
     return F.when(days.isNull(), "review_due").when(days > stale, "stale").when(days > review, "review_due").otherwise("current")
 
 
-def sufficiency(notes: DataFrame, key: str, text: str, found: DataFrame, profile: Profile = MEDICAL, suggestions: Column | None = None) -> DataFrame:
-    """key, present (element keys), missing, score, blocking (0 to 3 reasons as codes), status of each note.
+#: Why a note can't be used, and what each status means.
+BLOCKING = {
+    "too_short": "Clinical notes are too short to support a medically grounded appeal.",
+    "no_core_element": "Clinical notes do not clearly document a diagnosis/indication or objective clinical support.",
+    "low_score": "Clinical notes are missing too many core medical-necessity elements.",
+}
+SUMMARIES = {
+    "block": "The clinical notes are not sufficient to generate a medically grounded appeal yet.",
+    "needs_review": "The clinical notes can be used, but adding the missing details would strengthen the appeal.",
+    "pass": "The clinical notes contain the core elements needed for a grounded appeal.",
+}
 
-    suggestions: an array column of further suggestions; missing elements are suggestions too.
+
+def sufficiency(notes: DataFrame, key: str, text: str, found: DataFrame, profile: Profile = MEDICAL, service: Column | None = None, denial: Column | None = None, warnings: Column | None = None, limit: int = 8) -> DataFrame:
+    """Adds present and missing (element keys), score, blocking (reasons as codes), status, summary, labels, suggestions and warnings to each note.
+
+    service: the denied service, which makes the elements that ask for it present where it stands in the note; denial: the denial's text, for
+    payer_suggestions(); warnings: an array column of contraindication warnings, which follow the payer's. found: from spans().
     """
     kinds = found.groupBy(key).agg(F.count("*").alias("n_spans"), F.collect_set("category").alias("categories"))
     rows = notes.withColumn("quill_notes", X.trimmed(F.coalesce(F.col(text), F.lit("")))).join(kinds, key, "left")
     lower = F.lower("quill_notes")
-    has = {e.key: lower.rlike(e.pattern) | F.coalesce(F.arrays_overlap("categories", F.array(*map(F.lit, e.categories))) if e.categories else F.lit(False), F.lit(False)) for e in profile.note_elements}
+
+    def holds(e) -> Column:
+        out = lower.rlike(e.pattern)
+        if e.categories:
+            out = out | F.coalesce(F.arrays_overlap("categories", F.array(*map(F.lit, e.categories))), F.lit(False))
+        return out | F.contains(lower, F.lower(F.coalesce(service, F.lit("")))) if e.service and service is not None else out
+
+    strings = lambda columns: F.filter(F.array(*columns), lambda x: x.isNotNull()) if columns else F.array().cast("array<string>")
+    rows = rows.withColumn("quill_has", F.array(*(holds(e) for e in profile.note_elements)))
+    has = {e.key: F.col("quill_has")[i] for i, e in enumerate(profile.note_elements)}
     points = sum((F.when(has[e.key], e.weight).otherwise(0) for e in profile.note_elements), F.lit(0))
     score = F.least(F.lit(100), points + F.least(F.lit(10), F.coalesce("n_spans", F.lit(0))))
-    pick = lambda want: F.filter(F.array(*(F.when(h if want else ~h, F.lit(k)) for k, h in has.items())), lambda x: x.isNotNull())
-    rows = rows.withColumns({"present": pick(True), "missing": pick(False), "score": score.cast("int")})
+    pick = lambda want, value: strings([F.when(has[e.key] if want else ~has[e.key], F.lit(value(e))) for e in profile.note_elements])
+    payer = payer_suggestions(denial, F.col("quill_notes")) if denial is not None else F.array().cast("array<string>")
+    rows = rows.withColumns({"present": pick(True, lambda e: e.key), "missing": pick(False, lambda e: e.key), "labels": pick(True, lambda e: e.label or e.key), "score": score.cast("int"), "quill_payer": payer})
     core = F.arrays_overlap("present", F.array(*map(F.lit, profile.core)))
-    blocking = F.filter(F.array(F.when(F.length("quill_notes") < profile.least_chars, F.lit("too_short")), F.when(~core, F.lit("no_core_element")), F.when(F.col("score") < profile.block_below, F.lit("low_score"))), lambda x: x.isNotNull())
-    hints = F.size("missing") + (F.size(suggestions) if suggestions is not None else 0)
-    status = F.when(F.size("blocking") > 0, "block").when((F.col("score") < profile.review_below) | (hints > 0), "needs_review").otherwise("pass")
-    return rows.withColumn("blocking", blocking).withColumn("status", status).drop("quill_notes", "n_spans", "categories")
+    blocking = strings([F.when(F.length("quill_notes") < profile.least_chars, F.lit("too_short")), F.when(~core, F.lit("no_core_element")), F.when(F.col("score") < profile.block_below, F.lit("low_score"))])
+    hints = F.slice(F.array_distinct(F.concat(pick(False, lambda e: e.suggestion or e.key), "quill_payer")), 1, limit)
+    warned = F.slice(F.array_distinct(F.concat("quill_payer", *([warnings] if warnings is not None else []))), 1, limit)
+    rows = rows.withColumns({"blocking": blocking, "suggestions": hints, "warnings": warned})
+    status = F.when(F.size("blocking") > 0, "block").when((F.col("score") < profile.review_below) | (F.size("suggestions") > 0), "needs_review").otherwise("pass")
+    rows = rows.withColumn("status", status).withColumn("summary", F.element_at(F.create_map(*(F.lit(x) for kv in SUMMARIES.items() for x in kv)), F.col("status")))
+    return rows.drop("quill_notes", "quill_has", "quill_payer", "n_spans", "categories")
+
+
+def blocking_texts(blocking: Column | str) -> Column:
+    """The sentences of sufficiency()'s blocking codes."""
+    texts = F.create_map(*(F.lit(x) for kv in BLOCKING.items() for x in kv))
+    return F.transform(X.col(blocking), lambda c: F.element_at(texts, c))
+
+
+def planning_aid(spans_: Column, criteria: Column, gaps_: Column, warnings: Column, policies: Column, instructions: str) -> Column:
+    """One JSON text of a case's evidence, criteria, gaps, warnings and policies, for the caller's model."""
+    return F.to_json(F.struct(F.lit(instructions).alias("instructions"), spans_.alias("evidenceSpans"), criteria.alias("criteria"), gaps_.alias("documentationGaps"), warnings.alias("contraindicationWarnings"), policies.alias("policyMetadata")))
 
 
 #: The block of non-covered indications, which ends at the next heading of letters after a blank line.

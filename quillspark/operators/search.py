@@ -1,18 +1,31 @@
 """Search and retrieval: substring search, code containment with fallback, keyword and vector top-k, first-seen dedup.
 
-Queries, codes and corpora carry a position column wherever their order decides. The corpus side of the non-equi joins (policies,
-code lists, chunks) may be broadcast by Spark if its size allows; no hint forces it.
+Queries, codes and corpora carry a position column wherever their order decides. Searches of a stated query set (keyword_topk,
+any_term_search, substring_search_batch, contained_quotes, vector_topk) take the queries in blocks of bounded size, and each block
+is one pass over the searched rows: a task finds all the block's terms in a text at once by an automaton, scores all its queries by a matrix
+product, and sends on only its own best rows of each query. So what is shuffled depends on tasks, queries and k, not on matches.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import text as X
 
+#: Queries in a block, their distinct terms, and distinct words of texts that a task remembers.
+BLOCK_QUERIES, BLOCK_TERMS, MOST_WORDS = 512, 20_000, 200_000
+ROWS_AT_ONCE = 256
+
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
@@ -22,6 +35,21 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def in_blocks(queries: DataFrame, terms: str | None = None, most: int = BLOCK_QUERIES, most_terms: int = BLOCK_TERMS) -> Iterator[list[Row]]:
+    """The rows of a stated query set, a bounded block at a time (by rows and, if named, by the terms of an array column)."""
+    block: list[Row] = []
+    n = 0
+    for row in queries.toLocalIterator():
+        own = len(row[terms] or ()) if terms else 0
+        if block and (len(block) >= most or n + own > most_terms):
+            yield block
+            block, n = [], 0
+        block.append(row)
+        n += own
+    if block:
+        yield block
+
+
 def substring_search(table: DataFrame, query: str, columns: list[str], position: str, limit: int = 15, least: int = 2) -> DataFrame:
     """The first rows whose columns hold the query, ignoring case; a query that is too short finds nothing."""
     if len(query) < least:
@@ -30,19 +58,165 @@ def substring_search(table: DataFrame, query: str, columns: list[str], position:
     return table.where(any_of([F.contains(F.lower(c), F.lit(q)) for c in columns])).orderBy(position).limit(limit)
 
 
+class TermFinder:
+    """Which of some terms stand in a text, literally and without overlap: the terms' numbers, one for each occurrence."""
+
+    def __init__(self, terms: list[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            self.automaton.add_word(t, (i, len(t)))
+        self.automaton.make_automaton()
+        self.known: dict[bytes, list[int]] = {}
+
+    def in_text(self, text: str) -> list[int]:
+        ends: dict[int, int] = {}
+        out = []
+        for end, (i, n) in self.automaton.iter(text):
+            if end - n >= ends.get(i, -1):
+                ends[i] = end
+                out.append(i)
+        return out
+
+    def in_words(self, text: str) -> list[int]:
+        """in_text() for terms without white space: an occurrence lies within a word, and distinct words are searched once."""
+        out: list[int] = []
+        for word, times in Counter(text.encode("utf-8", "surrogatepass").split()).items():
+            found = self.known.get(word)
+            if found is None:
+                if len(self.known) >= MOST_WORDS:
+                    self.known.clear()
+                found = self.known[word] = self.in_text(word.decode("utf-8", "surrogatepass"))
+            if found:
+                out += found if times == 1 else found * times
+        return out
+
+
+class Best:
+    """The k best groups of each query seen so far, each with its best row; ties go to the smaller position."""
+
+    def __init__(self, queries: int, k: int, scored: bool):
+        self.k, self.scored = k, scored
+        self.rows: list[dict] = [{} for _ in range(queries)]
+        self.least = np.full(queries, -np.inf)
+        self.last = np.full(queries, np.inf)
+
+    def add(self, scores: np.ndarray, found: np.ndarray, groups: list, positions: list) -> None:
+        """scores, found: (rows, queries) arrays."""
+        mask = found & (scores >= self.least)
+        if not self.scored and isinstance(positions[0], int):
+            mask &= np.array(positions, float)[:, None] <= self.last
+        for r, q in zip(*(x.tolist() for x in np.nonzero(mask)), strict=True):
+            own = self.rows[q]
+            order = (-scores[r, q], positions[r] is not None, positions[r])
+            if groups[r] not in own or order < own[groups[r]]:
+                own[groups[r]] = order
+                if len(own) >= 4 * self.k + 16:
+                    self.cut(q)
+        for q in range(len(self.rows)):
+            self.cut(q)
+
+    def cut(self, q: int) -> None:
+        own = sorted(self.rows[q].items(), key=lambda x: x[1])[: self.k]
+        self.rows[q] = dict(own)
+        if len(own) == self.k:
+            self.least[q] = -own[-1][1][0]
+            if isinstance(own[-1][1][2], int):
+                self.last[q] = own[-1][1][2]
+
+    def batch(self, keys: list, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        rows = [(keys[q], g, order[2], float(-order[0])) for q, own in enumerate(self.rows) for g, order in own.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["q", "g", "p", "score"])
+
+
+def _term_pass(rows: DataFrame, block: list[Row], text: Column, group: str, position: str, k: int, scored: bool, words: bool, kind: T.DataType) -> DataFrame:
+    keys, asked = [r[0] for r in block], [r[1] or [] for r in block]
+    terms = sorted({t for own in asked for t in own if t})
+    number = {t: i for i, t in enumerate(terms)}
+    kinds = [to_arrow_type(kind), *(to_arrow_type(rows.schema[c].dataType) for c in (group, position)), pa.float64()]
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.zeros((len(terms), len(keys)))
+        for q, own in enumerate(asked):
+            for t in own:
+                weight[number[t], q] += 1
+        many = np.array([max(len(own), 1) for own in asked], float)
+        finder, best = TermFinder(terms), Best(len(keys), k, scored)
+        look = finder.in_words if words else finder.in_text
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                hits = [look(t) if t else [] for t in part.column(0).to_pylist()]
+                flat = np.fromiter(chain.from_iterable(hits), np.int64)
+                row = np.repeat(np.arange(len(hits)), np.fromiter(map(len, hits), np.int64, len(hits)))
+                counts = np.bincount(row * len(terms) + flat, minlength=len(hits) * len(terms)).reshape(len(hits), -1).astype(float)
+                sums = counts @ weight
+                found = sums > 0
+                if found.any():
+                    best.add(sums / many if scored else np.ones_like(sums), found, part.column(1).to_pylist(), part.column(2).to_pylist())
+        yield best.batch(keys, kinds)
+
+    fields = [T.StructField("q", kind), T.StructField("g", rows.schema[group].dataType), T.StructField("p", rows.schema[position].dataType), T.StructField("score", T.DoubleType())]
+    source = rows.select(text.alias("quill_text"), F.col(group).alias("quill_g"), F.col(position).alias("quill_p"))
+    return source.mapInArrow(find, T.StructType(fields)) if terms else rows.sparkSession.createDataFrame([], T.StructType(fields))
+
+
+def term_topk(rows: DataFrame, queries: DataFrame, text: Column, terms: Column, key: str, group: str, position: str, k: int, scored: bool = True, words: bool = True) -> DataFrame:
+    """key, group, position, score, rank: the k best groups of each query by occurrences of its terms over their number, each with its best row.
+
+    terms: an array column of the queries, repeats count again. Unless scored, any term found is enough and the smallest positions are
+    best. words: no term has white space (only spaces and ASCII controls count), so texts can be searched word by word.
+    """
+    asked = queries.select(F.col(key).alias("quill_key"), terms.alias("quill_terms"))
+    kind = asked.schema["quill_key"].dataType
+    parts = [_term_pass(rows, b, F.lower(text), group, position, k, scored, words, kind) for b in in_blocks(asked, "quill_terms")]
+    found = reduce(DataFrame.unionByName, parts) if parts else _term_pass(rows, [], text, group, position, k, scored, words, kind)
+    order = [F.desc("score"), F.col("p")]
+    top = ranked(first_best(found, ["q", "g"], order), ["q"], order).where(F.col("rank") <= k)
+    return top.select(F.col("q").alias(key), F.col("g").alias(group), *([F.col("p").alias(position)] if position != group else []), "score", "rank")
+
+
+def first_best(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in any order; first_seen() combines before the shuffle, but takes ascending orders only."""
+    return ranked(df, key, order, "quill_n").where("quill_n = 1").drop("quill_n")
+
+
 def substring_search_batch(table: DataFrame, queries: DataFrame, query: str, key: str, columns: list[str], position: str, limit: int = 15, least: int = 2) -> DataFrame:
-    """substring_search for each row of a table of queries."""
-    q = queries.where(F.length(query) >= least).withColumn("quill_q", F.lower(query))
-    found = table.join(q, any_of([F.contains(F.lower(c), F.col("quill_q")) for c in columns])).drop("quill_q")
-    return ranked(found, [key], [F.col(position)]).where(F.col("rank") <= limit)
+    """key, position, rank: substring_search for each row of a stated set of queries. Positions are unique."""
+    asked = queries.where(F.length(query) >= least)
+    text = F.concat_ws("\x00", *columns)  # no query holds a NUL
+    return term_topk(table, asked, text, F.array(F.lower(query)), key, position, position, limit, scored=False, words=False).drop("score")
 
 
 def any_term_search(docs: DataFrame, queries: DataFrame, text: Column, query: str, key: str, position: str, limit: int = 5) -> DataFrame:
-    """The first documents that hold any of the query's terms as a substring."""
-    q = queries.select(key, X.keyword_terms(query).alias("quill_terms"))
-    d = docs.withColumn("quill_text", F.lower(text))
-    found = d.join(q, F.exists("quill_terms", lambda t: F.contains(F.col("quill_text"), t))).drop("quill_terms", "quill_text")
-    return ranked(found, [key], [F.col(position)]).where(F.col("rank") <= limit)
+    """key, position, rank: the first documents that hold any of the query's terms as a substring. Positions are unique."""
+    return term_topk(docs, queries, text, X.keyword_terms(query), key, position, position, limit, scored=False).drop("score")
+
+
+def contained_quotes(quotes: DataFrame, sources: DataFrame, key: str, source_key: str, quote: Column, text: Column) -> DataFrame:
+    """Pairs of a quote of a stated set and a source whose text holds it as a substring; an empty quote is in no source."""
+    asked = quotes.select(F.col(key).alias("quill_key"), F.array(quote).alias("quill_terms")).where("quill_terms[0] <> ''")
+    fields = T.StructType([T.StructField(key, quotes.schema[key].dataType), T.StructField(source_key, sources.schema[source_key].dataType)])
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def one(block: list[Row]) -> DataFrame:
+        own: dict[str, list] = {}
+        for k, (q,) in block:
+            own.setdefault(q, []).append(k)
+        held = list(own)
+
+        def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = TermFinder(held)
+            for batch in batches:
+                pairs = [(k, s) for t, s in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True) if t for i in sorted(set(finder.in_text(t))) for k in own[held[i]]]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pairs, strict=True), kinds, strict=True)], fields.names)
+
+        return sources.select(text.alias("quill_text"), source_key).mapInArrow(find, fields)
+
+    parts = [one(b) for b in in_blocks(asked, "quill_terms", most=4 * BLOCK_QUERIES)]
+    return reduce(DataFrame.unionByName, parts) if parts else quotes.sparkSession.createDataFrame([], fields)
 
 
 def containment_join(queries: DataFrame, codes: DataFrame, query: str, code: str) -> DataFrame:
@@ -69,29 +243,16 @@ def window_join(quotes: DataFrame, sources: DataFrame, key: str, source_key: str
 
 
 def first_seen(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return ranked(df, key, order, "quill_n").where("quill_n = 1").drop("quill_n")
-
-
-def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str, query: str) -> DataFrame:
-    """Every chunk with every query and its score: occurrences of the terms (repeats count again) by the number of terms.
-
-    The queries are a stated set that meets all chunks; scores are computed in the join's stage and only positive ones go on.
-    """
-    q = queries.withColumn("quill_terms", X.keyword_terms(query))
-    c = chunks.withColumn("quill_text", F.lower(text))
-    hits = F.aggregate("quill_terms", F.lit(0.0), lambda s, t: s + X.occurrences(F.col("quill_text"), t))
-    return c.crossJoin(q).withColumn("score", hits / F.greatest(F.size("quill_terms"), F.lit(1))).drop("quill_terms", "quill_text").where("score > 0")
-
-
-def best_then_top(scored: DataFrame, key: list[str], group: str, position: str, k: int) -> DataFrame:
-    """The best row of each group, then the k best groups of each key; ties go to the smaller position."""
-    order = [F.desc("score"), F.col(position)]
-    return ranked(first_seen(scored, [*key, group], order), key, order).where(F.col("rank") <= k)
+    """The first row of each key in the given order: an aggregate of the least, combined before the shuffle, so a key with many rows is no hot task."""
+    rest = [c for c in df.columns if c not in key]
+    row = F.min_by(F.struct(*rest) if rest else F.lit(1), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))))
+    out = df.groupBy(*key).agg(row.alias("quill_row"))
+    return out.select(*key, "quill_row.*") if rest else out.select(*key)
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, text: str, query: str, key: str, group: str, position: str, k: int = 3) -> DataFrame:
-    return best_then_top(keyword_scores(chunks, queries, text, query), [key], group, position, k)
+    """key, group, position, score, rank: the best chunk of each group by occurrences of the query's terms over their number, then the k best groups."""
+    return term_topk(chunks, queries, F.col(text), X.keyword_terms(query), key, group, position, k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -103,9 +264,51 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, vector: str, query: str, key: str, group: str, position: str, k: int = 5) -> DataFrame:
-    """The best chunk of each group by cosine, then the k best. Every query meets every chunk: the queries are a stated set."""
-    scored = chunks.crossJoin(queries).withColumn("score", cosine(F.col(vector), F.col(query)))
-    return best_then_top(scored, [key], group, position, k)
+    """key, group, position, score, rank: the best chunk of each group by cosine, then the k best groups.
+
+    Every query of a stated set meets every chunk: a block of queries and a batch of chunks are one matrix product. A vector without length
+    scores 0; null vectors, those with null components and those of another length than the query's are left out.
+    """
+    asked = queries.select(F.col(key).alias("quill_key"), F.col(query).cast("array<double>").alias("quill_v")).where("quill_v is not null and not exists(quill_v, x -> x is null)")
+    fields = [T.StructField("q", queries.schema[key].dataType), T.StructField("g", chunks.schema[group].dataType), T.StructField("p", chunks.schema[position].dataType), T.StructField("score", T.DoubleType())]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    rows = chunks.select(F.col(vector).cast("array<double>").alias("quill_v"), F.col(group).alias("quill_g"), F.col(position).alias("quill_p")).where("quill_v is not null and not exists(quill_v, x -> x is null)")
+
+    def one(block: list[Row]) -> DataFrame:
+        keys, vectors = [r[0] for r in block], [r[1] for r in block]
+
+        def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(keys), k, True)
+            of_length = {n: [i for i, v in enumerate(vectors) if len(v) == n] for n in set(map(len, vectors))}
+            sides = {n: units(np.array([vectors[i] for i in own], float).reshape(len(own), n)) for n, own in of_length.items()}
+            for batch in batches:
+                size = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                at = np.cumsum(size) - size
+                groups, positions = (batch.column(c).to_pylist() for c in (1, 2))
+                for n, own in of_length.items():
+                    rows_n = np.flatnonzero(size == n)
+                    scores = np.zeros((len(rows_n), len(keys)))
+                    found = np.zeros(scores.shape, bool)
+                    scores[:, own] = units(flat[at[rows_n][:, None] + np.arange(n)].reshape(len(rows_n), n)) @ sides[n].T
+                    found[:, own] = True
+                    if len(rows_n):
+                        best.add(scores, found, [groups[r] for r in rows_n], [positions[r] for r in rows_n])
+            yield best.batch(keys, kinds)
+
+        return rows.mapInArrow(find, T.StructType(fields))
+
+    parts = [one(b) for b in in_blocks(asked)]
+    found = reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], T.StructType(fields))
+    order = [F.desc("score"), F.col("p")]
+    top = ranked(first_best(found, ["q", "g"], order), ["q"], order).where(F.col("rank") <= k)
+    return top.select(F.col("q").alias(key), F.col("g").alias(group), *([F.col("p").alias(position)] if position != group else []), "score", "rank")
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows without length stay zero."""
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
 def retrieve(cases: DataFrame, codes: DataFrame, chunks: DataFrame, *, key: str, case_codes: str, case_query: str, policy: str, code: str, policy_order: str, text: str, chunk_order: str, k: int = 3) -> DataFrame:

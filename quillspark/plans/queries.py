@@ -51,25 +51,17 @@ def code_search(spark, d):
 select * from h where rank <= 15""")
 def code_search_batch(spark, d):
     q = table(spark, d, "nation").select("n_nationkey", F.expr("substr('redsmallringwidget', n_nationkey % 16 + 1, 2)").alias("q"))
-    return R.substring_search_batch(table(spark, d, "part"), q, "q", "n_nationkey", ["p_name", "p_brand", "p_type"], "p_partkey").select("n_nationkey", "q", "p_partkey", F.col("rank").cast("long").alias("rank"))
+    out = R.substring_search_batch(table(spark, d, "part"), q, "q", "n_nationkey", ["p_name", "p_brand", "p_type"], "p_partkey").join(q, "n_nationkey")
+    return out.select("n_nationkey", "q", "p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query(rf"""with q as (select item_id, {TERMS.format(n=9)} as ts from benchmark), h as (
+@query(rf"""with q as (select item_id, {TERMS.format(n=3)} as ts from benchmark), h as (
   select item_id, doc_id, row_number() over (partition by item_id order by doc_id) as rank from (select doc_id, lower(text || coalesce(source, '')) as t from documents) join q on len(list_filter(ts, lambda x: contains(t, x))) > 0)
 select item_id, doc_id, rank from h where rank <= 5""")
-def any_term_search_9(spark, d):
-    """any_term_search with only the terms of nine characters or more, for its SQL."""
-    return _any_term(spark, d, F.array_join(X.keyword_terms("text", 9), " "))
-
-
-@query()
 def any_term_search(spark, d):
-    return _any_term(spark, d, F.col("text"))
-
-
-def _any_term(spark, d, asked) -> DataFrame:
-    q = table(spark, d, "benchmark").select("item_id", asked.alias("q"))
-    return R.any_term_search(table(spark, d, "documents"), q, F.concat("text", F.coalesce("source", F.lit(""))), "q", "item_id", "doc_id").select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    out = R.any_term_search(table(spark, d, "documents"), q, F.concat("text", F.coalesce("source", F.lit(""))), "q", "item_id", "doc_id")
+    return out.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(r"""with c as (select distinct p_brand from part), q as (select s_suppkey, 'b-rand#' || (s_suppkey % 30) as code from supplier), k as (
@@ -80,26 +72,17 @@ def code_containment_join(spark, d):
     return R.containment_join(q, table(spark, d, "part").select("p_brand").distinct(), "code", "p_brand").select("s_suppkey", "code", "p_brand")
 
 
-@query(rf"""with code as (select doc_id as policy, source as code from documents where doc_id < 60), ask as (
+@query(rf"""with code as (select doc_id as policy, source as code from documents), ask as (
   select item_id, unnest([case when item_id % 3 = 0 then 'none' else 'src' || (item_id % 20) end, case when item_id % 3 = 0 then '' else 'SRC-' || (item_id % 7) end]) as q, unnest([0, 1]) as o from benchmark), k as (
   select item_id, o, policy, regexp_replace(upper(q), '[.\-\s]', '', 'g') as a, regexp_replace(upper(code), '[.\-\s]', '', 'g') as b from ask, code), hit as (
   select item_id, policy, min(o) as o from k where a <> '' and (contains(a, b) or contains(b, a)) group by all), by_code as (
   select item_id, policy, 1.0::double as score, row_number() over (partition by item_id order by o, policy) as rank, true as by_code from hit), asked as (
   select item_id, {TERMS.format(n=3)} as ts from benchmark where item_id not in (select item_id from by_code)), sc as (
-  select item_id, doc_id as policy, list_sum(list_transform(ts, lambda x: (length(t) - length(replace(t, x, ''))) / length(x))) / greatest(len(ts), 1) as score from (select doc_id, lower(text) as t from documents where doc_id < 60), asked), by_word as (
+  select item_id, doc_id as policy, list_sum(list_transform(ts, lambda x: (length(t) - length(replace(t, x, ''))) / length(x))) / greatest(len(ts), 1) as score from (select doc_id, lower(text) as t from documents), asked), by_word as (
   select item_id, policy, score, row_number() over (partition by item_id order by score desc, policy) as rank, false as by_code from sc where score > 0)
 select item_id, policy, round(score, 6) as score, rank, by_code from (select * from by_code union all select * from by_word) where rank <= 3""")
-def retrieve_with_fallback_60(spark, d):
-    """retrieve_with_fallback over 60 policies, for its SQL, which is too slow on whole tables."""
-    return _retrieved(spark, d, table(spark, d, "documents").where("doc_id < 60"))
-
-
-@query()
 def retrieve_with_fallback(spark, d):
-    return _retrieved(spark, d, table(spark, d, "documents"))
-
-
-def _retrieved(spark, d, docs: DataFrame) -> DataFrame:
+    docs = table(spark, d, "documents")
     cases = table(spark, d, "benchmark").select("item_id", "text", F.expr("case when item_id % 3 = 0 then array('none', '') else array(concat('src', item_id % 20), concat('SRC-', item_id % 7)) end").alias("codes"))
     codes = docs.select(F.col("doc_id").alias("policy"), F.col("source").alias("code"), F.col("doc_id").alias("pos"))
     out = R.retrieve(cases, codes, docs.select(F.col("doc_id").alias("policy"), F.col("text").alias("chunk"), F.col("doc_id").alias("chunk_pos")), key="item_id", case_codes="codes", case_query="text", policy="policy", code="code", policy_order="pos", text="chunk", chunk_order="chunk_pos")
@@ -117,24 +100,14 @@ def keyword_topk(spark, d):
     return out.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""with q as (select vec_id as q_id, embedding::double[] as q from embeddings where vec_id < 20), s as (
+@query("""with q as (select vec_id as q_id, embedding::double[] as q from embeddings where vec_id % 100 = 0), s as (
   select q_id, vec_id, label, list_cosine_similarity(embedding::double[], q) as score from embeddings, q), b as (
   select *, row_number() over (partition by q_id, label order by score desc, vec_id) as n from s), r as (
   select *, row_number() over (partition by q_id order by score desc, vec_id) as rank from b where n = 1)
 select q_id, vec_id, label, round(score, 6) as score, rank from r where rank <= 5""")
-def vector_topk_20(spark, d):
-    """vector_topk for the first 20 vectors, for its SQL."""
-    return _nearest(spark, d, "vec_id < 20")
-
-
-@query()
 def vector_topk(spark, d):
-    return _nearest(spark, d, "vec_id % 100 = 0")
-
-
-def _nearest(spark, d, asked: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    q = v.where(asked).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))  # the query set of searches
     out = R.vector_topk(v, q, "embedding", "q", "q_id", "label", "vec_id")
     return out.select("q_id", "vec_id", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -177,14 +150,14 @@ def tokenize_stats(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(a).alias("n_analysis"), F.size(F.array_distinct(a)).alias("n_distinct"), F.size(X.relevance_tokens("text", PLAIN.stop_words)).alias("n_relevance"), F.size(X.keyword_terms("text")).alias("n_terms"))
 
 
-NORMALIZED = r"trim(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9%/]+', ' ', 'g'))"
+NORMALIZED = r"trim(regexp_replace(replace(lower(translate({c}, '“”‘’–—−²³', '-------23')), '&', ' and '), '[^a-z0-9%/]+', ' ', 'g'))"
 
 
 @query(rf"""select doc_id, md5(n) as text_md5, len(list_filter(string_split(n, ' '), lambda t: length(t) > 1 or regexp_matches(t, '[0-9]')))::int as n_tokens
-  from (select doc_id, {NORMALIZED.format(c="text")} as n from documents where not regexp_matches(text, '[^\x00-\x7F]'))""")
-def grounding_normalize_ascii(spark, d):
-    """grounding_normalize of the ASCII texts, for its SQL, which has no NFKC."""
-    n = table(spark, d, "documents").where(X.ascii_only("text")).select("doc_id", X.grounding_normalized("text").alias("n"))
+  from (select doc_id, {NORMALIZED.format(c="text")} as n from documents)""")
+def grounding_normalize_no_nfkc(spark, d):
+    """grounding_normalize of all texts but for NFKC, which SQL doesn't have."""
+    n = table(spark, d, "documents").select("doc_id", X.grounding_normalized("text", full=False).alias("n"))
     return n.select("doc_id", F.md5("n").alias("text_md5"), F.size(X.grounding_tokens("n")).alias("n_tokens"))
 
 
@@ -198,10 +171,10 @@ def grounding_normalize(spark, d):
   select doc_id, {NORMALIZED.format(c="text")} as s from documents)
 select item_id, count_if(contains(s, q))::bigint as n_containing, count_if(contains(s, q)) > 0 as grounded from q, s group by item_id""")
 def quote_grounding(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", X.grounding_normalized("text", full=False).alias("q"))
-    s = table(spark, d, "documents").select("doc_id", X.grounding_normalized("text", full=False).alias("s"))
-    hit = q.join(s, F.contains("s", F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
-    return q.join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_containing"), (F.coalesce("n", F.lit(0)) > 0).alias("grounded"))
+    q, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    normal = X.grounding_normalized("text", full=False)
+    hit = R.contained_quotes(q, docs, "item_id", "doc_id", normal, normal).groupBy("item_id").agg(F.count("*").alias("n"))
+    return q.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_containing"), (F.coalesce("n", F.lit(0)) > 0).alias("grounded"))
 
 
 @query()
@@ -257,35 +230,31 @@ def evidence_spans(spark, d):
     return out.select("doc_id", F.col("span").cast("long").alias("span"), F.md5("text").alias("text_md5"), "category")
 
 
-@query()
+@query(rf"""with recursive {SPANS}, w as (select doc_id, text, regexp_extract_all(text, '[^\n.!?;:]{{8,260}}(?:[.!?;:]|\n|$)') as xs from documents), f(doc_id, i, rest, done, "start", "end", x) as (
+  select doc_id, 0, text, 0, null::int, null::int, null::varchar from w
+  union all
+  select f.doc_id, i + 1, substr(rest, instr(rest, xs[i + 1]) + length(xs[i + 1])), done + instr(rest, xs[i + 1]) - 1 + length(xs[i + 1]),
+    (done + instr(rest, xs[i + 1]) - 1)::int, (done + instr(rest, xs[i + 1]) - 1 + length(xs[i + 1]))::int, xs[i + 1] from f join w using (doc_id) where i < len(xs)), k as (
+  select doc_id, "start", "end", row_number() over (partition by doc_id order by i) as span from f where regexp_matches(x, '[0-9]|ing|tion|ung|ment|ado') and regexp_replace(x, '^\s+|\s+$', '', 'g') <> '')
+select doc_id, span, "start", "end", md5(text) as text_md5, category from k join sp using (doc_id, span)""")
 def evidence_offsets(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(V.span_offsets("text", PLAIN)).alias("s")).select("doc_id", "s.start", "s.end")
+    out = V.spans(table(spark, d, "documents"), "doc_id", "text", PLAIN, offsets=True)
+    return out.select("doc_id", F.col("span").cast("long").alias("span"), "start", "end", F.md5("text").alias("text_md5"), "category")
 
 
 def _criteria(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.col("text").alias("criterion"))
 
 
-MATCHED = f"""c as (select item_id, text as criterion, {TOKENS.format(c="text")} as ct from benchmark where item_id < 8), st as (select *, {TOKENS.format(c="text")} as tt from sp), sc as (
+MATCHED = f"""c as (select item_id, text as criterion, {TOKENS.format(c="text")} as ct from benchmark), st as (select *, {TOKENS.format(c="text")} as tt from sp), sc as (
   select item_id, doc_id, span, category, len(list_distinct(list_intersect(ct, tt))) + 2 * (regexp_matches(criterion, 'tion|ment') and regexp_matches(text, 'tion|ment'))::int
     + 3 * (regexp_matches(criterion, 'ing|ung') and regexp_matches(text, 'ing|lich'))::int as score from c, st), top as (
   select item_id, doc_id, span, category, score, row_number() over (partition by item_id, doc_id order by score desc, span) as rank from sc where score >= 2)"""
 
 
 @query(f"with {SPANS}, {MATCHED} select item_id, doc_id, span, score::int as score, rank from top where rank <= 3")
-def criterion_top3_8(spark, d):
-    """criterion_top3 for the first 8 criteria, for its SQL."""
-    return _matched(spark, d, _criteria(spark, d).where("item_id < 8"))
-
-
-@query()
 def criterion_top3(spark, d):
-    return _matched(spark, d, _criteria(spark, d))
-
-
-def _matched(spark, d, criteria: DataFrame) -> DataFrame:
-    found = V.spans(table(spark, d, "documents"), "doc_id", "text", PLAIN)
-    out = V.top_spans(criteria, found, [], ["item_id", "doc_id"], PLAIN)
+    out = V.top_spans_of_all(_criteria(spark, d), table(spark, d, "documents"), "item_id", "doc_id", "text", PLAIN)
     return out.select("item_id", "doc_id", F.col("span").cast("long").alias("span"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -294,22 +263,10 @@ def _matched(spark, d, criteria: DataFrame) -> DataFrame:
   select doc_id, item_id, i, 'item ' || (item_id % 4) || ': ' || es[i] as gap from (select *, unnest(range(1, len(es) + 1)) as i from m)), f as (
   select doc_id, gap, min((item_id, i)) as place from g group by all), r as (select *, row_number() over (partition by doc_id order by place) as n from f)
 select doc_id, string_agg(gap, '; ' order by n) as gaps from r where n <= 20 group by doc_id""")
-def gap_rollup_8(spark, d):
-    """gap_rollup for the first 8 criteria, for its SQL."""
-    return _gaps(spark, d, _criteria(spark, d).where("item_id < 8"))
-
-
-@query()
 def gap_rollup(spark, d):
-    return _gaps(spark, d, _criteria(spark, d))
-
-
-def _gaps(spark, d, criteria: DataFrame) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    top = V.top_spans(criteria, V.spans(docs, "doc_id", "text", PLAIN), [], ["item_id", "doc_id"], PLAIN)
-    none = docs.select("doc_id").crossJoin(criteria).join(top.select("item_id", "doc_id").distinct(), ["item_id", "doc_id"], "left_anti")
-    rows = none.select("doc_id", "item_id", F.expr("concat('item ', item_id % 4)").alias("title"), V.missing_elements("criterion", F.lit(False), PLAIN).alias("missing"))
-    return V.gaps(rows, "doc_id", "title", "missing", ["item_id"]).select("doc_id", F.array_join("gaps", "; ").alias("gaps"))
+    criteria = _criteria(spark, d).withColumn("title", F.expr("concat('item ', item_id % 4)"))
+    out = V.gaps_of_all(criteria, table(spark, d, "documents"), "title", "item_id", "doc_id", "text", PLAIN)
+    return out.where("size(gaps) > 0").select("doc_id", F.array_join("gaps", "; ").alias("gaps"))
 
 
 @query(rf"""with {SPANS}, k as (select doc_id, count(*) as n, count_if(category = 'action') > 0 as a from sp group by doc_id), t as (
@@ -324,6 +281,22 @@ def sufficiency_score(spark, d):
     return out.select("doc_id", "score", F.size("blocking").alias("n_blocking"), "status")
 
 
+@query(rf"""with {SPANS}, k as (select doc_id, count(*) as n, count_if(category = 'action') > 0 as a from sp group by doc_id), t as (
+  select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, case doc_id % 3 when 0 then 'XYZZY' when 1 then 'LA' else '' end as service, n, a from documents left join k using (doc_id)), h as (
+  select doc_id, length(t) as len, coalesce(n, 0) as n, regexp_matches(lower(t), 'tion|ment|ung') or coalesce(a, false) as e1, regexp_matches(t, '[0-9]') as e2, regexp_matches(lower(t), 'ing|ando|lich') as e3,
+    regexp_matches(lower(t), 'with|avec|con|mit') or contains(lower(t), lower(service)) as e4 from t), w as (
+  select *, least(100, 30 * e1::int + 20 * e2::int + 20 * e3::int + 20 * e4::int + least(10, n)) as score from h), b as (
+  select *, case when len < 120 or (not e1 and not e2) or score < 45 then 'block' when score < 75 or not (e1 and e2 and e3 and e4) then 'needs_review' else 'pass' end as status from w)
+select doc_id, score::int as score, status, array_to_string(list_filter([case when e1 then 'action' end, case when e2 then 'figure' end, case when e3 then 'course' end, case when e4 then 'link' end], lambda x: x is not null), ',') as labels,
+  array_to_string(list_filter([case when not e1 then 'action' end, case when not e2 then 'figure' end, case when not e3 then 'course' end, case when not e4 then 'link' end], lambda x: x is not null), ',') as suggestions,
+  case status when 'block' then 'The clinical notes are not sufficient to generate a medically grounded appeal yet.' when 'needs_review' then 'The clinical notes can be used, but adding the missing details would strengthen the appeal.'
+    else 'The clinical notes contain the core elements needed for a grounded appeal.' end as summary from b""")
+def sufficiency_denied_service(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.expr("case doc_id % 3 when 0 then 'XYZZY' when 1 then 'LA' else '' end").alias("service"))
+    out = V.sufficiency(docs, "doc_id", "text", V.spans(docs, "doc_id", "text", PLAIN), PLAIN, service=F.col("service"))
+    return out.select("doc_id", "score", "status", F.array_join("labels", ",").alias("labels"), F.array_join("suggestions", ",").alias("suggestions"), "summary")
+
+
 @query("""select o_orderkey, case when a > 900 then 'stale' when a > 365 then 'review_due' else 'current' end as freshness from (
   select o_orderkey, date_diff('day', o_orderdate::date, date '2000-06-01') as a from orders)""")
 def freshness(spark, d):

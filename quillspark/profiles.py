@@ -32,6 +32,7 @@ CLINICAL_CLAIM = (
 NUMERIC_FACT = (
     r"(?i)\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d+(?:\.\d+)?\s?(?:%|mg/dL|mmHg|cm|mm|kg/m2|weeks?|months?|years?|days?|hours?|/10|points?|QALY|mL|L))\b"
 )
+# Pieces of notes, and which of them may be evidence.
 SPAN = r"(?d)[^\n.!?;:]{8,260}(?:[.!?;:]|\n|$)"
 SPAN_CANDIDATE = (
     r"(?i)\d|diagnos|pain|failed|therapy|mri|ct|pet|x-?ray|biopsy|lab|symptom|function|medication|risk|plan|recommend|conservative|provider|"
@@ -47,7 +48,7 @@ CATEGORIES = (
     ("risk", r"(?i)risk|bmi|smok|hypertension|contraindicat|infection|cardiac"),
     ("medication", r"(?i)mg|dose|methotrexate|biologic|cpap|drug|medication"),
 )
-# Fixed values: (points, pattern on the criterion, pattern on the span) of shared topics.
+# Fixed values: (points, pattern on the criterion, pattern on the span) of shared topics, points included.
 TOPICS = (
     (2, r"(?i)\bfailed|failure|conservative|therapy|treatment\b", r"(?i)\bfailed|failure|conservative|therapy|treatment\b"),
     (2, r"(?i)\bpain|functional|adl|walking|mobility\b", r"(?i)\bpain|functional|adl|walking|mobility\b"),
@@ -55,7 +56,7 @@ TOPICS = (
     (2, r"(?i)\bdiagnos|confirmed|malignan|osteoarthritis|cancer\b", r"(?i)\bdiagnos|confirmed|malignan|osteoarthritis|cancer\b"),
     (3, r"(?i)\bprescriber|specialist|endocrinologist|clinician|provider|physician\b", r"(?i)\bprovider|prescriber|physician|clinician|endocrinolog|diabetes specialist|FACE|clinic|practice|facility\b"),
 )
-# What a criterion asks for, by pattern.
+# What a criterion asks for, by pattern, and the default.
 ELEMENTS = (
     (r"(?i)diagnos|confirmed|malignan|patholog|biopsy", "documented diagnosis/pathology confirmation"),
     (r"(?i)imaging|radiograph|mri|ct|pet", "supporting imaging or test result"),
@@ -69,22 +70,25 @@ DEFAULT_ELEMENT = "specific chart evidence supporting this criterion"
 
 @dataclass(frozen=True)
 class Element:
-    """Something that a sufficient record has: a pattern on the lower-cased text or a span of one of the categories."""
+    """Something that a sufficient record has: a pattern on the lower-cased text or a span of one of the categories; with service, also the denied service's name."""
 
     key: str
     weight: int
     pattern: str
     categories: tuple[str, ...] = ()
+    label: str = ""
+    suggestion: str = ""
+    service: bool = False
 
 
 # The elements of a sufficient clinical note.
 NOTE_ELEMENTS = (
-    Element("diagnosis", 20, r"\b(diagnos|assessment|impression|icd-?10|dx\b|type 2 diabetes|diabetes|osteoarthritis|cancer|malignan|angina|stenosis|sleep apnea|e11\.)\b", ("diagnosis",)),
-    Element("objective", 20, r"\b(a1c|hba1c|bmi|ldl|ef|ahi|kellgren|grade|stage|mm|cm|x-?ray|radiograph|mri|ct|pet|biopsy|pathology|stress test|echo|ultrasound|\d+\/10|%|\d+\.\d+)\b", ("imaging",)),
-    Element("treatment", 20, r"\b(failed|failure|tried|trial|completed|intoler|contraindicat|therapy|physical therapy|pt\b|nsaid|injection|medication|metformin|insulin|ozempic|trulicity|empagliflozin|glipizide|statin)\b", ("treatment", "medication")),
-    Element("timeline", 15, r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d+\s*(day|days|week|weeks|month|months|year|years)\b|\bsince\b|\bfrom\b"),
-    Element("symptoms", 15, r"\b(pain|symptom|dyspnea|angina|hypoglycemia|infection|walking|stairs|adl|function|limitation|worsening|risk|comorbid|hypertension|obesity|cardiac)\b", ("functional", "risk")),
-    Element("plan", 10, r"\b(plan|recommend|request|requires|medical necessity|medically necessary|prescribed|initiate|proceed|refer)\b"),
+    Element("diagnosis", 20, r"\b(diagnos|assessment|impression|icd-?10|dx\b|type 2 diabetes|diabetes|osteoarthritis|cancer|malignan|angina|stenosis|sleep apnea|e11\.)\b", ("diagnosis",), label="Diagnosis or covered indication", suggestion="Add the diagnosis/covered indication and ICD-10 code when available."),
+    Element("objective", 20, r"\b(a1c|hba1c|bmi|ldl|ef|ahi|kellgren|grade|stage|mm|cm|x-?ray|radiograph|mri|ct|pet|biopsy|pathology|stress test|echo|ultrasound|\d+\/10|%|\d+\.\d+)\b", ("imaging",), label="Objective findings, labs, imaging, or measured severity", suggestion="Add objective support such as labs, imaging/test reports, measured severity, or dated exam findings."),
+    Element("treatment", 20, r"\b(failed|failure|tried|trial|completed|intoler|contraindicat|therapy|physical therapy|pt\b|nsaid|injection|medication|metformin|insulin|ozempic|trulicity|empagliflozin|glipizide|statin)\b", ("treatment", "medication"), label="Prior treatment history, failure, intolerance, or contraindication", suggestion="Add prior therapies with dates/duration, outcome, intolerance, contraindication, or reason alternatives are inappropriate."),
+    Element("timeline", 15, r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d+\s*(day|days|week|weeks|month|months|year|years)\b|\bsince\b|\bfrom\b", label="Dates or treatment duration", suggestion="Add dates and durations for symptoms, medication trials, procedures, and failed treatments."),
+    Element("symptoms", 15, r"\b(pain|symptom|dyspnea|angina|hypoglycemia|infection|walking|stairs|adl|function|limitation|worsening|risk|comorbid|hypertension|obesity|cardiac)\b", ("functional", "risk"), label="Symptoms, functional impact, or clinical risk", suggestion="Add symptom severity, functional limitations, clinical risk, or impact on daily activities."),
+    Element("plan", 10, r"\b(plan|recommend|request|requires|medical necessity|medically necessary|prescribed|initiate|proceed|refer)\b", label="Clear request, plan, or medical rationale", suggestion="Add the requested service/drug and the clinician rationale for why it is medically necessary now.", service=True),
 )
 
 
@@ -118,7 +122,7 @@ PLAIN = Profile(
         Element("action", 30, "tion|ment|ung", ("action",)),
         Element("figure", 20, "[0-9]", ("figure",)),
         Element("course", 20, "ing|ando|lich"),
-        Element("link", 20, "with|avec|con|mit"),
+        Element("link", 20, "with|avec|con|mit", service=True),
     ),
     core=("action", "figure"),
 )
