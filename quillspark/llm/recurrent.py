@@ -1,12 +1,13 @@
 """Language-model scores of whole documents by a small gated recurrent network.
 
 Counts. Documents are turned into blocks of word hashes (of bounded size). Every block sends its distinct words with
-their training counts to one aggregate and gets the totals of its words back, so a word crosses the
-network once a block, not once an occurrence. Training documents are those whose doc_id's crc32 isn't 2 modulo 7.
+their training counts to one aggregate. The most frequent words, up to a stated number, are then known to every task; of the others
+each block gets the totals of its own words back, so a word crosses the network once a block, not once an occurrence, and no
+frequent word is a hot key of the join.
 Network. A gated recurrent unit in numpy over the most frequent words, one symbol for all others and an end symbol. Its output
 is factored into classes of words of like frequency. All training documents are dealt whole to trainers, as many as
-the tokens ask for, which run truncated backpropagation through time from common weights, the state carried from step to step of
-a document; weights are averaged after each round, by groups of trainers first.
+the tokens ask for, which stream them through truncated backpropagation through time from common weights, the state carried from
+step to step of a document; weights are averaged after each round, by groups of trainers in as many levels as it takes.
 Scores. All documents are scored whole, many side by side, with the state carried from window to window. A word outside the
 network's vocabulary has the other-symbol's probability times its smoothed share of all such words' counts, so what
 the corpus counts also enters the model's score, and the probabilities of seen words and one unseen word sum to one.
@@ -18,9 +19,8 @@ rows score alike; extra columns are ignored; an empty table gives an empty resul
 from __future__ import annotations
 
 import heapq
-import math
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from . import store
 from .words import U, Words, mix, signed, slices
 
-VOCABULARY, CLASSES, HIDDEN, EMBEDDED = 4000, 64, 16, 16
-#: Share of the training documents that the network is fitted on (all), its rounds, and words in a truncated step.
-SHARE, ROUNDS, STEPS, LANES = 1.0, 3, 24, 32
-TRAINER_TOKENS, RATE = 300_000, 0.3
-BLOCK_BYTES, SCORED_LANES, SCORED_STEPS = 8 << 20, 256, 64
+VOCABULARY, CLASSES, HIDDEN, EMBEDDED = 4000, 40, 16, 16
+#: Share of the training documents that the network is fitted on (all), its rounds, words in a truncated step, and documents side by side.
+SHARE, ROUNDS, STEPS, LANES, AHEAD = 1.0, 3, 24, 256, 2048
+TRAINER_TOKENS, RATE, FAN_IN = 3_000_000, 0.3, 16
+BLOCK_BYTES, SCORED_LANES, SCORED_STEPS = 16 << 20, 512, 32
+#: Words whose counts every task knows: 16 bytes each, so 8 MB at most.
+FREQUENT = 1 << 19
 END_HASH = 0x656E64
 OTHER, END = 0, 1
 
@@ -46,6 +48,16 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, byte by byte of all of them, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = TaskContext.get().partitionId() << 32
     ids: list[int | None] = []
@@ -54,10 +66,14 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block() -> pa.RecordBatch:
         lengths = np.array([len(h) for h in hashes], np.int32)
-        distinct, local = np.unique(np.concatenate(hashes), return_inverse=True)
+        distinct, local, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        distinct, local = distinct[order], rank[local]
         held = np.array([held_out(i) for i in ids])
         counts = np.bincount(local[np.repeat(~held, lengths)], minlength=len(distinct))
-        row = {"block": made, "doc_ids": ids, "held": held.tolist(), "lengths": lengths.tobytes(), "local": local.astype(np.int32).tobytes(), "hashes": signed(distinct), "counts": counts}
+        row = {"block": made, "doc_ids": ids, "held": held.tolist(), "lengths": lengths.tobytes(), "local": packed_numbers(local), "hashes": signed(distinct), "counts": counts}
         return pa.RecordBatch.from_pylist([row], BLOCKS)
 
     for batch in batches:
@@ -103,9 +119,37 @@ class Symbols:
         return np.where(self.hashes[at] == hashes, self.symbols[at], OTHER)
 
 
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | np.floating]:
+    """(exp(x - top), its sums by row, top). top is the greatest of all, which is cheap, unless a row then vanishes; else each row's own."""
+    top = x.max()
+    e = np.exp(x - top)
+    sums = e @ np.ones(x.shape[1], x.dtype)
+    if sums.min() > 1e-30:
+        return e, sums, top
+    top = x.max(1)
+    e = np.exp(x - top[:, None])
+    return e, e.sum(1), top
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    e, sums, _ = exponentials(x)
+    e /= sums[:, None]
+    return e
+
+
+def log_sums(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the summed exponentials of each row."""
+    _, sums, top = exponentials(x)
+    return np.log(sums) + top
+
+
+def rows_added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """An array of n rows to which values are added at rows, which may repeat."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    order = np.argsort(rows, kind="stable")
+    distinct, first = np.unique(rows[order], return_index=True)
+    out[distinct] = np.add.reduceat(values[order], first)
+    return out
 
 
 def dealt(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -161,16 +205,14 @@ class Network:
         rows = self.place[symbols]
         own = self.cls_of[rows]
         logits = states @ self.w["to_class"] + self.w["class_bias"]
-        top = logits.max(1)
-        out = logits[np.arange(len(own)), own] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = logits[np.arange(len(own)), own] - log_sums(logits)
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(len(self.bounds)))
         for c in np.flatnonzero(np.diff(cuts)):
             at, low, high = order[cuts[c] : cuts[c + 1]], self.bounds[c], self.bounds[c + 1]
             if high - low > 1:
                 x = states[at] @ self.w["to_symbol"][low:high].T + self.w["symbol_bias"][low:high]
-                top = x.max(1)
-                out[at] += x[np.arange(len(at)), rows[at] - low] - top - np.log(np.exp(x - top[:, None]).sum(1))
+                out[at] += x[np.arange(len(at)), rows[at] - low] - log_sums(x)
         return out
 
     def score(self, symbols: np.ndarray, lengths: np.ndarray, lanes: int = SCORED_LANES, steps: int = SCORED_STEPS) -> np.ndarray:
@@ -220,25 +262,28 @@ class Network:
         s = np.concatenate(states)[live]
         rows = self.place[y.ravel()[live]]
         own = self.cls_of[rows]
-        g = {name: np.zeros_like(v) for name, v in w.items()}
+        g = {name: np.zeros_like(v) for name, v in w.items() if name != "embed"}
         p = softmax(s @ w["to_class"] + w["class_bias"])
         every = np.arange(len(own))
         loss = -np.log(p[every, own] + 1e-30).sum()
         p[every, own] -= 1
         g["to_class"], g["class_bias"] = s.T @ p, p.sum(0)
         ds = p @ w["to_class"].T
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.int16), kind="stable")
         cuts = np.searchsorted(own[order], np.arange(len(self.bounds)))
+        by_class, by_class_rows = s[order], rows[order]
+        inner = np.zeros_like(by_class)
         for c in np.flatnonzero(np.diff(cuts)):
-            at, low, high = order[cuts[c] : cuts[c + 1]], self.bounds[c], self.bounds[c + 1]
+            at, low, high = slice(cuts[c], cuts[c + 1]), self.bounds[c], self.bounds[c + 1]
             if high - low > 1:
-                q = softmax(s[at] @ w["to_symbol"][low:high].T + w["symbol_bias"][low:high])
-                hit = np.arange(len(at)), rows[at] - low
+                q = softmax(by_class[at] @ w["to_symbol"][low:high].T + w["symbol_bias"][low:high])
+                hit = np.arange(len(q)), by_class_rows[at] - low
                 loss -= np.log(q[hit] + 1e-30).sum()
                 q[hit] -= 1
-                g["to_symbol"][low:high] = q.T @ s[at]
+                g["to_symbol"][low:high] = q.T @ by_class[at]
                 g["symbol_bias"][low:high] = q.sum(0)
-                ds[at] += q @ w["to_symbol"][low:high]
+                inner[at] = q @ w["to_symbol"][low:high]
+        ds[order] += inner
         every_ds = np.zeros((y.size, k), ds.dtype)
         every_ds[live] = ds
         ds = every_ds.reshape(*x.shape, k)
@@ -260,36 +305,53 @@ class Network:
                 dh *= ~new[t][:, None]
         flat = dinto.reshape(-1, 3 * k)
         g["inner"], g["bias"] = embedded.reshape(-1, embedded.shape[2]).T @ flat, flat.sum(0)
-        np.add.at(g["embed"], x.ravel(), flat @ w["inner"].T)
+        g["embed"] = rows_added(x.ravel(), flat @ w["inner"].T, len(w["embed"]))
         return float(loss), g, h
 
-    def train(self, documents: Sequence[np.ndarray], steps: int = STEPS, lanes: int = LANES, rate: float = RATE) -> float:
+    def train(self, documents: Iterable[np.ndarray], steps: int = STEPS, lanes: int = LANES, rate: float = RATE) -> float:
         """One pass over documents of symbols after the symbol before (-1 fills short ones) with AdaGrad; the mean loss a symbol.
 
-        The state is zero at a document's start and carried on to its end.
+        The state is zero at a document's start and carried on to its end. Documents are streamed: a lane that has ended one takes the longest
+        of the next AHEAD, so that long ones don't run on alone at the end.
         """
-        rows = [d[d >= 0] for d in documents]
-        rows = [d for d in rows if len(d) > 1]
-        lengths = np.array([len(d) - 1 for d in rows], int)
-        order = dealt(lengths, lanes)
-        long = np.array([int(lengths[x].sum()) for x in order])
-        x, y = (np.full((-(-int(long.max(initial=0)) // steps) * steps, len(order)), fill, np.int32) for fill in (END, -1))
-        new = np.zeros(x.shape, bool)
-        for i, own in enumerate(order):
-            x[: long[i], i], y[: long[i], i] = np.concatenate([rows[d][:-1] for d in own]), np.concatenate([rows[d][1:] for d in own])
-            new[np.cumsum(lengths[own]) - lengths[own], i] = True
+        source = (d for d in (x[x >= 0] for x in documents) if len(d) > 1)
+        waiting: list[tuple[int, int, np.ndarray]] = []
+        read = 0
+
+        def following() -> np.ndarray | None:
+            nonlocal read
+            while len(waiting) < AHEAD and (d := next(source, None)) is not None:
+                heapq.heappush(waiting, (-len(d), read, d))
+                read += 1
+            return heapq.heappop(waiting)[2] if waiting else None
+
         past = {name: np.full_like(v, 1.0) for name, v in self.w.items()}
-        total, h = 0.0, np.zeros((len(order), self.hidden), np.float32)
-        for t in range(0, len(x), steps):
-            going = int(np.searchsorted(-long, -t, "left"))
-            at = slice(t, t + steps), slice(0, going)
-            loss, g, h = self.gradients(x[at], y[at], h[:going], new[at])
+        open_: list[list] = []  # document and place of each lane
+        while len(open_) < lanes and (d := following()) is not None:
+            open_.append([d, 0])
+        total, n, h = 0.0, 0, np.zeros((len(open_), self.hidden), np.float32)
+        while open_:
+            x, y = np.full((len(open_), steps), END, np.int32), np.full((len(open_), steps), -1, np.int32)
+            new = np.zeros(x.shape, bool)
+            for i, lane in enumerate(open_):
+                filled = 0
+                while filled < steps and lane[0] is not None:
+                    d, at = lane
+                    new[i, filled] = at == 0
+                    k = min(steps - filled, len(d) - 1 - at)
+                    x[i, filled : filled + k], y[i, filled : filled + k] = d[at : at + k], d[at + 1 : at + k + 1]
+                    filled += k
+                    lane[:] = [following(), 0] if at + k == len(d) - 1 else [d, at + k]
+                n += filled
+            loss, g, h = self.gradients(x.T, y.T, h, new.T)
             for name, v in g.items():
-                v /= going
+                v /= len(open_)
                 past[name] += v * v
                 self.w[name] -= (rate * v / np.sqrt(past[name])).astype(np.float32)
             total += loss
-        return total / max(int(lengths.sum()), 1)
+            going = [i for i, lane in enumerate(open_) if lane[0] is not None]
+            open_, h = [open_[i] for i in going], h[going]
+        return total / max(n, 1)
 
     def packed(self) -> bytes:
         return np.concatenate([self.w[name].ravel() for name in self.NAMES]).astype(np.float32).tobytes()
@@ -313,12 +375,18 @@ def block_rows(batch: pa.RecordBatch) -> Iterator[dict]:
         }
 
 
+def texts_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of each word within its block, each text's number of words)."""
+    lengths = np.frombuffer(r["lengths"], np.int32).astype(np.int64)
+    return unpacked_numbers(r["local"], int(lengths.sum())), lengths
+
+
 def training_documents(batches: Iterator[pa.RecordBatch], symbols: Symbols, share: float) -> Iterator[pa.RecordBatch]:
     """The training documents (or a seeded share of them) whole, as symbols; draw is seeded by id and symbols."""
     small = np.uint16 if len(symbols.counts) <= 1 << 16 else np.int32
     for batch in batches:
         for r in block_rows(batch):
-            local, lengths = np.frombuffer(r["local"], np.int32), np.frombuffer(r["lengths"], np.int32)
+            local, lengths = texts_of(r)
             ids = symbols.look_up(r["hashes"])[local].astype(small)
             first = np.cumsum(lengths) - lengths
             own = [(d, ids[low : low + n].tobytes()) for d, held, low, n in zip(r["doc_ids"], r["held"], first.tolist(), lengths.tolist(), strict=True) if not held]
@@ -328,58 +396,106 @@ def training_documents(batches: Iterator[pa.RecordBatch], symbols: Symbols, shar
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.int64())], ["draw", "ids", "n"])
 
 
-def trainer_of(counts: np.ndarray, weights, groups: int):
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        own = Network(counts).unpack(np.frombuffer(weights.value, np.float32))
-        trainer = int(rows["trainer"].iloc[0])
-        rows = rows.sort_values(["draw", "ids"])
+def trainer_of(counts: np.ndarray, weights):
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = np.dtype(np.uint16 if len(counts) <= 1 << 16 else np.int32)
-        own.train([np.append(np.int32(END), np.frombuffer(b, small).astype(np.int32)) for b in rows["ids"]])
-        return pd.DataFrame({"trainer": [trainer], "slot": [trainer % groups], "n": [int(rows["n"].sum())], "weights": [own.packed()]})
+        n = 0
+
+        def documents() -> Iterator[np.ndarray]:
+            nonlocal n
+            for batch in batches:
+                for ids in batch.column("ids"):
+                    own = np.frombuffer(ids.as_buffer(), small)
+                    n += len(own)
+                    yield np.append(np.int32(END), own.astype(np.int32))
+
+        network = Network(counts).unpack(np.frombuffer(weights.value, np.float32))
+        network.train(documents())
+        if n:
+            yield pa.RecordBatch.from_pylist([{"trainer": TaskContext.get().partitionId(), "n": n, "weights": network.packed()}], WEIGHTS)
 
     return train
 
 
+WEIGHTS = pa.schema([("trainer", pa.int64()), ("n", pa.int64()), ("weights", pa.binary())])
+WEIGHTS_DDL = "trainer long, n long, weights binary"
+
+
 def averaged(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("trainer")
     total = int(rows["n"].sum())
     mean = sum(np.frombuffer(w, np.float32).astype(float) * (n / total) for n, w in zip(rows["n"], rows["weights"], strict=True))
-    return pd.DataFrame({"trainer": [int(rows["trainer"].iloc[0])], "slot": [0], "n": [total], "weights": [mean.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"trainer": [int(rows["trainer"].iloc[0]) // FAN_IN], "n": [total], "weights": [mean.astype(np.float32).tobytes()]})
+
 
+def fit(documents: DataFrame, counts: np.ndarray, tokens: int, rounds: int = ROUNDS) -> Network:
+    """The network after some rounds of training in parallel; each round's trainers see other documents, and together they see all.
 
-def fit(documents: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """The network after some rounds of training in parallel; each round's trainers see other documents, and together they see all."""
+    A trainer is a partition, which streams its documents; the driver gets the weights of FAN_IN averages at most.
+    """
     spark = documents.sparkSession
     network = Network(counts)
-    n = documents.agg(F.sum("n")).first()[0] or 0
-    trainers = max(1, n // (rounds * TRAINER_TOKENS))
-    groups = math.isqrt(trainers - 1) + 1  # so the driver gets the root of the trainers' number of weights
-    ddl = "trainer long, slot long, n long, weights binary"
-    for k in range(rounds if n else 0):
+    trainers = max(1, tokens // (rounds * TRAINER_TOKENS))
+    for k in range(rounds if tokens else 0):
         weights = spark.sparkContext.broadcast(network.packed())  # a fixed size: it follows from the vocabulary and layers
-
-        mine = documents.where(F.col("draw") % rounds == k).withColumn("trainer", F.floor(F.col("draw") / rounds) % trainers)
-        # training takes long on few bytes: a stated number of partitions keeps them from being merged by size
-        got = mine.repartition(trainers, "trainer").groupBy("trainer").applyInPandas(trainer_of(counts, weights, groups), ddl)
-        got = got.groupBy("slot").applyInPandas(averaged, ddl).collect()
-        if got:
-            mean = averaged(pd.DataFrame(got, columns=["trainer", "slot", "n", "weights"]))
+        mine = documents.where(F.col("draw") % rounds == k).repartition(trainers, "draw").sortWithinPartitions("draw", "ids")
+        got, left = mine.mapInArrow(trainer_of(counts, weights), WEIGHTS_DDL), trainers
+        while left > FAN_IN:
+            left = -(-left // FAN_IN)
+            got = got.groupBy(F.floor(F.col("trainer") / FAN_IN)).applyInPandas(averaged, WEIGHTS_DDL)
+        rows = got.collect()
+        if rows:
+            mean = averaged(pd.DataFrame(rows, columns=["trainer", "n", "weights"]))
             network.unpack(np.frombuffer(mean["weights"][0], np.float32))
         weights.destroy()
     return network
 
 
-def score_blocks(batches: Iterator[pa.RecordBatch], symbols: Symbols, counts: np.ndarray, weights, tokens: int, kinds: int) -> Iterator[pa.RecordBatch]:
+def frequent(totals: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the most frequent words, by hash; the counts' histogram proves that there are not more than so many."""
+    level = F.floor(F.log2("c") * 8)
+    histogram = sorted(((r["level"], r["n"]) for r in totals.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, n = None, 0
+    for at, own in histogram:
+        n += own
+        if n > most:
+            break
+        least = at
+    top = totals.where(level >= least if least is not None else F.lit(False)).select("h", "c").toArrow()
+    hashes, counts = (top.column(c).to_numpy() for c in ("h", "c"))
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], counts[order]
+
+
+def found_in(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each x is among the sorted values, where)."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return sorted_[at] == x, at
+
+
+def rare_words(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """(block, h) of the words of each block that are not among the known ones."""
+    for batch in batches:
+        for r in block_rows(batch):
+            rest = r["hashes"][~found_in(known.value[0], r["hashes"])[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), r["block"])), pa.array(rest)], ["block", "h"])
+
+
+def score_blocks(batches: Iterator[pa.RecordBatch], symbols: Symbols, counts: np.ndarray, weights, known, tokens: int, kinds: int) -> Iterator[pa.RecordBatch]:
     network = Network(counts).unpack(np.frombuffer(weights, np.float32))
     other_tokens = tokens - int(counts[1:].sum())
     other_kinds = kinds - (len(counts) - 1)
     for batch in batches:
         for r in block_rows(batch):
-            local, lengths, hashes = np.frombuffer(r["local"], np.int32), np.frombuffer(r["lengths"], np.int32), r["hashes"]
-            c = np.zeros(len(hashes), np.int64)
+            (local, lengths), hashes = texts_of(r), r["hashes"]
+            hit, at = found_in(known.value[0], hashes)
+            c = np.where(hit, known.value[1][at] if len(known.value[1]) else 0, 0)
             if r["totals"] is not None:
                 h, n = (r["totals"].field(k).to_numpy(zero_copy_only=False) for k in ("h", "c"))
-                c[np.searchsorted(hashes.view(U), np.ascontiguousarray(h).view(U))] = n
+                order = np.argsort(hashes)
+                c[order[np.searchsorted(hashes[order], h)]] = n
             first = np.cumsum(lengths) - lengths
             base = np.log10((c + 1) / (tokens + kinds + 1))[local]
             ids = symbols.look_up(hashes)
@@ -395,20 +511,24 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = store.write(rows.mapInArrow(to_blocks, BLOCKS_DDL), "blocks")
     words = blocks.select("block", F.explode(F.arrays_zip("hashes", "counts")).alias("w")).select("block", F.col("w.hashes").alias("h"), F.col("w.counts").alias("c"))
     totals = store.write(words.where("c > 0").groupBy("h").agg(F.sum("c").alias("c")), "totals")
     seen = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = seen["n"] or 0, seen["v"]
-    top = [(r["h"], r["c"]) for r in totals.orderBy(F.desc("c"), "h").limit(vocabulary).collect()]
-    symbols = Symbols.of(top, tokens)
-    training = store.write(blocks.mapInArrow(lambda it: training_documents(it, symbols, share), "draw long, ids binary, n long"), "training")
+    hashes, known_counts = frequent(totals)
+    top = np.lexsort((hashes, -known_counts))[:vocabulary]
+    symbols = Symbols.of(list(zip(hashes[top].tolist(), known_counts[top].tolist(), strict=True)), tokens)
+    training = blocks.select("doc_ids", "held", "lengths", "local", "hashes").mapInArrow(lambda it: training_documents(it, symbols, share), "draw long, ids binary, n long")
     counts = symbols.counts
-    weights = fit(training, counts).packed()
-    of_block = words.select("block", "h").join(totals, "h").groupBy("block").agg(F.collect_list(F.struct("h", "c")).alias("totals"))
-    known = blocks.select("block", "doc_ids", "held", "lengths", "local", "hashes").join(of_block, "block", "left")
-    return known.drop("block").mapInArrow(lambda it: score_blocks(it, symbols, counts, weights, tokens, kinds), SCORES)
+    weights = fit(training, counts, tokens).packed()
+    known = spark.sparkContext.broadcast((hashes, known_counts))  # FREQUENT words at most
+    rare = blocks.select("block", "hashes").mapInArrow(lambda it: rare_words(it, known), "block long, h long")
+    of_block = rare.join(totals, "h").groupBy("block").agg(F.collect_list(F.struct("h", "c")).alias("totals"))
+    scored = blocks.select("block", "doc_ids", "held", "lengths", "local", "hashes").join(of_block, "block", "left")
+    return scored.drop("block").mapInArrow(lambda it: score_blocks(it, symbols, counts, weights, known, tokens, kinds), SCORES)
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -453,7 +453,7 @@ def test_op10_fits_on_all_training_documents_whole(docs, rows, monkeypatch):
     monkeypatch.setattr(recurrent, "fit", lambda documents, *x: (seen.append(documents), fit(documents, *x))[1])
     monkeypatch.setattr(recurrent, "TRAINER_TOKENS", 500)  # several trainers and groups of them
     out = recurrent.score_documents(docs).collect()
-    got = sorted(r["n"] for r in seen[0].select("n").collect())
+    got = sorted(r["n"] for r in seen[0].select("n").collect())  # what the trainers are given
     assert got == sorted(r["n_tokens"] for r in out if not r["held_out"]) and sum(got) == out[0]["train_tokens"]
 
 
