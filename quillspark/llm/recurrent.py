@@ -440,10 +440,10 @@ def fit(documents: DataFrame, counts: np.ndarray, tokens: int, rounds: int = ROU
         weights = spark.sparkContext.broadcast(network.packed())  # a fixed size: it follows from the vocabulary and layers
         mine = documents.where(F.col("draw") % rounds == k).repartition(trainers, "draw").sortWithinPartitions("draw", "ids")
         got, left = mine.mapInArrow(trainer_of(counts, weights), WEIGHTS_DDL), trainers
-        while left > FAN_IN:
+        while left > FAN_IN**2:
             left = -(-left // FAN_IN)
             got = got.groupBy(F.floor(F.col("trainer") / FAN_IN)).applyInPandas(averaged, WEIGHTS_DDL)
-        rows = got.collect()
+        rows = got.groupBy(F.col("trainer") % FAN_IN).applyInPandas(averaged, WEIGHTS_DDL).collect()
         if rows:
             mean = averaged(pd.DataFrame(rows, columns=["trainer", "n", "weights"]))
             network.unpack(np.frombuffer(mean["weights"][0], np.float32))
