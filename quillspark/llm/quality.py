@@ -102,10 +102,15 @@ def pattern(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.concat(*(F.expr(f"case when {r.bad} then 'b' when {r.good} then 'g' else '-' end") for r in rules))
 
 
-def fit(patterns: dict[str, int], rounds: int = 100, bad_prior: float = 0.05) -> tuple[dict[str, float], dict[str, np.ndarray]]:
+#: Votes that every estimate starts with: right ones and all, about good and about bad documents. Their number is fixed, so data outweighs them.
+GOOD_VOTES, BAD_VOTES = (19.9, 20.0), (6.0, 20.0)
+
+
+def fit(patterns: dict[str, int], rounds: int = 200, bad_prior: float = 0.05) -> tuple[dict[str, float], dict[str, np.ndarray]]:
     """EM over vote patterns: the posterior probability of good by pattern; the prior and accuracies.
 
-    Starts from a bad prior of 5 percent and the guess that a pattern with a bad vote is bad.
+    Starts from a bad prior of 5 percent and the guess that a pattern with a bad vote is bad: this and that a rule about bad
+    documents is never estimated to be worse than about good ones ties the classes to their names.
     right_good, right_bad: how often a rule that votes is right about good and about bad documents.
     """
     if not patterns:
@@ -119,10 +124,10 @@ def fit(patterns: dict[str, int], rounds: int = 100, bad_prior: float = 0.05) ->
     for _ in range(rounds):
         yes, no = n * post, n * (1 - post)
         prior = (yes.sum() + 1) / (n.sum() + 2)
-        # half of each estimate is a prior (bad votes on 1 of 200 good and 3 of 10 bad documents): it ties the
-        # two classes to their names, and no rule can come to be read the other way round
-        right_good = (yes @ good + 0.995 * yes.sum()) / (yes @ (good + bad) + yes.sum())
-        right_bad = (no @ bad + 0.3 * no.sum()) / (no @ (good + bad) + no.sum())
+        right_good = (yes @ good + GOOD_VOTES[0]) / (yes @ (good + bad) + GOOD_VOTES[1])
+        right_bad = (no @ bad + BAD_VOTES[0]) / (no @ (good + bad) + BAD_VOTES[1])
+        # a bad vote never speaks for a document: it is as likely about a bad document as about a good one, at least
+        right_bad = np.maximum(right_bad, 1 - right_good)
         odds = np.log(prior / (1 - prior)) + good @ np.log(right_good / (1 - right_bad)) + bad @ np.log((1 - right_good) / right_bad)
         after = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(after - post).max() < 1e-9:
@@ -131,17 +136,15 @@ def fit(patterns: dict[str, int], rounds: int = 100, bad_prior: float = 0.05) ->
     return dict(zip(names, post.tolist(), strict=True)), {"prior": prior, "right_good": right_good, "right_bad": right_bad}
 
 
-def judge(counted: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.8, learn_from: DataFrame | None = None) -> DataFrame:
+def judge(counted: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.8) -> DataFrame:
     """Adds base_failed, quality (the posterior) and kept to a table with the COUNTS as columns.
 
     Learns from the documents that pass the base rules; the others are rejected anyway, and their many
-    one-line texts would make up the class of bad documents. learn_from: a table with the same counts to
-    learn from, else counted itself. The posteriors
-    come back as a join with at most 3 ** rules rows, which is the proven bound of the broadcast.
+    one-line texts would make up the class of bad documents. The posteriors come back as a join with at most 3 ** rules rows, which is the proven bound of the broadcast.
     """
     spark = counted.sparkSession
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    seen = {r["pattern"]: r["n"] for r in (learn_from or counted).where(~base).groupBy(pattern(rules).alias("pattern")).agg(F.count("*").alias("n")).collect()}
+    seen = {r["pattern"]: r["n"] for r in counted.where(~base).groupBy(pattern(rules).alias("pattern")).agg(F.count("*").alias("n")).collect()}
     assert len(seen) <= 3 ** len(rules)
     post, _ = fit(seen)
     table = spark.createDataFrame(list(post.items()), "quill_pattern string, quality double")
@@ -156,10 +159,10 @@ def score_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: flo
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.8) -> DataFrame:
-    """The rows whose verdict is kept, with all their columns; texts are read twice and never shuffled."""
-    counted = docs.select(counts("text").alias("c")).select("c.*")
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("quill_row"), counts(docs["text"]).alias("quill_c")).select("quill_row", "quill_c.*")
-    return judge(whole, rules, least, counted).where("kept").select("quill_row.*")
+    """The rows whose verdict is kept, with all their columns. Each text is counted once: the rows and their counts are written, then judged."""
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("quill_row"), counts(docs["text"]).alias("quill_c"))
+    counted = store.write(whole.select("quill_row", "quill_c.*"), "counted")
+    return judge(counted, rules, least).where("kept").select("quill_row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
