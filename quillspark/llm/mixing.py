@@ -7,12 +7,14 @@ repetition convex; a source takes words up to its target. The flow of least cost
 how many words each pattern gives; documents are then selected in a seeded order.
 
 The order is by MD5 of seed and doc_id. Sums by the digest's first three digits (4096 ranges of each pattern)
-find the range that holds the cut, and only that range's documents are put in order, so no task
-sorts a hot source.
-
-Only pattern counts come to the driver: their number is that of distinct source combinations. Defined
-results: a null text has size 0 and is taken 0 words; a null source is a source of its own, last in order;
-equal rows are taken alike; extra columns pass through mixed_documents(); an empty table gives an empty result.
+find the range that holds the cut, and only that range's digests are put in order, so no task
+sorts a hot source. What comes out is a plan: for each pattern how many copies each of its documents gives and the digest up to which
+they give one more. To carry it out is a map over the documents, whose texts are never shuffled.
+
+Only patterns come to the driver and to every task: MOST_PATTERNS of them at most (there are as many as distinct
+combinations of sources; more raise an error). Defined results: a null text has size 0 and is taken 0 words; a null source is a source of
+its own, last in order; rows that share a doc_id and sources are taken alike, as one unit of their summed size; extra columns pass
+through mixed_documents(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from . import store
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 WEIGHTS, SHARE, MOST_COPIES, SEED = (3, 1, 2), 1.5, 2, "mix-1"
+#: The flow's patterns are solved in the driver and broadcast: some MB at this bound.
+MOST_PATTERNS = 50_000
 
 
 def ordered(sources) -> list:
@@ -119,13 +123,31 @@ def _flow(capacity: dict[tuple, float], quota: dict, most: int) -> dict:
             edges[e ^ 1][1] += room
 
 
-def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED) -> tuple[DataFrame, dict, dict]:
-    """(doc_id, sources, size, copies, quill_key of every row; the sources' sizes; their targets). sources: an array column."""
-    spark = docs.sparkSession
+def marked(docs: DataFrame, sources: Column, seed: str = SEED) -> DataFrame:
+    """The rows with quill_sources (distinct, sorted) and quill_key, the digest that orders them."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", F.array_sort(F.array_distinct(sources)).alias("sources"), F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)").alias("size"), key.alias("key"))
-    sized = store.write(sized, "sized")
-    counted = {tuple(r["sources"]): r["size"] for r in sized.groupBy("sources").agg(F.sum("size").alias("size")).collect()}
+    return docs.withColumns({"quill_sources": F.array_sort(F.array_distinct(sources)), "quill_key": key})
+
+
+def copies_of(plan: DataFrame, rows: DataFrame, has_words: Column) -> DataFrame:
+    """rows, from marked(), with quill_copies; plan: one row a pattern, so its bound is that of the broadcast."""
+    both = rows.join(F.broadcast(plan), F.col("quill_sources").eqNullSafe(F.col("quill_pattern")), "left")
+    more = F.coalesce((F.col("quill_key") <= F.col("quill_last")).cast("int"), F.lit(0))
+    copies = F.when(has_words, F.least("quill_most", F.col("quill_whole") + more)).otherwise(0)
+    return both.withColumn("quill_copies", F.coalesce(copies, F.lit(0))).drop("quill_pattern", "quill_last", "quill_whole", "quill_most")
+
+
+def planned(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> tuple[DataFrame, dict, dict]:
+    """(plan, the sources' sizes, their targets) of a table with quill_sources, quill_key and size.
+
+    plan: quill_pattern, quill_whole (copies of each of its documents), quill_last (documents up to this digest give one more) and quill_most.
+    """
+    spark = sized.sparkSession
+    counts = sized.groupBy("quill_sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    if len(counts) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
+    # in a fixed order, so that of equally cheap flows reruns find the same
+    counted = dict(sorted(((tuple(r["quill_sources"]), r["size"]) for r in counts), key=lambda x: [(s is None, s or "") for s in x[0]]))
     sizes: dict = defaultdict(int)
     for p, n in counted.items():
         for s in p:
@@ -136,25 +158,51 @@ def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS,
     for (p, _), n in flow.items():
         given[p] += n
     rows = [(list(p), min(most, int(given[p] // n)) if n else 0, given[p] - n * min(most, int(given[p] // n)) if n else 0.0) for p, n in counted.items()]
-    plan = spark.createDataFrame(rows, "sources array<string>, whole int, rest double")
-    parts = sized.groupBy("sources", F.substring("key", 1, 3).alias("range")).agg(F.sum("size").alias("n"))
-    parts = parts.withColumn("after", F.expr("sum(n) over (partition by sources order by range rows unbounded preceding)")).join(plan, "sources")
-    parts = store.write(parts.select("sources", "range", (F.col("after") - F.col("n")).alias("before"), "after", "whole", "rest"), "ranges")
-    placed = sized.withColumn("range", F.substring("key", 1, 3)).join(parts, ["sources", "range"])
-    cut = "before < rest and after > rest"
-    inside = placed.where(cut).withColumn("sum", F.expr("before + sum(size) over (partition by sources, range order by key, size rows unbounded preceding)"))
-    taken = inside.withColumn("extra", F.expr("2 * sum - size <= 2 * rest")).drop("sum").unionByName(placed.where(f"not ({cut})").withColumn("extra", F.expr("after <= rest")))
-    copies = F.when(F.col("size") > 0, F.least(F.lit(most), F.col("whole") + F.col("extra").cast("int"))).otherwise(0)
-    return taken.select("doc_id", "sources", "size", copies.alias("copies"), "key"), dict(sizes), wanted
+    shares = F.broadcast(spark.createDataFrame(rows, "sources array<string>, whole int, rest double"))
+    # units are put in the digest's order; one is taken once more if the cut lies behind its middle, so those taken are the first ones
+    ranges = sized.groupBy("quill_sources", F.substring("quill_key", 1, 3).alias("range")).agg(F.sum("size").alias("n"))
+    ranges = ranges.withColumn("after", F.expr("sum(n) over (partition by quill_sources order by range rows unbounded preceding)")).join(shares, F.col("quill_sources").eqNullSafe(F.col("sources"))).drop("sources")
+    ranges = store.write(ranges.withColumn("before", F.col("after") - F.col("n")), "ranges")
+    cut = ranges.where("before < rest and after > rest").select(F.col("quill_sources").alias("sources"), F.col("range").alias("cut"), "before", "rest")
+    inside = sized.join(F.broadcast(cut), F.col("quill_sources").eqNullSafe(F.col("sources")) & (F.substring("quill_key", 1, 3) == F.col("cut")))
+    units = inside.groupBy("quill_sources", "quill_key", "before", "rest").agg(F.sum("size").alias("n"))
+    units = units.withColumn("sum", F.expr("before + sum(n) over (partition by quill_sources order by quill_key rows unbounded preceding)"))
+    within = units.where("2 * sum - n <= 2 * rest").groupBy("quill_sources").agg(F.max("quill_key").alias("last"))
+    # a range that is taken whole: all digests that begin with its three digits come before its name and a g
+    whole = ranges.where("after <= rest").groupBy("quill_sources").agg(F.max(F.concat("range", F.lit("g"))).alias("last"))
+    last = whole.unionByName(within).groupBy("quill_sources").agg(F.max("last").alias("quill_last"))
+    plan = shares.join(last, F.col("quill_sources").eqNullSafe(F.col("sources")), "left")
+    plan = plan.select(F.col("sources").alias("quill_pattern"), F.col("whole").alias("quill_whole"), "quill_last", F.lit(most).alias("quill_most"))
+    return store.write(plan, "plan"), dict(sizes), wanted
+
+
+def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED) -> tuple[DataFrame, dict, dict]:
+    """(doc_id, sources, size and copies of every row; the sources' sizes; their targets). sources: an array column."""
+    size = F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)").alias("size")
+    sized = store.write(marked(docs.select("doc_id", "text", sources.alias("quill_in")), F.col("quill_in"), seed).select("doc_id", "quill_sources", size, "quill_key"), "sized")
+    plan, sizes, wanted = planned(sized, weights, share, most)
+    taken = copies_of(plan, sized, F.col("size") > 0)
+    return taken.select("doc_id", F.col("quill_sources").alias("sources"), "size", F.col("quill_copies").alias("copies")), sizes, wanted
 
 
 def mixed_documents(docs: DataFrame, sources: Column | None = None) -> DataFrame:
-    """The rows with all their columns, each as often as the mix takes it. Rows that share a doc_id and sources are taken alike."""
+    """The rows with all their columns, each as often as the mix takes it. Texts are mapped, not shuffled."""
     sources = F.array("source") if sources is None else sources
-    taken, _, _ = mix(docs, sources)
-    copies = taken.where("copies > 0").groupBy(F.col("doc_id").alias("quill_id"), F.col("sources").alias("quill_sources")).agg(F.max("copies").alias("quill_copies"))
-    same = F.col("quill_id").eqNullSafe(docs["doc_id"]) & F.col("quill_sources").eqNullSafe(F.array_sort(F.array_distinct(sources)))
-    return docs.join(copies, same).withColumn("quill_copy", F.explode(F.sequence(F.lit(1), "quill_copies"))).select(docs.columns)
+    size = F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)").alias("size")
+    sized = store.write(marked(docs, sources).select("quill_sources", "quill_key", size), "sized")
+    plan, _, _ = planned(sized)
+    taken = copies_of(plan, marked(docs, sources), F.coalesce(F.col("text").rlike(WORD.replace("\\\\", "\\")), F.lit(False))).where("quill_copies > 0")
+    return taken.withColumn("quill_copy", F.explode(F.sequence(F.lit(1), "quill_copies"))).select(docs.columns)
+
+
+def mix_overlapping_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by sources that overlap: a document belongs to its source and to its language, and may fill either quota.
+
+    Returns doc_id, n_sources, size and taken; sources may be null.
+    """
+    docs = store.read(spark, sf_dir, "documents")
+    taken, _, _ = mix(docs, F.array(F.concat(F.lit("source "), "source"), F.concat(F.lit("language "), "lang")))
+    return taken.select("doc_id", F.size("sources").cast("long").alias("n_sources"), "size", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "mix_overlapping_sources": mixing.mix_overlapping_sources,
     "op5_pack_documents": packing.op5_pack_documents,
     "op9_license_scan": licenses.op9_license_scan,
     "op1_chat_format": chat.op1_chat_format,

@@ -158,6 +158,49 @@ def test_op3_targets_flow_and_selection(spark, docs, empty):
     assert mixing.mix(empty, F.array("source"))[0].count() == 0
 
 
+def test_op3_rows_that_share_an_id_are_one_unit(spark):
+    rows = [(1, "w " * 10, "a")] * 4 + [(2, None, "a"), (3, "", None), (None, "x y", None), (None, "x y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, sizes, wanted = mixing.mix(docs, F.array("source"))
+    got = sorted((r["doc_id"] or 0, r["size"], r["copies"]) for r in taken.collect())
+    out = mixing.mixed_documents(docs)
+    assert len({c for i, n, c in got if i == 1}) == len({c for i, n, c in got if i == 0}) == 1
+    assert Counter(r["doc_id"] or 0 for r in out.collect()) == Counter({i: n for i, n in ((i, sum(c for j, _, c in got if j == i)) for i in (0, 1)) if n})
+    assert abs(sum(10 * c for i, _, c in got if i == 1) - wanted["a"]) <= 20 and sizes["a"] == 40
+
+
+def test_op3_overlapping_sources_equal_brute_force(spark):
+    """The selection by midpoints for each pattern's share of the flow, which keeps the quotas and repeats no more than it must."""
+    kinds = [["s", "l"], ["s"], ["l", "m"], ["m"]]
+    rows = [(i, "w " * (1 + i % 5), kinds[i % 4 if i % 7 else 0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, groups array<string>")
+    taken, sizes, wanted = mixing.mix(docs, F.col("groups"))
+    got = {r["doc_id"]: (tuple(r["sources"]), r["size"], r["copies"]) for r in taken.collect()}
+    by_pattern = Counter()
+    for p, n, _ in got.values():
+        by_pattern[p] += n
+    flow = mixing.least_cost_flow(dict(sorted(by_pattern.items())), wanted)
+    given = Counter()
+    for (p, _), n in flow.items():
+        given[p] += n
+    into = Counter()
+    for (_, s), n in flow.items():
+        into[s] += n
+    assert all(into[s] <= wanted[s] + 1e-6 for s in wanted)
+    for p, n in by_pattern.items():
+        whole, rest = int(given[p] // n), given[p] % n
+        own = sorted((hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), i) for i in got if got[i][0] == p)
+        before = 0
+        for _, i in own:
+            size = got[i][1]
+            assert got[i][2] == min(2, whole + (2 * before + size <= 2 * rest)), (p, i)
+            before += size
+    # no cheaper way of as many words: moving a word from a repeated pattern to an unrepeated one must be impossible
+    cost = sum(max(0.0, given[p] - n) for p, n in by_pattern.items())
+    least = max(0.0, sum(wanted.values()) - sum(by_pattern.values()))
+    assert cost >= least - 1e-6
+
+
 def shingle_set(text):
     w = words(text, True)
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
