@@ -252,6 +252,12 @@ class Shard:
         self.at = np.concatenate([[0], np.cumsum(in_docs)])
         self.idf = np.where(in_docs > 1, idf, 0)
         self.n = n
+        # terms of many rests as whole rows: to add them up is one pass over memory
+        often = in_docs >= max(2, n // 8)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), n))
+        mine = np.repeat(often, in_docs)
+        self.rows[np.repeat(self.row, in_docs)[mine], self.docs[mine]] = self.weights[mine]
 
     def scores(self, seed: int) -> np.ndarray:
         """Each rest's score for all the seed's tokens that others have too."""
@@ -259,8 +265,14 @@ class Shard:
         terms = terms[self.idf[terms] > 0]
         if not len(terms):
             return np.zeros(self.n)
-        spans = [slice(self.at[t], self.at[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        row = self.row[terms]
+        out = self.rows[row[row >= 0]].sum(0)
+        few = terms[row < 0]
+        if len(few):
+            size = self.at[few + 1] - self.at[few]
+            flat = np.repeat(self.at[few] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            out += np.bincount(self.docs[flat], self.weights[flat], self.n)
+        return out
 
 
 def fill(rests: list[np.ndarray]) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
@@ -344,7 +356,7 @@ PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequen
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length."""
+    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path()
     schema = ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'long'}" for f in ENCODED)
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lambda it: encode(it, path, end_id), schema)

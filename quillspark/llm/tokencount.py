@@ -4,7 +4,8 @@ A pre-token is a word with its leading space mark. Its best segmentation under a
 of the pieces' log-probabilities. The best score of a prefix doesn't depend on what follows, so distinct
 pre-tokens are inserted in a trie, whose nodes hold forward scores: each is computed once for all words
 that share the prefix, and a word's last node holds its number of tokens. A document's count is
-the sum over its words. Every task keeps a trie and the counts it has read off, up to a bound on each.
+the sum over its words. Every task keeps a trie of the distinct pre-tokens it has met and the counts it has read off, up to a bound on
+each; words longer than LONG_WORD share nothing and keep the scores of their last prefixes only.
 
 Pieces come from a public SentencePiece file, whose path is a parameter. Where that holds BPE ranks (whole numbers) and not
 unigram scores, rank r has the probability 1 / ((r + 1) H), H being the harmonic sum (Zipf's law). Characters outside the vocabulary are UTF-8
@@ -27,6 +28,8 @@ from . import store
 
 SPACE_MARK, BYTE_SCORE = "▁", -30.0
 MOST_NODES, MOST_WORDS = 600_000, 600_000
+#: Words of more characters go past the trie, which would keep a node for each.
+LONG_WORD = 512
 
 
 def vocabulary_path() -> str:
@@ -71,6 +74,22 @@ class ForwardTrie:
             path.append(node := below)
         return self.count[node]
 
+    def long(self, word: str) -> int:
+        """insert() of a long word that keeps the scores of the last longest-piece prefixes only."""
+        pieces, keep = self.pieces, self.longest + 1
+        score, count = [0.0] * keep, [0] * keep  # of the prefix of length k at k % keep
+        for end, c in enumerate(word, 1):
+            n = len(c.encode())
+            best, fewest = score[(end - 1) % keep] + n * BYTE_SCORE, count[(end - 1) % keep] + n
+            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                own = pieces.get(word[start:end])
+                if own is not None:
+                    s, k = score[start % keep] + own, count[start % keep] + 1
+                    if s > best or s == best and k <= fewest:
+                        best, fewest = s, k
+            score[end % keep], count[end % keep] = best, fewest
+        return count[len(word) % keep]
+
     def extend(self, word: str, end: int, path: list[int]) -> int:
         """A node for word[:end]; path: the nodes of its prefixes. Ties go to fewer tokens, then to the longer last piece."""
         pieces, score, count = self.pieces, self.score, self.count
@@ -101,7 +120,8 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
             for word in sorted(distinct - known.keys()):
                 if len(trie.score) > trie.most:
                     trie.clear()
-                known[word] = trie.insert(SPACE_MARK + word.decode())
+                text = SPACE_MARK + word.decode()
+                known[word] = trie.insert(text) if len(text) <= LONG_WORD else trie.long(text)
             get = known.__getitem__
             n_words += map(len, cut)
             n_tokens += [sum(map(get, words)) for words in cut]

@@ -363,6 +363,9 @@ def test_op8_equals_brute_force(docs, rows, empty):
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in tokencount.count_tokens(docs).collect()}
     assert got == {i: (len(words(t)), sum(known[w] for w in words(t))) for i, t, *_ in rows}
     assert tokencount.count_tokens(empty).count() == 0
+    whole = tokencount.ForwardTrie(pieces)
+    longs = ["▁" + "".join(R.choices("abtheing漢é", k=n)) for n in (1, 30, 511, 3000)]
+    assert [whole.long(w) for w in longs] == [whole.insert(w) for w in longs]
     trie = tokencount.ForwardTrie(pieces, most_nodes=5)
     assert [trie.insert("▁" + w) for w in list(known)[:20]] == list(known.values())[:20]
 
