@@ -30,16 +30,16 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).alias(name)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As write(), in as many buckets of the key as a shuffle has partitions: joins on the key then leave these rows where they are.
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As write(), in so many buckets of the key (at most as many as Spark allows a table), one sorted file each: grouping by the key leaves these rows where they are.
 
     The catalog's entry goes at once; the DataFrame keeps the files and their buckets.
     """
     spark = df.sparkSession
     table = f"quill_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.table(table)
