@@ -35,7 +35,7 @@ from .words import U, Words, lists, mix, runs, signed, sliding_min, slices
 
 WINDOW, GRAM, PHRASE = 50, 20, 25
 #: Words of documents in a shard, and in a bucket of the written table.
-SHARD_WORDS, TASK_WORDS = 500_000, 2_000_000
+SHARD_WORDS, TASK_WORDS = 2_000_000, 2_000_000
 #: Parts into which the rows of one whole text are dealt when its copies are told.
 SALTS = 64
 LONGS = T.ArrayType(T.LongType())
@@ -283,9 +283,10 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = texts.cogroup(given(shared)).applyInArrow(shard_windows, "window long, low long, high long")
     owned = windows.groupBy("window").agg(F.min("low").alias("owner"), F.max("high").alias("high")).where("owner < high").select(shard("owner"), "owner", "window")
     passages = texts.cogroup(store.write(owned, "owned").groupBy("shard")).applyInArrow(shard_passages, "owner long, words binary, anchors array<long>")
-    passages = store.write(passages, "passages")
-    # which passages are compiled in which shards
-    routes = passages.select("owner", "words", F.explode("anchors").alias("anchor")).join(shared, "anchor").select("shard", "owner", "words").distinct()
+    passages = store.write(passages.withColumn("passage", F.xxhash64("owner", "words")), "passages")
+    # which passages are compiled in which shards; words follow when that is known
+    routes = passages.select("passage", F.explode("anchors").alias("anchor")).join(shared, "anchor").select("shard", "passage").distinct()
+    routes = routes.join(passages.select("passage", "owner", "words"), "passage").drop("passage")
     found = texts.cogroup(given(routes)).applyInArrow(shard_removals, REMOVED_DDL)
     return surveyed.drop("anchors"), store.write(found, "runs")
 
