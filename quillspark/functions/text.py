@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -113,29 +114,45 @@ def code_list(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(col(c), "[,;]"), lambda x: trimmed(x)), lambda x: x != "")
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """How often a term stands in a text, literally and without overlap. Lengths in bytes, which need no scan."""
-    gone = F.octet_length(text) - F.octet_length(F.replace(text, term, F.lit("")))
-    return F.when((F.octet_length(term) > 0) & F.contains(text, term), gone / F.octet_length(term)).otherwise(F.lit(0.0))
+def once(c: Column | str, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f names it: long expressions stay short."""
+    return F.get(F.transform(F.array(col(c)), f), F.lit(0))
+
+
+def first_given(values: list[Column]) -> Column:
+    """The first value that is neither null nor empty; else null."""
+    return F.get(F.filter(F.array(*values), lambda x: x != ""), F.lit(0))
+
+
+def without_edges(c: Column | str) -> Column:
+    return trimmed(F.regexp_replace(F.regexp_replace(col(c), r"\*\*", ""), r"^[\s:,\-]+|[\s,;]+$", ""))
+
+
+def cleaned(c: Column | str) -> Column:
+    """Without double asterisks, marks and white space at the ends; null if nothing is left."""
+    return first_given([without_edges(c)])
 
 
 def first_match(c: Column | str, patterns: list[str]) -> Column:
-    """The first capture that isn't blank once asterisks and edge punctuation are dropped; else null."""
-    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"\*\*", ""), r"^[\s:;,\-]+|[\s:;,\-]+$", "")
-    return F.coalesce(*(F.nullif(clean(F.regexp_extract(col(c), p, 1)), F.lit("")) for p in patterns))
+    """The first capture that isn't blank once it is cleaned; else null."""
+    return first_given([without_edges(F.regexp_extract(col(c), p, 1)) for p in patterns])
 
 
 def section(c: Column | str, start: str, end: str | None = None) -> Column:
     """The text between two markers (patterns); without the end marker, to the end of the text."""
-    return F.nullif(trimmed(F.regexp_extract(col(c), f"(?is)(?:{start})(.*?)(?:{end + '|' if end else ''}\\z)", 1)), F.lit(""))
+    return first_given([trimmed(F.regexp_extract(col(c), f"(?ism)(?:{start})(.*?)(?:{end + '|' if end else ''}\\z)", 1))])
 
 
 def normalized_date(c: Column | str) -> Column:
     """The first d/m/y as MM/DD/YYYY (two-digit years are 20yy); text without one is unchanged."""
-    pattern = r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
-    month, day, year = (F.regexp_extract(col(c), pattern, k) for k in (1, 2, 3))
-    whole = F.concat_ws("/", F.lpad(month, 2, "0"), F.lpad(day, 2, "0"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year))
-    return F.when(col(c).rlike(pattern), whole).otherwise(col(c))
+    pattern = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
+
+    def written(x: Column) -> Column:
+        month, day, year = (F.regexp_extract(x, pattern, k) for k in (1, 2, 3))
+        whole = F.concat_ws("/", F.lpad(month, 2, "0"), F.lpad(day, 2, "0"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year))
+        return F.when(x.rlike(pattern), whole).otherwise(x)
+
+    return once(c, written)
 
 
 def extracted_codes(c: Column | str, pattern: str, most: int = 12) -> Column:

@@ -116,6 +116,14 @@ def merged_verdict(rules: Column | str, model: Column | str) -> Column:
     return F.when(r == "FAIL", "FAIL").when((r == "NEEDS_REVIEW") & (m == "PASS"), "NEEDS_REVIEW").otherwise(m)
 
 
+def merged_verification(model_checks: Column, rule_checks: Column, model_flags: Column, issues: Column) -> Column:
+    """checks: the model's, then the rules'; flagged: the model's, then "code: evidence" of each issue; nulls count as empty."""
+    kind = "array<struct<check: string, status: string, details: string>>"
+    empty = lambda c, t: F.coalesce(c.cast(t), F.array().cast(t))
+    named = F.transform(issues, lambda i: F.concat_ws(": ", i["code"], i["evidence"]))
+    return F.struct(F.concat(empty(model_checks, kind), empty(rule_checks, kind)).alias("checks"), F.concat(empty(model_flags, "array<string>"), empty(named, "array<string>")).alias("flagged"))
+
+
 def offline_verification(rules: Column | str) -> Column:
     """What a report is worth without a model: the verdict, and a confidence of 0.8 for a pass, else 0.6."""
     r = X.col(rules)
@@ -128,22 +136,31 @@ def json_in_text(text: Column | str, schema: str) -> Column:
 
 
 # Rewrites of drafts, in order: source marks, section headings, gap headings and gap marks.
+SOURCE_MARK = (r"\s*\[SOURCE [A-Z]\]", "")
 SECTION_HEAD = r"(?im)^\s{0,3}(?:#{1,6}\s*)?(?:\*\*)?SECTION\s+\d+\s*[—\-:]\s*"
-REWRITES = (
-    (r"\s*\[SOURCE [A-Z]\]", ""),
-    (SECTION_HEAD + r"(?:HEADER\s*&\s*IDENTIFICATION|PURPOSE)(?:\*\*)?\s*$", ""),
-    (SECTION_HEAD, ""),
+GAPS = (
     (r"(?im)^(\s{0,3}(?:#{1,6}\s*)?(?:\*\*)?)Documentation Gaps(?:\*\*)?\s*$", "$1Clinical Rationale for Exception"),
     (r"(?s)\[DOCUMENTATION GAP[.:]\s*(.*?)\]", "Additional supporting rationale: $1"),
     (r"\[DOCUMENTATION GAP\]\s*:\s*", "Additional supporting rationale: "),
     (r"\[DOCUMENTATION GAP[.:]\s*", "Additional supporting rationale: "),
 )
+REWRITES = (SOURCE_MARK, (SECTION_HEAD + r"(?:HEADER\s*&\s*IDENTIFICATION|PURPOSE)(?:\*\*)?\s*$", ""), (SECTION_HEAD, ""), *GAPS)
+# Marks of style that a submitted letter loses.
+STYLE_MARKS = ((r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^---+\s*$", ""))
+
+
+def for_submission(text: Column | str) -> Column:
+    """The letter as it is submitted: without source, gap and style marks, at most one blank line, trimmed."""
+    out = X.col(text)
+    for pattern, to in (SOURCE_MARK, *GAPS, *STYLE_MARKS):
+        out = F.regexp_replace(out, pattern, to)
+    return X.trimmed(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
 def placeholder_pattern(hint: str = P.PLACEHOLDER_HINT) -> str:
     """One pattern for a placeholder bracket: not allowed, and with a hint word or capitals only."""
     words = hint.removeprefix("(?i)")
-    return rf"\[(?!\s*(?i:\d+|PubMed\s+\d+|Reference\s+\d+|DOCUMENTATION GAP(?::|\s|\]).*)\s*\])(?:(?=[^\]]*(?i:{words})[^\]]*\])[^\]]+|\s*[A-Z0-9 _/-]{{3,}}\s*)\]"
+    return rf"\[(?!\s*(?i:\d+|PubMed\s+\d+|Reference\s+\d+|DOCUMENTATION GAP(?::|\s|\]).*)\s*\])(?:(?=[^\]]*(?i:{words})[^\]]*\])[^\]]+|\s*{P.PLACEHOLDER_CAPS}\s*)\]"
 
 
 def sanitized(text: Column | str, rewrites: tuple[tuple[str, str], ...] = REWRITES, hint: str = P.PLACEHOLDER_HINT) -> Column:
@@ -157,8 +174,20 @@ def sanitized(text: Column | str, rewrites: tuple[tuple[str, str], ...] = REWRIT
     return X.trimmed(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
+# Headings and the beginnings of headings and bold lines in a letter.
+HEADINGS = (
+    "References", "Guidelines", "Literature", "Clinical Summary", "Criterion-by-Criterion Medical Necessity Argument", "Direct Rebuttal to Denial Reason",
+    "Direct Denial Rebuttal", "Clinical Rationale for Exception", "Clinical Rationale for Step-Therapy Exception", "Additional Supporting Rationale",
+    "Supporting Documentation", "Conclusion",
+)
+HEADING_STARTS = ("RE:", "Subject:")
+BOLD_STARTS = ("Patient Name:", "Date of Birth:", "Member ID:", "CPT Code", "ICD-10", "Claim/", "Date of", "Denied Service:", "Physician:")
+
+
 def lines(letters: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at, line, kind: blank, header, bullet, numbered, bold (key and value), or plain."""
-    kind = F.when(X.trimmed("line") == "", "blank").when(F.col("line").rlike(r"^\s*#{1,6}\s"), "header").when(F.col("line").rlike(r"^\s*[-*•]\s"), "bullet")
-    kind = kind.when(F.col("line").rlike(r"^\s*\d+[.)]\s"), "numbered").when(F.col("line").rlike(r"^\s*(?:\*\*)?[A-Z][A-Za-z /#-]{0,40}:(?:\*\*)?\s"), "bold").otherwise("plain")
-    return letters.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("kind", kind)
+    """key, at, line, kind of the submitted letter: blank, header, bullet (its mark dropped), numbered, bold or plain."""
+    starts = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.startswith(F.col("line"), w))
+    kind = F.when(F.col("line") == "", "blank").when(starts(HEADING_STARTS) | F.col("line").isin(*HEADINGS), "header").when(F.col("line").rlike(r"^[-*] "), "bullet")
+    kind = kind.when(F.col("line").rlike(r"^\d+\.\s"), "numbered").when(starts(BOLD_STARTS), "bold").otherwise("plain")
+    rows = letters.select(key, F.posexplode(F.split(for_submission(text), "\n")).alias("at", "line")).withColumn("line", X.trimmed("line"))
+    return rows.withColumn("kind", kind).withColumn("line", F.when(F.col("kind") == "bullet", F.substring("line", 3, 2**31 - 1)).otherwise(F.col("line")))

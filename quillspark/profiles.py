@@ -20,7 +20,7 @@ PLACEHOLDER_HINT = (
     r"(?i)\b(?:address|phone|fax|date|dob|birth|member|claim|insert|if known|not provided|omitted|current|provider|physician|"
     r"clinician|doctor|letterhead|practice|facility|office|npi|name|signature|sincerely|to be|blank)\b"
 )
-PLACEHOLDER_CAPS = r"^[A-Z0-9 _/-]{3,}$"
+PLACEHOLDER_CAPS = r"[A-Z0-9 _/-]{3,}"
 HEADING_QUOTE = (
     r"(?i)^(?:active\s+)?(?:diagnosis|diagnoses|medications?|problems?|assessment|plan|impression|history|clinical summary|review of systems|"
     r"physical examination|objective data|laboratory results|supporting documentation|documentation gaps?)$"

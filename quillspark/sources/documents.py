@@ -114,7 +114,15 @@ def xml_tag(c: Column | str, tag: str) -> Column:
 
 
 # Kinds of evidence by publication type, the first that applies.
-EVIDENCE_LEVELS = (("Systematic Review/Meta-Analysis", "meta-analysis|systematic review"), ("Clinical Guideline", "guideline"), ("Randomized Controlled Trial", "randomized"), ("Clinical Trial", "clinical trial"), ("Review", "review"))
+EVIDENCE_LEVELS = (
+    ("Guideline", "guideline"), ("Systematic review/meta-analysis", "systematic review|meta-analysis"),
+    ("Randomized controlled trial", "randomized controlled trial"), ("Clinical trial", "clinical trial"),
+)
+# Words that say nothing of an article's subject.
+RELEVANCE_STOP_WORDS = (
+    "the", "and", "for", "with", "that", "this", "from", "when", "then", "than", "medical", "necessity", "guidelines", "guideline",
+    "coverage", "criteria", "clinical", "outcomes", "evidence", "based", "requested", "procedure", "service", "does", "meet", "not",
+)
 
 
 def articles(files: DataFrame, xml: str, abstract_chars: int = 600) -> DataFrame:
@@ -131,7 +139,7 @@ def articles(files: DataFrame, xml: str, abstract_chars: int = 600) -> DataFrame
 
 
 def evidence_level(kinds: Column | str) -> Column:
-    return X.first_label(F.lower(F.array_join(kinds, " ")), EVIDENCE_LEVELS, "Journal Article")
+    return X.first_label(F.lower(F.array_join(kinds, " ")), EVIDENCE_LEVELS, "Peer-reviewed article")
 
 
 def relevant(rows: DataFrame, text: Column, service: Column, context: Column, least_context: int = 3) -> DataFrame:
