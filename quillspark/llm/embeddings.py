@@ -9,7 +9,8 @@ epsilon) on the leading principal dimensions, label by label, and the ordered se
    and their boxes are within epsilon. Only the small box rows are joined; vectors follow for the pairs left.
 5. A pair of blocks is joined recursively: intervals of the two sequences whose boxes are farther apart than epsilon are
    skipped, others are halved down to a leaf, where one matrix product gives all cosines in double precision.
-   A pair of blocks returns each linked vector's number of links and the smallest vector it reaches, not the links.
+   A pair of blocks returns each linked vector's number of links and the smallest vector it reaches, not the links. Pairs are dealt
+   in tiles of 8 by 8 neighbouring blocks, and a block goes once to each tile that has a pair of it.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and those without a
 label, link with nothing; vectors of different lengths neither; rows that share a vec_id count one by one in n_links; a null
@@ -25,10 +26,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import store
 
-COSINE, BLOCK, LEAF, GRID_DIMS, BOX_DIMS, PAIRS_A_TASK = 0.93, 512, 64, 4, 16, 24
+COSINE, BLOCK, LEAF, GRID_DIMS, BOX_DIMS = 0.93, 512, 64, 4, 16
+#: Neighbouring blocks in a side of a tile, as a power of two.
+TILE_BITS = 3
 VALID = """vec_id is not null and label is not null and embedding is not null and size(embedding) > 0
     and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"""
 
@@ -152,26 +156,31 @@ def summed(i: np.ndarray, j: np.ndarray, reps: np.ndarray, ns: np.ndarray) -> tu
     return reps[at], others[at].astype(np.int64), least[at]
 
 
-def join_blocks(batches: Iterator[pa.RecordBatch], basis: dict, cosine: float) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and block that have links, not for each link: a large group of near vectors stays linear."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            mean, axes = basis[r["dim"]]
-            same = r["a"] == r["b"]
-            xs = [units(np.frombuffer(r[f"vectors_{s}"], np.float64).reshape(-1, r["dim"])) for s in "ab"]
-            boxes = [(x - mean) @ axes for x in xs]
-            links = list(join_intervals(*xs, *boxes, cosine, same=same))
-            if not sum(len(i) for i, _ in links):
-                continue
-            reps, ns = (np.concatenate([np.frombuffer(r[f"{c}_{s}"], np.int64) for s in ("a" if same else "ab")]) for c in ("reps", "ns"))
+def join_tile(members: pa.Table, pairs: pa.Table, basis: dict, cosine: float) -> pa.Table:
+    """A row for each vector and pair of blocks that have links, not for each link: a large group of near vectors stays linear. A block comes once to a tile of pairs."""
+    held = {}
+    for r in members.to_pylist():
+        x = units(np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"]))
+        mean, axes = basis[r["dim"]]
+        held[r["block"]] = x, (x - mean) @ axes, np.frombuffer(r["reps"], np.int64), np.frombuffer(r["ns"], np.int64)
+    out: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        (xa, box_a, reps_a, ns_a), (xb, box_b, reps_b, ns_b) = held[a], held[b]
+        same = a == b
+        links = list(join_intervals(xa, xb, box_a, box_b, cosine, same=same))
+        if sum(len(i) for i, _ in links):
             i, j = (np.concatenate([x[k] for x in links]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(i, j if same else j + len(xs[0]), reps, ns)], ["a", "others", "least"])
+            reps, ns = (reps_a, ns_a) if same else (np.concatenate([reps_a, reps_b]), np.concatenate([ns_a, ns_b]))
+            out.append(summed(i, j if same else j + len(xa), reps, ns))
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "others", "least"])
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links and component_id of every row of (vec_id, label, embedding)."""
     epsilon = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
+    whole = isinstance(vectors.schema["label"].dataType, T.IntegralType)
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), "embedding")
     keys = [F.when(F.expr(VALID), F.xxhash64(*c)) for c in (["label", "embedding"], [F.lit(1), "embedding", "label"])]
     rows = rows.withColumn("k1", keys[0]).withColumn("k2", keys[1])
     classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
@@ -188,17 +197,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     gap = "aggregate(zip_with(zip_with(x.low, y.high, (p, q) -> p - q), zip_with(y.low, x.high, (p, q) -> p - q), (p, q) -> greatest(p, q, 0D)), 0D, (s, g) -> s + g * g)"
     near = (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.block") <= F.col("y.block"))
     pairs = x.join(y, near).where(F.expr(gap) <= epsilon**2 + 1e-9).select(F.col("x.block").alias("a"), F.col("y.block").alias("b"), F.col("x.dim").alias("dim")).distinct()
-    pairs = store.write(pairs, "pairs")
-    tasks = max(1, -(-pairs.count() // PAIRS_A_TASK))
-    for s in "ab":
-        side = blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("reps", "ns", "vectors")))
-        pairs = pairs.join(side, s)
-    links = store.write(pairs.repartition(tasks, "a", "b").mapInArrow(lambda it: join_blocks(it, basis, cosine), "a long, others long, least long"), "links")
+    pairs = store.write(pairs.withColumn("ta", F.shiftright("a", TILE_BITS)).withColumn("tb", F.shiftright("b", TILE_BITS)), "pairs")
+    members = pairs.select(F.col("ta").alias("ma"), F.col("tb").alias("mb"), F.explode(F.array("a", "b")).alias("block")).distinct()
+    members = members.join(blocks.select("block", "dim", "reps", "ns", "vectors"), "block")
+    links = members.groupBy("ma", "mb").cogroup(pairs.groupBy("ta", "tb")).applyInArrow(lambda m, p: join_tile(m, p, basis, cosine), "a long, others long, least long")
+    links = store.write(links, "links")
     group = store.components(links, "a", "least")
     linked = links.groupBy("a").agg(F.sum("others").alias("others"))
     named = classes.select("k1", "k2", "rep", "n").join(linked, F.col("rep") == F.col("a"), "left").join(group, F.col("rep") == F.col("node"), "left")
     named = named.select("k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    return rows.select("vec_id", "k1", "k2").join(named, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    found = rows.where("k1 is not null").select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    # vectors that link with nothing take no part in the join, where they would all have one key
+    return found.unionByName(rows.where("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,7 +212,9 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     kept = store.write(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+        # of rows that share a doc_id the least by text, then by all columns
+        first = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*(docs[c] for c in docs.columns))))
+        out = out.withColumn("quill_n", F.row_number().over(first)).where("quill_n = 1").drop("quill_n")
     return out.unionByName(docs.where("doc_id is null"))
 
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in tests) one of this session's own."""
+    """The folder in spark.checkpoint.dir; where that is unset in local mode (as in tests) one of this session's own. A cluster must name one that all its machines see."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

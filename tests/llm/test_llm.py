@@ -345,6 +345,10 @@ def test_op7_equals_brute_force(spark):
     n, want = Counter(x for p in links for x in p), reachable(links, [x[0] for x in rows + odd])
     assert {i: (x["n_links"], x["component_id"]) for i, x in out.items()} == {i: (n[i], c) for i, c in want.items()}
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+    named = [(i, f"kind {label}", v) for i, label, v in rows[:60]]  # labels may be text
+    got = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(spark.createDataFrame(named, "vec_id long, label string, embedding array<double>")).collect()}
+    own = {i for i, *_ in named}
+    assert got == {i: sum(i in p and set(p) <= own for p in links) for i in own}
 
 
 def test_op8_equals_brute_force(docs, rows, empty):
