@@ -39,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.75
 BINS, ROWS, MOST_SIGNS = 128, 4, 40
 #: Classes in a bucket that are paired as rows; shingles in a block of a larger one; block pairs in a task.
 SMALL, BLOCK_SHINGLES, PAIRS_A_TASK = 16, 80_000, 8
+#: Pairs of one hub that are verified with one copy of its text.
+HUB_PAIRS = 1024
 
 
 def similarity_sketch(rows: np.ndarray, found: np.ndarray, n_rows: int, bins: int = BINS) -> np.ndarray:
@@ -112,9 +114,13 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' full sets are similar enough."""
+    """The pairs (a, b) of doc_ids whose texts' full sets are similar enough. A hub's text goes once to each HUB_PAIRS or so of its pairs, not to all of them in one task."""
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("quill_text"))
-    left = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", F.col("quill_text").alias("text_a"))
+    large = store.write(pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")).where("salts > 1"), "hubs")
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(large, pairs["a"] == large["hub"], "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    hubs = texts.join(large, texts["id"] == large["hub"], "left").select("id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("part"), "quill_text")
+    left = salted.join(hubs, (F.col("a") == F.col("id")) & (F.col("salt") == F.col("part"))).select("a", "b", F.col("quill_text").alias("text_a"))
     both = left.join(texts, left["b"] == texts["id"]).select("a", "b", "text_a", F.col("quill_text").alias("text_b"))
     check = F.arrow_udf(similar, T.BooleanType()).asNondeterministic()
     return both.select("a", "b", check("text_a", "text_b").alias("ok")).where("ok").select("a", "b")
@@ -203,7 +209,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = links_in_blocks(rest.where(f"n > {SMALL}").select("hub", "rep", "label", "n_shingles").distinct(), docs)
     final = store.components(links.unionByName(more).unionByName(large))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    return keyed.join(named, key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    linked = F.expr("n_shingles > 0 and doc_id is not null")
+    found = keyed.where(linked).join(named, key).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    # texts without words take no part in the join, where they would all have one key
+    return found.unionByName(keyed.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
