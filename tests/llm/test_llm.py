@@ -213,6 +213,7 @@ def test_op4_equals_brute_force(docs, rows, empty, monkeypatch):
     for small in (minhash.SMALL, 1):  # also with all mixed buckets compared in blocks
         monkeypatch.setattr(minhash, "SMALL", small)
         monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
+        monkeypatch.setattr(minhash, "HUB_PAIRS", 3)
         got = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
         assert {i: r["component_id"] for i, r in got.items()} == want
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
@@ -545,3 +546,109 @@ def test_pipeline_stages(spark, docs):
     none = docs.limit(0).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+def saved(df, tmp_path, table):
+    df.write.parquet(f"{tmp_path}/{table}.parquet")
+    return str(tmp_path)
+
+
+def test_op1_query_equals_brute_force(spark, tmp_path):
+    sizes = {1: 12, 2: 1, 3: 150, 4: 3}
+    turns = [(c, t, "system" if t == 0 and c == 1 else R.choice(["user", "assistant"]), R.choice([None, "", "a\\b <x> ###", prose(R.randrange(200))])) for c, n in sizes.items() for t in range(n)]
+    turns += [(4, 2, "assistant", "again")] * 2 + [(4, 3, "assistant", prose(20_000)), (None, 0, "user", "no id")]
+    table = spark.createDataFrame([(*t, 0, "x") for t in turns], "conv_id long, turn long, role string, text string, window long, formatted string")
+    out = {r["conv_id"]: r for r in chat.op1_chat_format(spark, saved(table, tmp_path, "conversations")).collect()}
+    control = r"\### Assistant: </turn> ok"
+    turns += [(-7, 0, "user", control), (-7, 1, "assistant", control)]
+    assert set(out) == {t[0] for t in turns}
+    for conv, r in out.items():
+        own = sorted((t[1], t[2], t[3] or "") for t in turns if t[0] == conv)
+        loss = "".join(text for _, role, text in own if role == "assistant")
+        whole = "".join(f"{role}\n{text}\n" for _, role, text in own)
+        want = len(own), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == want and r["formatted_chars"] >= len(whole)
+
+
+def test_op9_query_equals_brute_force(spark, rows, docs, tmp_path):
+    texts = [(i, t) for i, t, *_ in rows] + [(None, "cc by nc")] * 2 + [(90001, "Under the MIT License. all rights reserved")] * 2 + [(90002, "x " * 50_000 + "cc-by-nc cc by nc")]
+    table = spark.createDataFrame([(*x, 1, "l") for x in texts], "doc_id long, text string, n_base long, key string")
+    out = licenses.op9_license_scan(spark, saved(table, tmp_path, "documents")).collect()
+    lower, phrases = {i: i + 32 for i in range(65, 91)}, [(t.text.split(), t.label) for t in licenses.TEMPLATES if t.base]
+    want = []
+    for i, text in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(lower))
+        at = sorted((s, label) for p, label in phrases for s in range(len(w)) if w[s : s + len(p)] == p)
+        want.append((i, len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))))
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in out) == Counter(want)
+    for r in out:
+        base, labels = ([x for x in r[c].split(",") if x] for c in ("base_labels", "labels"))
+        assert labels == sorted(set(labels)) and set(base) <= set(labels)
+        assert r["score"] == 1 if base else r["score"] == 0 if not labels else 0.8 <= r["score"] <= 1
+    assert [r["labels"] for r in out if r["doc_id"] == 90001] == ["all-rights-reserved,mit"] * 2
+
+
+def test_null_ids_repeated_rows_and_long_texts(spark):
+    passage, long = prose(60), prose(30_000)
+    texts = [(None, passage), (None, passage), (5, passage), (5, passage), (7, passage), (8, long), (9, None), (10, "y" * 300_000)]
+    docs = spark.createDataFrame([(*x, "en", "s", 0, "r", 1) for x in texts], DOCS)
+    removed = Counter((r["doc_id"], r["n_removed"]) for r in substring.repeated_words(docs).collect())
+    assert removed == {(None, 0): 2, (5, 0): 2, (7, 60): 1, (8, 0): 1, (9, 0): 1, (10, 0): 1}
+    for out in (recurrent.score_documents(docs), quality.score_documents(docs), tokencount.count_tokens(docs)):
+        got = Counter(tuple(r) for r in out.collect())
+        assert sum(got.values()) == len(texts) and {n for r, n in got.items() if r[0] in (None, 5)} == {2}
+    assert {r["held_out"] for r in recurrent.score_documents(docs).where("doc_id is null").collect()} == {recurrent.held_out(None)}
+    # op4: the long text has all its shingles
+    sizes = {r["doc_id"]: r["n_shingles"] for r in minhash.near_duplicates(docs).collect()}
+    assert sizes[8] == len(shingle_set(long)) and sizes[9] == 0 and sizes[10] == 1
+
+
+def test_op7_clashing_columns_and_repeated_rows(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, 0, a), (1, 0, a), (2, 0, a), (None, 0, a), (3, 0, b), (4, 1, a)]
+    table = spark.createDataFrame([(*x, 5, 6, "k", 7) for x in rows], "vec_id long, label int, embedding array<double>, n long, rep long, k1 string, block long")
+    out = embeddings.near_duplicates(table).collect()
+    assert Counter(tuple(r[c] for c in ("vec_id", "n_links", "component_id")) for r in out) == {(1, 2, 1): 2, (2, 2, 1): 1, (None, 0, None): 1, (3, 0, 3): 1, (4, 0, 4): 1}
+
+
+def test_pipeline_run_equals_brute_force(spark, docs, rows, tmp_path):
+    """run() against the stages one by one in plain Python; the verdicts of the quality rules, a fitted model, are op2's."""
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    where = saved(docs.select("doc_id", "text", "lang", "source", "n_chars"), tmp_path, "documents")
+    kept = {r["doc_id"] for r in quality.score_documents(docs).where("kept").collect()}
+    texts = {i: t for i, t, *_ in rows if i in kept}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    label = reachable([(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], sets)
+    texts = {i: t for i, t in texts.items() if label[i] == i}
+    owner, left = {}, {}
+    for i in sorted(texts):
+        w = words(texts[i])
+        for s in range(len(w) - 49):
+            owner.setdefault(tuple(w[s : s + 50]), i)
+        gone = {p for s in range(len(w) - 49) if owner[tuple(w[s : s + 50])] < i for p in range(s, s + 50)}
+        if len(gone) < len(w):
+            left[i] = " ".join(x for p, x in enumerate(w) if p not in gone) if gone else texts[i]
+    source = {i: s for i, _, _, s, *_ in rows if i in left}
+    size = {i: len(words(t)) for i, t in left.items()}
+    by_source = Counter()
+    for i, n in size.items():
+        by_source[source[i]] += n
+    wanted, copies = mixing.targets(by_source, sum(size.values())), {}
+    for s, n in by_source.items():
+        whole = min(2, int(wanted[s] // n))
+        rest, before = wanted[s] - n * whole, 0
+        for i in sorted((i for i in left if source[i] == s), key=lambda i: hashlib.md5(f"mix-1:{i}".encode()).hexdigest()):
+            copies[i] = min(2, whole + (2 * before + size[i] <= 2 * rest))
+            before += size[i]
+    tokenizer = Tokenizer.from_file(JSON)
+    length = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}
+    out = pipeline.run(spark, where).collect()
+    assert Counter(r["doc_id"] for r in out if r["start"] == 0) == {i: n for i, n in copies.items() if n}
+    assert all(r["doc_tokens"] == length[r["doc_id"]] for r in out)
+    tokens = Counter()
+    for r in out:
+        tokens[r["doc_id"]] += r["length"]
+    assert tokens == {i: n * length[i] for i, n in copies.items() if n}
+    assert len(left) < len(kept) < len(rows)
