@@ -237,6 +237,15 @@ def freshness(effective: Column | str, as_of: Column | str, review: int = 365, s
     return F.when(days.isNull(), "review_due").when(days > stale, "stale").when(days > review, "review_due").otherwise("current")
 
 
+def policy_metadata(results: DataFrame, policies: DataFrame, key: str, as_of: Column, keep_missing: bool = False) -> DataFrame:
+    """results with title, source, effective_date, policy_type, freshness and last_reviewed of the policy with their key.
+
+    Results without a policy are left out, or kept with nulls. Policies with equal keys each give a row.
+    """
+    known = policies.select(key, "title", "source", "effective_date", policy_type("source").alias("policy_type"), freshness("effective_date", as_of).alias("freshness"), as_of.alias("last_reviewed"))
+    return results.join(known, key, "left" if keep_missing else "inner")
+
+
 #: Why a note can't be used, and what each status means.
 BLOCKING = {
     "too_short": "Clinical notes are too short to support a medically grounded appeal.",

@@ -31,6 +31,15 @@ def latest(versions: DataFrame, key: str, updated: str, tie: str) -> DataFrame:
     return versions.groupBy(key).agg(row.alias("quill_row")).select(key, "quill_row.*")
 
 
+def updated(table: DataFrame, updates: DataFrame, key: str, stamp: str, at: Column) -> DataFrame:
+    """The table after updates, one row a key: their columns replace the table's, nulls included, and the stamp is set; updates of unknown keys change nothing."""
+    changed = [c for c in updates.columns if c != key]
+    news = updates.select(F.col(key), F.struct(*changed).alias("quill_new"))
+    hit = F.col("quill_new").isNotNull()
+    new = {c: F.when(hit, F.col("quill_new")[c]).otherwise(F.col(c)) for c in changed} | {stamp: F.when(hit, at).otherwise(F.col(stamp))}
+    return table.join(news, key, "left").withColumns(new).select(table.columns)
+
+
 def status_counts(table: DataFrame, status: str) -> DataFrame:
     return table.groupBy(status).agg(F.count("*").alias("n"))
 

@@ -184,10 +184,18 @@ HEADING_STARTS = ("RE:", "Subject:")
 BOLD_STARTS = ("Patient Name:", "Date of Birth:", "Member ID:", "CPT Code", "ICD-10", "Claim/", "Date of", "Denied Service:", "Physician:")
 
 
+def line_array(text: Column | str) -> Column:
+    """The submitted letter as structs of line and kind: blank, header, bullet (its mark dropped), numbered, bold or plain."""
+
+    def placed(x: Column) -> Column:
+        starts = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.startswith(x, w))
+        kind = F.when(x == "", "blank").when(starts(HEADING_STARTS) | x.isin(*HEADINGS), "header").when(x.rlike(r"^[-*] "), "bullet")
+        kind = kind.when(x.rlike(r"^\d+\.\s"), "numbered").when(starts(BOLD_STARTS), "bold").otherwise("plain")
+        return F.struct(F.regexp_replace(x, r"^[-*] ", "").alias("line"), kind.alias("kind"))
+
+    return F.transform(F.transform(F.split(for_submission(text), "\n"), lambda x: X.trimmed(x)), placed)
+
+
 def lines(letters: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at, line, kind of the submitted letter: blank, header, bullet (its mark dropped), numbered, bold or plain."""
-    starts = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.startswith(F.col("line"), w))
-    kind = F.when(F.col("line") == "", "blank").when(starts(HEADING_STARTS) | F.col("line").isin(*HEADINGS), "header").when(F.col("line").rlike(r"^[-*] "), "bullet")
-    kind = kind.when(F.col("line").rlike(r"^\d+\.\s"), "numbered").when(starts(BOLD_STARTS), "bold").otherwise("plain")
-    rows = letters.select(key, F.posexplode(F.split(for_submission(text), "\n")).alias("at", "line")).withColumn("line", X.trimmed("line"))
-    return rows.withColumn("kind", kind).withColumn("line", F.when(F.col("kind") == "bullet", F.substring("line", 3, 2**31 - 1)).otherwise(F.col("line")))
+    """key, at, line, kind: the lines of line_array() as rows."""
+    return letters.select(key, F.posexplode(line_array(text)).alias("at", "quill_line")).select(key, "at", "quill_line.*")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import fields as P
+from quillspark.functions import logs as L
 from quillspark.functions import text as X
 from quillspark.operators import chunks as C
 from quillspark.operators import evaluation as E
 from quillspark.operators import evidence as V
+from quillspark.operators import history as H
 from quillspark.operators import safety as S
 from quillspark.plans.queries import query, table
 from quillspark.profiles import CLINICAL_CLAIM, HEADING_QUOTE
@@ -257,3 +259,62 @@ def planning_aids(spark, d):
     rows = built(spark, d, "benchmark", "item_id", spans="array(concat('E', item_id))", gaps="array(concat('gap ', item_id % 3))")
     aid = V.planning_aid(F.col("spans"), F.array(F.lit("c")), F.col("gaps"), F.array().cast("array<string>"), F.array(F.lit("p")), "plan only")
     return rows.select("item_id", aid.alias("aid"))
+
+
+MESSAGE = """case event_id % 6 when 0 then concat('HTTP 429: retryDelay: ', event_id % 90, 's') when 1 then concat('RESOURCE_EXHAUSTED retry_delay { seconds: ', event_id % 60, ' }') when 2 then concat('Rate Limit; Retry-After=', event_id % 45)
+  when 3 then 'daily QUOTA used' when 4 then concat('status 500 retry-after: ', event_id % 30) else 'timeout' end"""
+SERVICE_KEY = "case event_id % 5 when 0 then ' Your-Key-Here ' when 1 then '' when 2 then 'replace-me' when 3 then concat('k', event_id) end"
+
+
+@query(f"""select event_id, regexp_matches(m, {sql_text(L.RATE_LIMIT)}) as limited, coalesce({', '.join(f"nullif(regexp_extract(m, {sql_text(p)}, 1), '')" for p in L.RETRY_AFTER)})::bigint as wait,
+  coalesce(trim(lower(k)) not in ({', '.join(map(sql_text, L.NO_KEY))}), false) as configured from (select event_id, {MESSAGE} as m, {SERVICE_KEY} as k from events)""")
+def service_log(spark, d):
+    rows = built(spark, d, "events", "event_id", m=MESSAGE, k=SERVICE_KEY)
+    return rows.select("event_id", L.rate_limited("m").alias("limited"), L.retry_seconds("m").alias("wait"), L.configured("k").alias("configured"))
+
+
+POLICY_SOURCE = "case c_custkey % 4 when 0 then 'CMS LCD L1' when 1 then 'NCD 2' when 2 then 'NCCN' else c_name end"
+
+
+def _metadata_sql(join: str) -> str:
+    return f"""with p as (select c_custkey as k, c_name as title, {POLICY_SOURCE} as source, date '2022-01-01' + (c_custkey % 1200)::int as since from customer where c_custkey % 3 > 0)
+select o_orderkey, title, case when source is null then null when source like 'CMS LCD%' then 'CMS_LCD' when source like 'NCD%' then 'CMS_NCD' when source = 'NCCN' then 'NCCN' else 'OTHER' end as policy_type,
+  case when since is null then null when date_diff('day', since, date '2025-01-01') > 900 then 'stale' when date_diff('day', since, date '2025-01-01') > 365 then 'review_due' else 'current' end as freshness
+from orders {join} join p on o_custkey = k"""
+
+
+def _metadata(spark, d, keep_missing: bool) -> DataFrame:
+    policies = table(spark, d, "customer").where("c_custkey % 3 > 0")
+    policies = policies.selectExpr("c_custkey as o_custkey", "c_name as title", f"{POLICY_SOURCE} as source", "cast(date_add(date'2022-01-01', cast(c_custkey % 1200 as int)) as string) as effective_date")
+    out = V.policy_metadata(table(spark, d, "orders").select("o_orderkey", "o_custkey"), policies, "o_custkey", F.lit("2025-01-01"), keep_missing)
+    return out.select("o_orderkey", "title", "policy_type", "freshness")
+
+
+@query(_metadata_sql("inner"))
+def policy_metadata(spark, d):
+    return _metadata(spark, d, False)
+
+
+@query(_metadata_sql("left"))
+def policy_by_id(spark, d):
+    return _metadata(spark, d, True)
+
+
+@query("""select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as o_orderstatus, case when o_orderkey % 7 > 0 then o_clerk when o_orderkey % 2 = 0 then 'clerk ' || o_orderkey end as o_clerk,
+  o_orderkey % 7 = 0 as touched from (select o_orderkey, o_orderstatus, 'c' || o_custkey as o_clerk from orders)""")
+def record_update(spark, d):
+    """Stored rows after updates of some of them and of keys that aren't there."""
+    stored = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus", "concat('c', o_custkey) as o_clerk", "false as touched")
+    news = stored.where("o_orderkey % 7 = 0").selectExpr("o_orderkey", "'X' as o_orderstatus", "if(o_orderkey % 2 = 0, concat('clerk ', o_orderkey), null) as o_clerk")
+    strangers = news.withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    return H.updated(stored, news.unionByName(strangers), "o_orderkey", "touched", F.lit(True))
+
+
+DRAFT = "concat('RE: ', p_name, chr(10), chr(10), '- ', p_type, ' <&>', chr(10), p_partkey, '. ', p_brand, chr(10), 'Physician: ', p_brand, chr(10), 'plain ', p_name)"
+
+
+@query("""select p_partkey, 'RE: ' || trim(p_name) || chr(10) || chr(10) || p_type || ' <&>' || chr(10) || p_partkey || '. ' || trim(p_brand) || chr(10) || 'Physician: ' || trim(p_brand) || chr(10) || 'plain ' || trim(p_name) as text from part""")
+def letter_file(spark, d):
+    """The text of letters written as DOCX files and read again."""
+    files = D.docx_files(built(spark, d, "part", "p_partkey", t=DRAFT), "p_partkey", S.line_array("t")).withColumn("path", F.concat("p_partkey", F.lit(".docx")))
+    return D.document_texts(files).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("p_partkey"), "text")

@@ -4,6 +4,7 @@ import io
 import random
 import re
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from quillspark.operators import history as H
 from quillspark.operators import safety as S
 from quillspark.operators import search as R
 from quillspark.sources import documents as D
+from quillspark.sources import records as Q
 from quillspark.streaming import stages as G
 
 
@@ -179,6 +181,34 @@ def test_uploads(spark):
     assert got["d.pdf"] == ("Hello World", None) and got["e.docx"][1] and got["f.exe"][1] == "unsupported format" and got["g.txt"][1] == "no text"
 
 
+def test_letter_file(spark):
+    letter = "RE: **Case** <1> & 2\n\n- first\n1. one\nPatient Name: A\n\x01end"
+    files = spark.createDataFrame([("a.docx", letter), ("b.docx", None), ("c.docx", "")], "path string, t string").transform(D.docx_files, "path", S.line_array("t"))
+    content = {r["path"]: r["content"] for r in files.collect()}
+    assert content["b.docx"] is None and content["a.docx"] == files.where("path = 'a.docx'").first()["content"]
+    with zipfile.ZipFile(io.BytesIO(content["a.docx"])) as z:
+        body = z.read("word/document.xml").decode()
+        assert z.testzip() is None and all(ElementTree.fromstring(z.read(n)) is not None for n in z.namelist())
+    assert body.count("<w:b/>") == 2 and body.count("ListBullet") == 1
+    got = {r["path"]: r["text"] for r in D.document_texts(files).collect()}
+    assert got["a.docx"] == "RE: Case <1> & 2\n\nfirst\n1. one\nPatient Name: A\nend" and got["c.docx"] == ""
+
+
+def test_json_tables(spark, tmp_path):
+    def table(name, text):
+        (tmp_path / name).write_text(text)
+        return [tuple(r) for r in Q.json_table(spark, f"file://{tmp_path}/{name}", "id string, n int").collect()]
+
+    assert table("a.json", '[{"id": "x", "n": 1},\n {"id": "y", "more": [2]}]') == [(0, "x", 1), (1, "y", None)]
+    assert table("b.json", '[{"id": "x", "n": 1}, {"id": ') == [] and table("c.json", "") == [] and table("d.json", "[]") == []
+    missing = Q.codes(spark, f"file://{tmp_path}/none.json")
+    assert missing.collect() == [] and missing.columns == ["corpus_pos", "code", "description"]
+    cases = spark.createDataFrame([("a", True)], "id string, passed boolean")
+    for _ in range(2):
+        Q.write_results(cases, cases.groupBy("passed").count(), f"file://{tmp_path}/out")
+    assert spark.read.json(f"file://{tmp_path}/out/cases").count() == 1 and spark.read.json(f"file://{tmp_path}/out/summary").first()["count"] == 1
+
+
 def test_stream_of_stages(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"id":"a","event":"guidelines_started","at":1}\n{"id":"a","event":"pubmed_started","at":2}\n')
