@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, minhash, mixing, packing, quality, recurrent, substring, tokencount
+from . import alignment, chat, embeddings, licenses, minhash, mixing, packing, quality, recurrent, substring, tokencount
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": tokencount.op8_token_counts,
     "op10_language_model": recurrent.op10_language_model,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op13_align_tokenizers": alignment.op13_align_tokenizers,
 }
 ORACLE_SQL = {
     "op4_minhash_near_dedup": minhash.OP4_SQL,
