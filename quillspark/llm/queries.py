@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, embeddings, licenses, minhash, mixing, packing, quality, recurrent, substring, tokencount
+from . import alignment, audit, chat, embeddings, licenses, minhash, mixing, packing, passages, quality, recurrent, substring, tokencount
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_token_counts": tokencount.op8_token_counts,
     "op10_language_model": recurrent.op10_language_model,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op11_quality_classifier": passages.op11_quality_classifier,
+    "op12_filter_audit": audit.op12_filter_audit,
     "op13_align_tokenizers": alignment.op13_align_tokenizers,
 }
 ORACLE_SQL = {
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op6_substring_dedup": substring.OP6_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op7_embedding_near_dedup": embeddings.OP7_SQL,
+    "op12_filter_audit": audit.OP12_SQL,
 }
