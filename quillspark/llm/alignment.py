@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from . import store
 from .words import slices
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 19
 #: Segments that a task keeps, and their characters; beyond either it begins anew with the next block.
-MOST_SEGMENTS, MOST_CHARACTERS = 600_000, 16 << 20
+MOST_SEGMENTS, MOST_CHARACTERS = 300_000, 16 << 20
 LARGEST_B = 1 << 20
 #: A space after a letter, a digit or a mark of ASCII or Latin script.
 CUT = re.compile(r" (?<=[!-~À-ɏ] )")
@@ -176,10 +176,13 @@ class Segments:
         n = self.code_at[which + 1] - self.code_at[which]
         return self.codes[np.repeat(self.code_at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
-    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all texts' segments, and how many each text has."""
+    def tidy(self) -> None:
+        """Forgets all segments if there are too many."""
         if len(self.number) > MOST_SEGMENTS or self.characters > MOST_CHARACTERS:
             self.clear()
+
+    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' segments, and how many each text has."""
         parts = [CUT.split(t) if t else [] for t in texts]
         self.add(list(set().union(*parts) - self.number.keys()))
         n = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -199,6 +202,18 @@ def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def block_part(known: Segments, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The segments of some texts, how many each has (none if it isn't given back byte for byte) and the digests of their groups."""
+    flat, n = known.of_texts(texts.to_pylist())
+    good = (sums((~known.good[flat]).astype(np.int64), n) == 0) & (n > 0)
+    flat, n = flat[np.repeat(good, n)].astype(np.int32), np.where(good, n, 0)
+    groups, low, digests = list(map(known.groups.__getitem__, flat.tolist())), 0, []
+    for high in np.cumsum(n).tolist():
+        digests.append(hashlib.sha256(";".join(groups[low:high]).encode()).hexdigest() if high > low else "")
+        low = high
+    return flat, n, digests
+
+
 def make_blocks(batches: Iterator[pa.RecordBatch], paths: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     known, made = Segments(*paths), TaskContext.get().partitionId() << 34
     for batch in batches:
@@ -206,13 +221,10 @@ def make_blocks(batches: Iterator[pa.RecordBatch], paths: tuple[str, str, str])
         for part in slices(batch.column("text"), BLOCK_BYTES):
             ids = batch.column("doc_id").slice(done, len(part))
             done += len(part)
-            flat, n = known.of_texts(part.to_pylist())
-            good = (sums((~known.good[flat]).astype(np.int64), n) == 0) & (n > 0)
-            flat = flat[np.repeat(good, n)]
-            n = np.where(good, n, 0)
-            ends = np.cumsum(n)
-            numbers = flat.tolist()
-            digests = [hashlib.sha256(";".join([known.groups[k] for k in numbers[e - m : e]]).encode()).hexdigest() if m else "" for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+            known.tidy()
+            found = [block_part(known, few) for few in slices(part, PART_BYTES)]
+            flat, n = (np.concatenate([f[k] for f in found]) for k in range(2))
+            digests = [d for f in found for d in f[2]]
             counts = sums(known.counts[flat], n)
             present = np.flatnonzero(np.bincount(flat, minlength=len(known.good)))
             local = np.zeros(len(known.good), np.int32)
@@ -273,7 +285,8 @@ def group_rows(batches: Iterator[pa.RecordBatch], paths: tuple[str, str, str]) -
     known = Segments(*paths)
     for batch in batches:
         done = 0
-        for part in slices(batch.column("text"), BLOCK_BYTES // 8):
+        for part in slices(batch.column("text"), PART_BYTES):
+            known.tidy()
             flat, n = known.of_texts(part.to_pylist())
             low, out = 0, []
             for high in np.cumsum(n).tolist():
