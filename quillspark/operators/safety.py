@@ -1,7 +1,7 @@
 """Checks of drafted text against its sources: placeholders, citations, quotes, numbers; verdicts; rewriting of drafts.
 
 letters: key and a text column; sources: key, kind (case, policy or article) and text. Issues have the columns key, class_order, at,
-code, severity and evidence.
+code, severity, message and evidence.
 """
 
 from __future__ import annotations
@@ -16,6 +16,22 @@ from quillspark.functions import text as X
 
 BRACKET = r"\[([^\]]+)\]"
 
+# What an issue says, by code; {} is its evidence.
+MESSAGES = {
+    "UNRESOLVED_PLACEHOLDER": "Potential unresolved placeholder or unsupported bracketed text: {}",
+    "INVALID_GUIDELINE_CITATION": "Guideline citation {} does not map to any retrieved guideline source.",
+    "MISSING_GUIDELINE_CITATIONS": "Letter includes guideline context but does not cite any numbered guideline references.",
+    "INVALID_PUBMED_CITATION": "PubMed citation {} does not map to any retrieved PubMed source.",
+    "UNGROUNDED_QUOTE": "Quoted clinical, denial, or guideline text was not found verbatim in the supplied sources.",
+    "UNGROUNDED_NUMERIC_CLAIM": "Numeric value in the letter was not found in the clinical notes, guidelines, denial reason, or PubMed context.",
+}
+# The checks of a verification, and what each says of a letter that passes.
+CHECKS = {
+    "PLACEHOLDER": ("Deterministic Placeholder Check", "No unresolved bracket placeholders were detected."),
+    "CITATION": ("Deterministic Citation Check", "All numbered guideline and PubMed citations map to retrieved sources."),
+    "UNGROUNDED": ("Deterministic Grounding Check", "Quoted and numeric claims were found in the supplied sources."),
+}
+
 
 def placeholders(text: Column | str, allowed: str = P.ALLOWED_BRACKET) -> Column:
     """The contents of brackets that are no citation or other allowed mark."""
@@ -23,7 +39,10 @@ def placeholders(text: Column | str, allowed: str = P.ALLOWED_BRACKET) -> Column
 
 
 def _issues(rows: DataFrame, key: str, order: int, code: str, severity: str, evidence: Column) -> DataFrame:
-    return rows.select(key, F.lit(order).alias("class_order"), F.col("at").cast("int").alias("at"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), evidence.alias("evidence"))
+    before, found, after = MESSAGES[code].partition("{}")
+    message = F.concat(F.lit(before), evidence, F.lit(after)) if found else F.lit(before)
+    fixed = (F.lit(order).alias("class_order"), F.col("at").cast("int").alias("at"), F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    return rows.select(key, *fixed, message.alias("message"), evidence.alias("evidence"))
 
 
 def placeholder_issues(letters: DataFrame, key: str, text: str, allowed: str = P.ALLOWED_BRACKET) -> DataFrame:
@@ -83,12 +102,13 @@ def verdict(has_error: Column, has_warning: Column) -> Column:
 
 
 def report(letters: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """A missing citation is a warning and leaves the citations valid; an invalid one doesn't."""
     absent = lambda pattern: F.coalesce(~F.bool_or(F.col("code").rlike(pattern)), F.lit(True))
     by_key = issues.groupBy(key).agg(
         verdict(F.bool_or(F.col("severity") == "error"), F.bool_or(F.col("severity") == "warning")).alias("verdict"),
-        absent("UNRESOLVED_PLACEHOLDER").alias("placeholder_free"), absent("GUIDELINE_CITATION").alias("guideline_citations_valid"), absent("PUBMED_CITATION").alias("pubmed_citations_valid"),
+        absent("UNRESOLVED_PLACEHOLDER").alias("placeholder_free"), absent("INVALID_GUIDELINE_CITATION").alias("guideline_citations_valid"), absent("PUBMED_CITATION").alias("pubmed_citations_valid"),
         absent("UNGROUNDED_QUOTE").alias("quotes_grounded"), absent("UNGROUNDED_NUMERIC").alias("numbers_grounded"),
-        F.array_sort(F.collect_list(F.struct("class_order", "at", "code", "severity", "evidence"))).alias("issues"),
+        F.array_sort(F.collect_list(F.struct("class_order", "at", "code", "severity", "message", "evidence"))).alias("issues"),
     )
     flags = [c for c in by_key.columns if c not in (key, "verdict", "issues")]
     out = letters.join(by_key, key, "left").withColumn("verdict", F.coalesce("verdict", F.lit("PASS")))
@@ -96,18 +116,19 @@ def report(letters: DataFrame, issues: DataFrame, key: str) -> DataFrame:
     return out.withColumn("n_issues", F.coalesce(F.size("issues"), F.lit(0)))
 
 
-def verification_checks(rules: DataFrame) -> Column:
-    """Three checks with status and details from a row of report()."""
-    line = lambda part, text: F.array_join(F.transform(F.filter("issues", lambda i: F.contains(i["code"], F.lit(part))), text), " ")
-    named = lambda i: F.concat_ws(" ", i["code"], i["evidence"])
+def verification_checks() -> Column:
+    """Three checks with status and details from a row of report(); the details of one that fails are its issues' messages, for claims with the evidence."""
     citations = F.col("guideline_citations_valid") & F.col("pubmed_citations_valid")
     grounded = F.col("quotes_grounded") & F.col("numbers_grounded")
-    check = lambda name, ok, bad, good, part: F.struct(F.lit(name).alias("check"), F.when(ok, "PASS").otherwise(bad).alias("status"), F.when(ok, good).otherwise(line(part, named)).alias("details"))
-    return F.array(
-        check("placeholders", F.col("placeholder_free"), "FAIL", "No unresolved placeholders.", "PLACEHOLDER"),
-        check("citations", citations, "FAIL", "All citations map to sources.", "CITATION"),
-        check("grounding", grounded, "WARNING", "Quoted and numeric claims stand in the sources.", "UNGROUNDED"),
-    )
+    said = {"UNGROUNDED": lambda i: F.concat(i["message"], F.lit(" "), F.coalesce(i["evidence"], F.lit("")))}
+
+    def check(part: str, ok: Column, bad: str) -> Column:
+        name, good = CHECKS[part]
+        own = F.filter("issues", lambda i: F.contains(i["code"], F.lit(part)))
+        details = F.array_join(F.transform(own, said.get(part, lambda i: i["message"])), " ")
+        return F.struct(F.lit(name).alias("check"), F.when(ok, "PASS").otherwise(bad).alias("status"), F.when(ok, good).otherwise(details).alias("details"))
+
+    return F.array(check("PLACEHOLDER", F.col("placeholder_free"), "FAIL"), check("CITATION", citations, "FAIL"), check("UNGROUNDED", grounded, "WARNING"))
 
 
 def merged_verdict(rules: Column | str, model: Column | str) -> Column:

@@ -153,14 +153,14 @@ def ungrounded_claims(spark, d):
 
 
 @query("""with l as (select o_orderkey, o_orderkey % 3 = 0 as ph, o_orderkey % 4 as cited, o_orderkey % 2 as n from orders)
-select o_orderkey, not ph as placeholder_free, not (cited > n or (n > 0 and cited = 0)) as guideline_citations_valid, case when ph or cited > n then 'FAIL' when n > 0 and cited = 0 then 'NEEDS_REVIEW' else 'PASS' end as verdict,
-  case when ph then 'FAIL' else 'PASS' end || ',' || case when cited > n or (n > 0 and cited = 0) then 'FAIL' else 'PASS' end || ',PASS' as statuses from l""")
+select o_orderkey, not ph as placeholder_free, cited <= n as guideline_citations_valid, case when ph or cited > n then 'FAIL' when n > 0 and cited = 0 then 'NEEDS_REVIEW' else 'PASS' end as verdict,
+  case when ph then 'FAIL' else 'PASS' end || ',' || case when cited > n then 'FAIL' else 'PASS' end || ',PASS' as statuses from l""")
 def letter_checks(spark, d):
     letters = built(spark, d, "orders", "o_orderkey", letter="concat('Dear [', if(o_orderkey % 3 = 0, 'INSERT NAME', '1'), '] ', if(o_orderkey % 4 > 0, concat('[', o_orderkey % 4, ']'), ''))")
     letters = letters.withColumn("letter", F.replace("letter", F.lit("Dear [1] "), F.lit("Dear ")))
     sources = table(spark, d, "orders").where("o_orderkey % 2 = 1").select("o_orderkey", F.lit("policy").alias("kind"), F.lit("text").alias("source_text"))
     _, report = S.check_letters(letters, sources, "o_orderkey", "letter")
-    statuses = F.array_join(F.transform(S.verification_checks(report), lambda c: c["status"]), ",")
+    statuses = F.array_join(F.transform(S.verification_checks(), lambda c: c["status"]), ",")
     return report.select("o_orderkey", "placeholder_free", "guideline_citations_valid", "verdict", statuses.alias("statuses"))
 
 
