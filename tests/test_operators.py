@@ -209,18 +209,6 @@ def test_json_tables(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out/cases").count() == 1 and spark.read.json(f"file://{tmp_path}/out/summary").first()["count"] == 1
 
 
-def test_stream_of_stages(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/1.json").write_text('{"id":"a","event":"guidelines_started","at":1}\n{"id":"a","event":"pubmed_started","at":2}\n')
-    events = G.read_events(spark, str(tmp_path / "in"), "id string, event string, at long")
-    seen = []
-    q = G.stream_stage_status(events, "id", "event", "at").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda d, _: seen.extend(map(tuple, d.collect()))).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(seen) == [("a", "guidelines", "done"), ("a", "pubmed", "active")]
-    batch = G.stage_status(spark.read.schema("id string, event string, at long").json(str(tmp_path / "in")), "id", "event", ["at"])
-    assert sorted(map(tuple, batch.collect())) == sorted(seen)
-
-
 def test_partitions_do_not_matter(spark):
     rows = spark.createDataFrame([(k % 7, k, k % 3) for k in range(200)], "key long, pos long, v long")
     want = sorted(map(tuple, R.first_seen(rows, ["key", "v"], [F.col("pos")]).collect()))
