@@ -75,7 +75,7 @@ class LastOfStages(StatefulProcessor):
             self.handle.registerTimer(due)
         self.marks.update((*(active or (None, None)), last, finished, due))
         status = ["done" if s == "active" and (at, tie) < active else s for at, tie, s in now.values()]
-        yield pd.DataFrame({"key": [key[0]] * len(now), "stage": [*now], "status": status})
+        yield pd.DataFrame({"key": [key[0]] * len(now), "stage": [*now], "status": status}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.stages.clear()
@@ -157,7 +157,7 @@ class Frames(StatefulProcessor):
         timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
         self.handle.registerTimer(timer)
         self.carry.update((rest, due, frames + len(whole), timer))
-        yield pd.DataFrame({"key": [key[0]] * len(whole), "at": range(frames, frames + len(whole)), "frame": [f.decode("utf-8", "replace") for f in whole]})
+        yield pd.DataFrame({"key": [key[0]] * len(whole), "at": [*range(frames, frames + len(whole))], "frame": [f.decode("utf-8", "replace") for f in whole]}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.carry.clear()
