@@ -125,7 +125,7 @@ def parsed_frames(frames: DataFrame, key: str, schema: str) -> DataFrame:
 class Frames(StatefulProcessor):
     """Carries what is cut off at a chunk's end, bytes of half a character included, and chunks that come before their turn, to the next batch of their stream.
 
-    Chunks are numbered from 0; one that comes again changes nothing. idle_ms after its last chunk (by processing time) a stream's state goes.
+    Chunks are numbered from 0; one that comes again changes nothing. When the watermark has passed a stream's last chunk by idle_ms its state goes.
     """
 
     def __init__(self, idle_ms: int):
@@ -133,13 +133,15 @@ class Frames(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.carry = handle.getValueState("carry", "rest binary, due long, frames long, timer long")
+        self.carry = handle.getValueState("carry", "rest binary, due long, frames long, last_ms long, timer long")
         self.early = handle.getMapState("early", "at long", "chunk binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rest, due, frames, timer = self.carry.get() if self.carry.exists() else (b"", 0, 0, None)
-        kept = {at[0]: bytes(chunk[0]) for at, chunk in self.early.iterator()}
-        fresh = {int(at): bytes(chunk) for batch in rows for at, chunk in zip(batch["at"], batch["chunk"], strict=True)}
+        rest, due, frames, last, timer = self.carry.get() if self.carry.exists() else (b"", 0, 0, 0, None)
+        kept, fresh = {at[0]: bytes(chunk[0]) for at, chunk in self.early.iterator()}, {}
+        for batch in rows:
+            fresh |= {int(at): bytes(chunk) for at, chunk in zip(batch["at"], batch["chunk"], strict=True)}
+            last = max(last, int(batch["ms"].max()))
         waiting = fresh | kept
         parts = [bytes(rest)]
         while due in waiting:
@@ -152,11 +154,11 @@ class Frames(StatefulProcessor):
         for at, chunk in fresh.items():
             if at > due and at not in kept:
                 self.early.updateValue((at,), (chunk,))
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
-        self.handle.registerTimer(timer)
-        self.carry.update((rest, due, frames + len(whole), timer))
+        if timer != last + self.idle_ms:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last + self.idle_ms)
+        self.carry.update((rest, due, frames + len(whole), last, last + self.idle_ms))
         yield pd.DataFrame({"key": [key[0]] * len(whole), "at": [*range(frames, frames + len(whole))], "frame": [f.decode("utf-8", "replace") for f in whole]}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -168,9 +170,15 @@ class Frames(StatefulProcessor):
         pass
 
 
-def stream_sse_events(chunks: DataFrame, key: str, at: str, chunk: str, schema: str, idle: str = "10 minutes") -> DataFrame:
-    """sse_events over a stream of numbered chunks (bytes or text) that may cut frames anywhere: key, at (the frame's number), stage and data as frames become whole."""
+def stream_sse_events(chunks: DataFrame, key: str, at: str, chunk: str, time: str, schema: str, late: str = "1 minute", idle: str = "10 minutes") -> DataFrame:
+    """sse_events over a stream of numbered chunks (bytes or text) with their times, cut anywhere: key, at (the frame's number), stage and data as frames become whole.
+
+    A stream's state goes when the watermark, which lags by so much lateness, has passed its last chunk by the idle time.
+    """
     keep_state_in_rocksdb(chunks.sparkSession)
-    rows = chunks.select(F.col(key).cast("string").alias("key"), F.col(at).cast("long").alias("at"), F.col(chunk).cast("binary").alias("chunk")).where("key is not null and at >= 0 and chunk is not null")
-    frames = rows.groupBy("key").transformWithStateInPandas(Frames(int(pd.Timedelta(idle).total_seconds() * 1000)), "key string, at long, frame string", "append", "processingTime")
+    rows = chunks.select(
+        F.col(key).cast("string").alias("key"), F.col(at).cast("long").alias("at"), F.col(chunk).cast("binary").alias("chunk"), F.unix_millis(F.col(time).cast("timestamp")).alias("ms"),
+        F.col(time).cast("timestamp").alias("quill_time"),
+    ).where("key is not null and at >= 0 and chunk is not null and ms is not null").withWatermark("quill_time", late)
+    frames = rows.groupBy("key").transformWithStateInPandas(Frames(int(pd.Timedelta(idle).total_seconds() * 1000)), "key string, at long, frame string", "append", "eventTime")
     return parsed_frames(frames, "key", schema)
