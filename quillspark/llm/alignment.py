@@ -87,6 +87,7 @@ class Segments:
         by_id = {i: t for t, i in ranks.items()}
         self.a = Vocabulary([by_id.get(i, b"") for i in range(max(by_id) + 1)])
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.space = self.model.piece_to_id("▁")
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         if len(pieces) > LARGEST_B:
             raise ValueError(f"B has more than {LARGEST_B} ids")
@@ -111,7 +112,8 @@ class Segments:
         self.characters += sum(map(len, fresh))
         spaced = [" " + s for s in fresh]
         a_ids = [self.ranks.encode_ordinary(s) if SETTLED.match(s) else self.whole.encode(s, add_special_tokens=False).ids for s in spaced]
-        b_ids = self.model.encode(fresh, num_threads=1)
+        # a space by itself, at a text's end: B gives nothing for an empty text
+        b_ids = [ids or [self.space] for ids in self.model.encode(fresh, num_threads=1)]
         data = [s.encode() for s in spaced]
         size = np.fromiter(map(len, data), np.int64, len(data))
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_ids, b_ids))
@@ -261,7 +263,8 @@ def blocks_of(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> Dat
     """The written blocks of all documents."""
     paths = paths or default_paths()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return store.write(rows.mapInArrow(lambda it: make_blocks(it, paths), BLOCKS), "alignment")
+    # a few blocks a row group, so that the writer holds no more
+    return store.write(rows.mapInArrow(lambda it: make_blocks(it, paths), BLOCKS), "alignment", **{"parquet.block.size": 4 * BLOCK_BYTES})
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

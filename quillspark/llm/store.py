@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def write(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors. Spark removes it at its end."""
+def write(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors. Spark removes it at its end. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path).alias(name)
