@@ -219,12 +219,40 @@ def contained_quotes(quotes: DataFrame, sources: DataFrame, key: str, source_key
     return reduce(DataFrame.unionByName, parts) if parts else quotes.sparkSession.createDataFrame([], fields)
 
 
+#: Keys of more characters are found by one of their runs of so many.
+GRAM = 8
+
+
+def held_keys(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(long, short): which keys of one distinct column hold which of the other as a substring, by equality of short runs.
+
+    A key has at most GRAM runs from each of its characters. A short key of at most GRAM characters must be one of them; of a longer one the run that the fewest long keys
+    have finds them, then the whole key is looked for.
+    """
+    of = "flatten(transform(sequence({}), n -> transform(sequence(1, greatest(length(quill_key) - n + 1, 1)), i -> substr(quill_key, i, n))))"
+    runs = lambda keys, lengths: keys.select("quill_key", F.explode(F.array_distinct(F.expr(of.format(lengths)))).alias("quill_run"))
+    have = runs(longer.where("quill_key <> ''"), f"1, least({GRAM}, length(quill_key))").withColumnRenamed("quill_key", "long")
+    some = shorter.where("quill_key <> ''").withColumn("quill_n", F.length("quill_key"))
+    often = have.where(F.length("quill_run") == GRAM).groupBy("quill_run").agg(F.count("*").alias("quill_often"))
+    own = runs(some.where(F.col("quill_n") > GRAM), f"{GRAM}, {GRAM}").join(often, "quill_run", "left")
+    rarest = own.groupBy("quill_key").agg(F.min_by("quill_run", F.struct(F.coalesce("quill_often", F.lit(0)), "quill_run")).alias("quill_run"))
+    asked = some.where(F.col("quill_n") <= GRAM).select("quill_key", F.col("quill_key").alias("quill_run")).unionByName(rarest)
+    found = have.join(asked, "quill_run").select("long", F.col("quill_key").alias("short"))
+    return found.where((F.length("short") <= GRAM) | F.contains("long", F.col("short")))
+
+
 def containment_join(queries: DataFrame, codes: DataFrame, query: str, code: str) -> DataFrame:
-    """Pairs of a query code and a listed code of which one holds the other, both without points, hyphens and white space."""
+    """Pairs of a query code and a listed code of which one holds the other, both without points, hyphens and white space.
+
+    An empty query key meets nothing; an empty listed key is in every query. All joins are by equality.
+    """
     q = queries.withColumn("query_key", X.code_key(query)).where("query_key <> ''")
     c = codes.withColumn("code_key", X.code_key(code))
     # distinct keys meet each other, then their members join by equality
-    pairs = q.select("query_key").distinct().join(c.select("code_key").distinct(), F.contains("code_key", F.col("query_key")) | F.contains("query_key", F.col("code_key")))
+    of_q, of_c = q.select(F.col("query_key").alias("quill_key")).distinct(), c.select(F.col("code_key").alias("quill_key")).distinct()
+    pairs = held_keys(of_c, of_q).select(F.col("short").alias("query_key"), F.col("long").alias("code_key"))
+    pairs = pairs.unionByName(held_keys(of_q, of_c).select(F.col("long").alias("query_key"), F.col("short").alias("code_key")))
+    pairs = pairs.unionByName(of_q.select(F.col("quill_key").alias("query_key"), F.lit("").alias("code_key"))).distinct()
     return q.join(pairs, "query_key").join(c, "code_key")
 
 

@@ -16,6 +16,7 @@ from quillspark.operators import safety as S
 from quillspark.operators import search as R
 from quillspark.profiles import PLAIN
 from quillspark.sources import documents as D
+from quillspark.sources.tables import file_system
 from quillspark.streaming import stages as G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,10 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name == "documents" else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of more bytes are read in place: their splits keep all cores busy, and dealing them out would shuffle the texts.
+SMALL_TABLE = 256 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Texts of fewer files than cores are dealt out anew, as one file's only row group is one task; tables of more files are read in place."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    """A small table of fewer files than cores is dealt out anew, as one file's only row group is one task."""
+    spark = rows.sparkSession
+    cores, paths = spark.sparkContext.defaultParallelism, rows.inputFiles()
+    if not 0 < len(paths) < cores:
+        return rows
+    total = 0
+    for path in paths:
+        files, at = file_system(spark, path)
+        total += files.getFileStatus(at).getLen()
+    return rows.repartition(cores) if total <= SMALL_TABLE else rows
 
 
 def query(sql: str | None = None):

@@ -120,6 +120,21 @@ def test_retrieval_prefers_codes_and_falls_back(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "a", 1.0, 1, True), (1, "b", 1.0, 2, True), (2, "b", 1.0, 1, False)]
 
 
+def test_containment_join_without_cartesian_product(spark):
+    r = random.Random(4)
+    key = lambda most: "".join(r.choice("ab1") for _ in range(r.randrange(most)))
+    listed = ["", " - ", None, "abababab1", "abababab", "ABABAB.ABAB-1", *(key(24) for _ in range(60))]
+    asked = ["", ".", None, "abababab", "b abababab1 1", *(key(30) for _ in range(60)), *(x + key(9) for x in listed if x)]
+    plain_key = lambda x: re.sub(r"[.\-\s]", "", x.upper())
+    q, c = (spark.createDataFrame([*enumerate(x)], f"{n} long, {n}_code string") for n, x in (("q", asked), ("c", listed)))
+    out = R.containment_join(q, c, "q_code", "c_code")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    pairs = [(i, k, plain_key(a), plain_key(b)) for i, a in enumerate(asked) for k, b in enumerate(listed) if a is not None and b is not None]
+    want = sorted((i, k) for i, k, a, b in pairs if a and (a in b or b in a))
+    assert sorted((x["q"], x["c"]) for x in out.collect()) == want and len(want) > 200
+
+
 def test_short_queries_find_nothing(spark):
     t = spark.createDataFrame([("E11", "diabetes", 1)], "code string, name string, pos int")
     assert R.substring_search(t, "d", ["code", "name"], "pos").count() == 0
