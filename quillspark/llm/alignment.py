@@ -23,6 +23,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from . import store
 from .words import slices
 
-BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 19
+BLOCK_BYTES, PART_BYTES = 2 << 20, 1 << 18
 #: Segments that a task keeps, and their characters; beyond either it begins anew with the next block.
-MOST_SEGMENTS, MOST_CHARACTERS = 300_000, 16 << 20
+MOST_SEGMENTS, MOST_CHARACTERS = 200_000, 8 << 20
 LARGEST_B = 1 << 20
 #: A space after a letter, a digit or a mark of ASCII or Latin script.
 CUT = re.compile(r" (?<=[!-~À-ɏ] )")
@@ -78,12 +79,10 @@ class Segments:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.ranks = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(json_path)
-        self.whole.encode_special_tokens = True
+        self.json_path = json_path
         by_id = {i: t for t, i in ranks.items()}
         self.a = Vocabulary([by_id.get(i, b"") for i in range(max(by_id) + 1)])
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -95,6 +94,15 @@ class Segments:
         self.sizes: dict[bytes, tuple[int, int]] = {}
         self.clear()
 
+    @cached_property
+    def whole(self):
+        """A's own file, read when a text needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.json_path)
+        out.encode_special_tokens = True
+        return out
+
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.characters = 0

@@ -34,8 +34,10 @@ from . import store
 from .words import U, Words, mix, signed, slices
 
 VOCABULARY, CLASSES, HIDDEN, EMBEDDED = 4000, 40, 16, 16
-#: Share of the training documents that the network is fitted on (all), its rounds, words in a truncated step, and documents side by side.
-SHARE, ROUNDS, STEPS, LANES, AHEAD = 1.0, 3, 24, 256, 2048
+#: Share of the training documents that the network is fitted on (all), its rounds, words in a truncated step, and documents side by side: few, so that small inputs make updates enough.
+SHARE, ROUNDS, STEPS, LANES, AHEAD = 1.0, 3, 24, 16, 2048
+#: One training document in so many only judges whether a round has helped.
+JUDGES = 32
 TRAINER_TOKENS, RATE, FAN_IN = 3_000_000, 0.3, 16
 BLOCK_BYTES, SCORED_LANES, SCORED_STEPS = 16 << 20, 512, 32
 #: Words whose counts every task knows: 16 bytes each, so 8 MB at most.
@@ -428,13 +430,35 @@ def averaged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"trainer": [int(rows["trainer"].iloc[0]) // FAN_IN], "n": [total], "weights": [mean.astype(np.float32).tobytes()]})
 
 
+def losses(batches: Iterator[pa.RecordBatch], counts: np.ndarray, candidates) -> Iterator[pa.RecordBatch]:
+    """(candidate, loss): the sums of each candidate's losses over these documents."""
+    small = np.dtype(np.uint16 if len(counts) <= 1 << 16 else np.int32)
+    networks = [Network(counts).unpack(np.frombuffer(w, np.float32)) for w in candidates.value]
+    for batch in batches:
+        lists = [np.frombuffer(ids.as_buffer(), small).astype(np.int32) for ids in batch.column("ids")]
+        lengths = np.array([len(x) for x in lists], np.int64)
+        sums = [-float(n.score(np.concatenate(lists), lengths).sum()) for n in networks] if lists else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["candidate", "loss"])
+
+
 def fit(documents: DataFrame, counts: np.ndarray, tokens: int, rounds: int = ROUNDS) -> Network:
-    """The network after some rounds of training in parallel; each round's trainers see other documents, and together they see all.
+    """The network after some rounds of training in parallel; each round's trainers see other documents, and together they see all but the judges.
 
-    A trainer is a partition, which streams its documents; the driver gets the weights of FAN_IN averages at most.
+    A trainer is a partition, which streams its documents; the driver gets the weights of FAN_IN averages at most. A round's average, or the mean of it and the
+    weights before, takes their place only if it lowers the loss on the judges, so that the network is never worse on them than word counts, which it begins as.
     """
     spark = documents.sparkSession
     network = Network(counts)
+    judges = store.write(documents.where(F.col("draw") % JUDGES == JUDGES - 1).select("ids"), "judges") if tokens else None
+    documents = documents.where(F.col("draw") % JUDGES != JUDGES - 1)
+
+    def judged(candidates: list[bytes]) -> list[float]:
+        sent = spark.sparkContext.broadcast(candidates)  # two networks of a fixed size
+        found = judges.mapInArrow(lambda it: losses(it, counts, sent), "candidate int, loss double").groupBy("candidate").agg(F.sum("loss").alias("loss")).collect()
+        sent.destroy()
+        return [r["loss"] for r in sorted(found, key=lambda r: r["candidate"])] or [0.0] * len(candidates)
+
+    best = judged([network.packed()])[0] if tokens else 0.0
     trainers = max(1, tokens // (rounds * TRAINER_TOKENS))
     for k in range(rounds if tokens else 0):
         weights = spark.sparkContext.broadcast(network.packed())  # a fixed size: it follows from the vocabulary and layers
@@ -445,9 +469,15 @@ def fit(documents: DataFrame, counts: np.ndarray, tokens: int, rounds: int = ROU
             got = got.groupBy(F.floor(F.col("trainer") / FAN_IN)).applyInPandas(averaged, WEIGHTS_DDL)
         rows = got.groupBy(F.col("trainer") % FAN_IN).applyInPandas(averaged, WEIGHTS_DDL).collect()
         if rows:
-            mean = averaged(pd.DataFrame(rows, columns=["trainer", "n", "weights"]))
-            network.unpack(np.frombuffer(mean["weights"][0], np.float32))
+            mean = np.frombuffer(averaged(pd.DataFrame(rows, columns=["trainer", "n", "weights"]))["weights"][0], np.float32)
+            half = (mean + np.frombuffer(network.packed(), np.float32)) / 2
+            loss, at = min((x, i) for i, x in enumerate(judged([mean.tobytes(), half.tobytes()])))
+            if loss <= best:
+                best = loss
+                network.unpack((mean, half)[at])
         weights.destroy()
+    if judges is not None:
+        store.drop(judges)
     return network
 
 
