@@ -10,7 +10,8 @@ the tokens ask for, which stream them through truncated backpropagation through
 step to step of a document; weights are averaged after each round, by groups of trainers in as many levels as it takes.
 Scores. All documents are scored whole, many side by side, with the state carried from window to window. A word outside the
 network's vocabulary has the other-symbol's probability times its smoothed share of all such words' counts, so what
-the corpus counts also enters the model's score, and the probabilities of seen words and one unseen word sum to one.
+the corpus counts also enters the model's score, and the probabilities of seen words and one unseen word sum to one. The other-symbol's
+odds are raised to those of the smoothed counts, as new texts have words that no training text has.
 
 Defined results: a null text is empty and has only its end; a null doc_id counts as the empty string in the training rule; equal
 rows score alike; extra columns are ignored; an empty table gives an empty result.
@@ -202,8 +203,8 @@ class Network:
         n = np.tanh(into[:, 2 * k :] + r * back)
         return n + z * (h - n), z, r, n, back
 
-    def log_probs(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The natural log-probability of each symbol after its state."""
+    def log_probs(self, states: np.ndarray, symbols: np.ndarray, odds: float = 1.0) -> np.ndarray:
+        """The natural log-probability of each symbol after its state, the other-symbol's odds multiplied by a number."""
         rows = self.place[symbols]
         own = self.cls_of[rows]
         logits = states @ self.w["to_class"] + self.w["class_bias"]
@@ -215,10 +216,19 @@ class Network:
             if high - low > 1:
                 x = states[at] @ self.w["to_symbol"][low:high].T + self.w["symbol_bias"][low:high]
                 out[at] += x[np.arange(len(at)), rows[at] - low] - log_sums(x)
+        if odds != 1:
+            place = self.place[OTHER]
+            c = self.cls_of[place]
+            low, high = self.bounds[c], self.bounds[c + 1]
+            other = logits[:, c] - log_sums(logits)
+            if high - low > 1:
+                x = states @ self.w["to_symbol"][low:high].T + self.w["symbol_bias"][low:high]
+                other = other + x[:, place - low] - log_sums(x)
+            out = out + np.where(symbols == OTHER, np.log(odds), 0) - np.log1p(np.exp(other) * (odds - 1))
         return out
 
-    def score(self, symbols: np.ndarray, lengths: np.ndarray, lanes: int = SCORED_LANES, steps: int = SCORED_STEPS) -> np.ndarray:
-        """The log-probability of every symbol of whole documents that lie one after another, each starting from the zero state."""
+    def score(self, symbols: np.ndarray, lengths: np.ndarray, odds: float = 1.0, lanes: int = SCORED_LANES, steps: int = SCORED_STEPS) -> np.ndarray:
+        """log_probs of whole documents that lie one after another, each starting from the zero state."""
         first = np.cumsum(lengths) - lengths
         before = np.empty_like(symbols)
         before[1:], before[first] = symbols[:-1], END
@@ -246,7 +256,7 @@ class Network:
                 h[:n] = self.step(table[before[row]], state)[0]
                 states.append(h[:n].copy())
             flat = at[live]
-            out[flat] = self.log_probs(np.concatenate(states), symbols[flat])
+            out[flat] = self.log_probs(np.concatenate(states), symbols[flat], odds)
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, new: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -449,6 +459,7 @@ def fit(documents: DataFrame, counts: np.ndarray, tokens: int, rounds: int = ROU
     """
     spark = documents.sparkSession
     network = Network(counts)
+    rounds = min(rounds, -(-tokens // TRAINER_TOKENS))  # what one trainer can take is one round: each begins its step sizes anew
     judges = store.write(documents.where(F.col("draw") % JUDGES == JUDGES - 1).select("ids"), "judges") if tokens else None
     documents = documents.where(F.col("draw") % JUDGES != JUDGES - 1)
 
@@ -513,10 +524,17 @@ def rare_words(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), r["block"])), pa.array(rest)], ["block", "h"])
 
 
+def unseen_odds(counts: np.ndarray, tokens: int, kinds: int) -> float:
+    """How far the odds of a word outside the network's vocabulary rise from the training tokens, which have seen it, to other texts: to what the smoothed counts give such words."""
+    seen, smoothed = float(counts[OTHER] / counts.sum()), max(1, tokens + kinds - int(counts[1:].sum()) - (len(counts) - 1) + 1) / (tokens + kinds + 1)
+    return smoothed / (1 - smoothed) / (seen / (1 - seen)) if 0 < seen < 1 and 0 < smoothed < 1 else 1.0
+
+
 def score_blocks(batches: Iterator[pa.RecordBatch], symbols: Symbols, counts: np.ndarray, weights, known, tokens: int, kinds: int) -> Iterator[pa.RecordBatch]:
     network = Network(counts).unpack(np.frombuffer(weights, np.float32))
     other_tokens = tokens - int(counts[1:].sum())
     other_kinds = kinds - (len(counts) - 1)
+    odds = unseen_odds(counts, tokens, kinds)
     for batch in batches:
         for r in block_rows(batch):
             (local, lengths), hashes = texts_of(r), r["hashes"]
@@ -529,7 +547,7 @@ def score_blocks(batches: Iterator[pa.RecordBatch], symbols: Symbols, counts: np
             first = np.cumsum(lengths) - lengths
             base = np.log10((c + 1) / (tokens + kinds + 1))[local]
             ids = symbols.look_up(hashes)
-            log = network.score(ids[local], lengths) / np.log(10)
+            log = network.score(ids[local], lengths, odds) / np.log(10)
             within = np.where(ids == OTHER, np.log10((c + 1) / max(1, other_tokens + other_kinds + 1)), 0.0)
             add = lambda v: np.add.reduceat(v, first)
             columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["held"]), pa.array(lengths, pa.int64()), pa.array(add((c > 0)[local].astype(np.int64))), pa.array([tokens] * len(first), pa.int64()), pa.array(add(base)), pa.array(add(log.astype(float) + within[local]))]

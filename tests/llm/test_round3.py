@@ -220,3 +220,27 @@ def test_op11_few_labels(spark):
     assert {r["score"] for r in passages.classify(docs, label((9, None, 1))).collect()} == {0.5}
     assert {r["score"] for r in passages.classify(docs, label((1, 1, 0), (2, 1, 0))).collect()} == {1.0}
     assert passages.classify(docs.where("doc_id > 5"), label((1, 1, 0))).count() == 0
+
+
+# --- op10
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_op10_is_better_than_its_base(spark, sf):
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import recurrent
+
+    out = recurrent.op10_language_model(spark, f"/root/testdata/sf{sf}").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert out[0] > out[1] and out[2] > 1000
+
+
+def test_op10_probabilities_sum_to_one_with_other_odds():
+    from quillspark.llm import recurrent
+
+    counts = np.array([50.0, 10, 30, 20, 9, 8, 5, 3])
+    net, h = recurrent.Network(counts), np.linspace(-1, 1, 16).astype(np.float32)[None]
+    plain = np.exp([net.log_probs(h, np.array([k]))[0] for k in range(8)])
+    for odds in (0.2, 3.0):
+        p = np.exp([net.log_probs(h, np.array([k]), odds)[0] for k in range(8)])
+        assert p.sum() == pytest.approx(1) and p[0] / p[3] == pytest.approx(odds * plain[0] / plain[3], rel=1e-4)
