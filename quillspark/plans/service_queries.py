@@ -14,8 +14,10 @@ from quillspark.operators import generation as G
 from quillspark.operators import history as H
 from quillspark.operators import repair as R
 from quillspark.operators import safety as S
-from quillspark.plans.queries import query, table
+from quillspark.plans.queries import SQL, STAGE_OF, query, table
 from quillspark.sources import tables as T
+from quillspark.streaming import stages as B
+from quillspark.streaming import upserts as U
 
 
 def no_wait(seconds: float) -> None:
@@ -163,3 +165,31 @@ def letter_repair(spark, d):
     letters, sources = _letters(spark, d)
     out = R.repaired_letters(letters, sources, "doc_id", "letter", [G.Provider("careful", careful_repair)], T.fresh_dir(spark, "repairs"), "1", "You repair letters.", "Repair the letter.", "Return the letter only.", wait=no_wait)
     return out.select("doc_id", "repair_attempted", "pre_repair_verdict", "repair_error", "verdict", "status", F.md5("letter").alias("letter_md5"))
+
+
+@query(SQL["stage_status"])
+def stage_stream(spark, d):
+    """stage_status from a stream of the events: all that the stream has said of a key and stage, the last of it."""
+    events = T.parquet_stream(spark, d, "events.parquet", table(spark, d, "events").schema).withColumn("event", F.expr(STAGE_OF))
+    where = T.fresh_dir(spark, "stages")
+    states = B.stream_stage_status(events, "user_id", "event", "ts", "event_id", late="60 days", keep_idle="365 days")
+    save = lambda rows, n: T.written_once(rows.withColumn("batch", F.lit(n)), f"{where}/rows/{n}") and None
+    states.writeStream.outputMode("update").option("checkpointLocation", f"{where}/checkpoint").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    said = T.appended(spark, f"{where}/rows", "key string, stage string, status string, batch int")
+    return said.groupBy(F.col("key").cast("long").alias("user_id"), "stage").agg(F.max_by("status", "batch").alias("status"))
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice, o_orderdate from orders union all select -o_orderkey - 1, 'N', null, o_orderdate from orders where o_orderkey % 5 = 0")
+def upsert_stream(spark, d):
+    """Orders after two streams of changes: their first versions with other values, then the present ones (some in both, one batch delivered twice) and new keys."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    path = T.fresh_dir(spark, "orders")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in orders.schema) + ", at long"
+    first = orders.where("o_orderkey % 3 = 0").withColumns({"o_orderstatus": F.lit("?"), "at": F.lit(1).cast("long")})
+    new = orders.where("o_orderkey % 5 = 0").selectExpr("-o_orderkey - 1 as o_orderkey", "'N' as o_orderstatus", "cast(null as double) as o_totalprice", "o_orderdate", "2L as at")
+    write = U.version_writer(path)
+    write(first, 0)
+    write(orders.withColumn("at", F.lit(2).cast("long")).unionByName(new.withColumn("o_totalprice", F.col("o_totalprice").cast(orders.schema["o_totalprice"].dataType))), 1)
+    write(first, 0)
+    write(first.withColumn("o_orderstatus", F.lit("late")), 2)  # changes older than what is known
+    return U.upserted(spark, path, kept, "o_orderkey", "at").drop("at")

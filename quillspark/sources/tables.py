@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +55,10 @@ def appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
     batches = [x.getPath() for x in files.listStatus(at)] if files.exists(at) else []
     done = sorted(str(b) for b in batches if files.exists(spark._jvm.org.apache.hadoop.fs.Path(b, "_SUCCESS")))
     return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+
+
+def parquet_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A stream of a table below a folder, be it a folder of files or one file."""
+    files, at = file_system(spark, f"{folder}/{name}")
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(f"{folder}/{name}") if files.getFileStatus(at).isDirectory() else reader.option("pathGlobFilter", name).parquet(folder)
