@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import tables as TF
+from quillspark.operators import evidence as V
 from quillspark.operators import generation as G
 from quillspark.operators import history as H
 from quillspark.operators import repair as R
@@ -193,3 +195,33 @@ def upsert_stream(spark, d):
     write(first, 0)
     write(first.withColumn("o_orderstatus", F.lit("late")), 2)  # changes older than what is known
     return U.upserted(spark, path, kept, "o_orderkey", "at").drop("at")
+
+
+@query(SQL["chunk_documents"])
+def chunk_function(spark, d):
+    """chunk_documents as a table function of SQL, dealt out by document."""
+    TF.register(spark)
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("quill_documents")
+    out = spark.sql("select * from chunks(table(select doc_id, text from quill_documents) partition by (doc_id), 'doc_id', 'text', '\\n')")
+    return out.select("doc_id", "chunk_id", "chunk_pos", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
+#: Notes of whole documents with clinical sentences, and the rules of evidence once more, as SQL of their own.
+NOTE = "concat('Assessment: type 2 diabetes with A1c ', doc_id % 9 + 5, '. Failed metformin therapy for ', doc_id % 12, ' months; walking causes pain.', chr(10), case when doc_id % 3 = 0 then 'Plan: request semaglutide. The endocrinologist recommends it! ' else 'No smoking history, sleep well at home. ' end, coalesce(text, ''))"
+
+
+@query(rf"""with n as (select doc_id, {NOTE} as t from documents), p as (select doc_id, regexp_extract_all(t, '[^\n.!?;:]{{8,260}}(?:[.!?;:]|\n|$)') as xs from n), x as (
+  select doc_id, regexp_replace(unnest(xs), '^\s+|\s+$', '', 'g') as x, unnest(range(1, len(xs) + 1)) as i from p), k as (
+  select doc_id, x, i, row_number() over (partition by doc_id order by i) as span from x where x <> '' and regexp_matches(x, '(?i)[0-9]|diagnos|pain|failed|therapy|mri|ct|pet|x-?ray|biopsy|lab|symptom|function|medication|risk|plan|recommend|conservative|provider|prescriber|physician|clinician|endocrinolog|diabetes specialist|\bFACE\b|ordering/rendering|clinic|practice|facility'))
+select doc_id, span, md5(x) as text_md5, case
+  when regexp_matches(x, '(?i)provider|prescriber|physician|clinician|endocrinolog|diabetes specialist|\bFACE\b|ordering/rendering|clinic|practice|facility') then 'provider'
+  when regexp_matches(x, '(?i)diagnos|icd|cancer|osteoarthritis|stenosis|spondylolisthesis|apnea|diabetes|obesity|malignan') then 'diagnosis'
+  when regexp_matches(x, '(?i)mri|ct|pet|x-?ray|radiograph|imaging|biopsy|patholog|lab|a1c|ahi') then 'imaging'
+  when regexp_matches(x, '(?i)therapy|pt\b|nsaid|injection|conservative|surgery|medication|trial|failed|treatment') then 'treatment'
+  when regexp_matches(x, '(?i)adl|walking|stairs|function|womac|koos|pain|vas|limitation|mobility') then 'functional'
+  when regexp_matches(x, '(?i)risk|bmi|smok|hypertension|contraindicat|infection|cardiac') then 'risk'
+  when regexp_matches(x, '(?i)mg|dose|methotrexate|biologic|cpap|drug|medication') then 'medication' else 'other' end as category from k where span <= 80""")
+def medical_spans(spark, d):
+    """Evidence of clinical notes by the clinical rules."""
+    notes = table(spark, d, "documents").select("doc_id", F.expr(NOTE).alias("t"))
+    return V.spans(notes, "doc_id", "t").select("doc_id", F.col("span").cast("long").alias("span"), F.md5("text").alias("text_md5"), "category")
