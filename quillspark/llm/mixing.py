@@ -11,8 +11,8 @@ find the range that holds the cut, and only that range's digests are put in orde
 sorts a hot source. What comes out is a plan: for each pattern how many copies each of its documents gives and the digest up to which
 they give one more. To carry it out is a map over the documents, whose texts are never shuffled.
 
-Only patterns come to the driver and to every task: MOST_PATTERNS of them at most (there are as many as distinct
-combinations of sources; more raise an error). Defined results: a null text has size 0 and is taken 0 words; a null source is a source of
+Only patterns come to the driver and to every task: MOST_PATTERNS of them at most (there are as many as distinct combinations of sources). Of more, where no
+document has two sources, each source gives its own target, found by joins and aggregates alone; where documents share sources, more raise an error. Defined results: a null text has size 0 and is taken 0 words; a null source is a source of
 its own, last in order; rows that share a doc_id and sources are taken alike, as one unit of their summed size; extra columns pass
 through mixed_documents(); an empty table gives an empty result.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,23 +130,16 @@ def marked(docs: DataFrame, sources: Column, seed: str = SEED) -> DataFrame:
     return docs.withColumns({"quill_sources": F.array_sort(F.array_distinct(sources)), "quill_key": key})
 
 
-def copies_of(plan: DataFrame, rows: DataFrame, has_words: Column) -> DataFrame:
-    """rows, from marked(), with quill_copies; plan: one row a pattern, so its bound is that of the broadcast."""
-    both = rows.join(F.broadcast(plan), F.col("quill_sources").eqNullSafe(F.col("quill_pattern")), "left")
+def copies_of(plan: DataFrame, rows: DataFrame, has_words: Column, side: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
+    """rows, from marked(), with quill_copies; plan: one row a pattern, which is broadcast (side) where their number is bounded."""
+    both = rows.join(side(plan), F.col("quill_sources").eqNullSafe(F.col("quill_pattern")), "left")
     more = F.coalesce((F.col("quill_key") <= F.col("quill_last")).cast("int"), F.lit(0))
     copies = F.when(has_words, F.least("quill_most", F.col("quill_whole") + more)).otherwise(0)
     return both.withColumn("quill_copies", F.coalesce(copies, F.lit(0))).drop("quill_pattern", "quill_last", "quill_whole", "quill_most")
 
 
-def planned(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> tuple[DataFrame, dict, dict]:
-    """(plan, the sources' sizes, their targets) of a table with quill_sources, quill_key and size.
-
-    plan: quill_pattern, quill_whole (copies of each of its documents), quill_last (documents up to this digest give one more) and quill_most.
-    """
-    spark = sized.sparkSession
-    counts = sized.groupBy("quill_sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    if len(counts) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
+def flow_shares(spark: SparkSession, counts: list, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(shares, by_source) of MOST_PATTERNS patterns at most, by the flow in the driver."""
     # in a fixed order, so that of equally cheap flows reruns find the same
     counted = dict(sorted(((tuple(r["quill_sources"]), r["size"]) for r in counts), key=lambda x: [(s is None, s or "") for s in x[0]]))
     sizes: dict = defaultdict(int)
@@ -158,31 +152,89 @@ def planned(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     for (p, _), n in flow.items():
         given[p] += n
     rows = [(list(p), min(most, int(given[p] // n)) if n else 0, given[p] - n * min(most, int(given[p] // n)) if n else 0.0) for p, n in counted.items()]
-    shares = F.broadcast(spark.createDataFrame(rows, "sources array<string>, whole int, rest double"))
+    by_source = spark.createDataFrame([([s], int(n), wanted[s]) for s, n in sizes.items()], BY_SOURCE)
+    return spark.createDataFrame(rows, "sources array<string>, whole int, rest double"), by_source
+
+
+BY_SOURCE = "sources array<string>, source_size long, target double"
+
+
+def apart_shares(patterns: DataFrame, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(shares, by_source) of any number of sources that no document shares: each gives its own target, so there is nothing to route, and no source comes to the driver.
+
+    Places in the order of sources come from a sort by range and the sizes of its ranges. The level of the targets rises until no other source is filled, an aggregate each time.
+    """
+    spark = patterns.sparkSession
+    if not patterns.where(F.size("quill_sources") > 1).isEmpty():
+        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources that share documents")
+    one = patterns.select(F.col("quill_sources").alias("sources"), F.col("quill_sources")[0].alias("source"), F.col("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = store.write(one.repartitionByRange(parts, "none", "source").sortWithinPartitions("none", "source").withColumn("at", F.monotonically_increasing_id()), "places")
+    before, sizes = 0, {}
+    for r in placed.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n")).orderBy("range").collect():  # a row for each range
+        sizes[r["range"]], before = before, before + r["n"]
+    start = spark.createDataFrame(list(sizes.items()), "range long, before long")
+    placed = placed.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(start), "range")
+    place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.array(*(F.lit(float(w)) for w in weights))[(place % len(weights)).cast("int")]
+    rated = store.write(placed.select("sources", "source_size", weight.alias("w"), (F.col("source_size") * float(most)).alias("cap")), "rated")
+    total, weigh = rated.agg(F.sum("source_size"), F.sum("w")).first()
+    level, last = share * total / weigh, -1.0
+    while level > last:
+        last = level
+        filled = F.col("cap") <= F.lit(level) * F.col("w")
+        full, open_ = rated.agg(F.sum(F.when(filled, F.col("cap")).otherwise(0.0)), F.sum(F.when(~filled, F.col("w")).otherwise(0.0))).first()
+        level = (share * total - full) / open_ if open_ else level
+    target = F.least("cap", F.lit(level) * F.col("w"))
+    by_source = rated.select("sources", "source_size", target.alias("target"))
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+    shares = by_source.withColumn("whole", whole).select("sources", "whole", F.when(F.col("source_size") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0).alias("rest"))
+    return shares, by_source
+
+
+def planned(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(plan, by_source, side) of a table with quill_sources, quill_key and size.
+
+    plan: quill_pattern, quill_whole (copies of each of its documents), quill_last (documents up to this digest give one more) and quill_most. by_source: each source's size and
+    target. side: how the plan is joined, as a broadcast where the number of patterns is bounded.
+    """
+    spark = sized.sparkSession
+    patterns = sized.groupBy("quill_sources").agg(F.sum("size").alias("size"))
+    counts = patterns.limit(MOST_PATTERNS + 1).collect()
+    few = len(counts) <= MOST_PATTERNS
+    side = F.broadcast if few else lambda d: d
+    shares, by_source = flow_shares(spark, counts, weights, share, most) if few else apart_shares(store.write(patterns, "patterns"), weights, share, most)
     # units are put in the digest's order; one is taken once more if the cut lies behind its middle, so those taken are the first ones
     ranges = sized.groupBy("quill_sources", F.substring("quill_key", 1, 3).alias("range")).agg(F.sum("size").alias("n"))
-    ranges = ranges.withColumn("after", F.expr("sum(n) over (partition by quill_sources order by range rows unbounded preceding)")).join(shares, F.col("quill_sources").eqNullSafe(F.col("sources"))).drop("sources")
+    ranges = ranges.withColumn("after", F.expr("sum(n) over (partition by quill_sources order by range rows unbounded preceding)")).join(side(shares), F.col("quill_sources").eqNullSafe(F.col("sources"))).drop("sources")
     ranges = store.write(ranges.withColumn("before", F.col("after") - F.col("n")), "ranges")
     cut = ranges.where("before < rest and after > rest").select(F.col("quill_sources").alias("sources"), F.col("range").alias("cut"), "before", "rest")
-    inside = sized.join(F.broadcast(cut), F.col("quill_sources").eqNullSafe(F.col("sources")) & (F.substring("quill_key", 1, 3) == F.col("cut")))
+    inside = sized.join(side(cut), F.col("quill_sources").eqNullSafe(F.col("sources")) & (F.substring("quill_key", 1, 3) == F.col("cut")))
     units = inside.groupBy("quill_sources", "quill_key", "before", "rest").agg(F.sum("size").alias("n"))
     units = units.withColumn("sum", F.expr("before + sum(n) over (partition by quill_sources order by quill_key rows unbounded preceding)"))
     within = units.where("2 * sum - n <= 2 * rest").groupBy("quill_sources").agg(F.max("quill_key").alias("last"))
     # a range that is taken whole: all digests that begin with its three digits come before its name and a g
     whole = ranges.where("after <= rest").groupBy("quill_sources").agg(F.max(F.concat("range", F.lit("g"))).alias("last"))
     last = whole.unionByName(within).groupBy("quill_sources").agg(F.max("last").alias("quill_last"))
-    plan = shares.join(last, F.col("quill_sources").eqNullSafe(F.col("sources")), "left")
+    plan = side(shares).join(last, F.col("quill_sources").eqNullSafe(F.col("sources")), "left")
     plan = plan.select(F.col("sources").alias("quill_pattern"), F.col("whole").alias("quill_whole"), "quill_last", F.lit(most).alias("quill_most"))
-    return store.write(plan, "plan"), dict(sizes), wanted
+    return store.write(plan, "plan"), by_source, side
 
 
-def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED) -> tuple[DataFrame, dict, dict]:
-    """(doc_id, sources, size and copies of every row; the sources' sizes; their targets). sources: an array column."""
+def mixed(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sources, size and copies of every row; each source's size and target). sources: an array column."""
     size = F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)").alias("size")
     sized = store.write(marked(docs.select("doc_id", "text", sources.alias("quill_in")), F.col("quill_in"), seed).select("doc_id", "quill_sources", size, "quill_key"), "sized")
-    plan, sizes, wanted = planned(sized, weights, share, most)
-    taken = copies_of(plan, sized, F.col("size") > 0)
-    return taken.select("doc_id", F.col("quill_sources").alias("sources"), "size", F.col("quill_copies").alias("copies")), sizes, wanted
+    plan, by_source, side = planned(sized, weights, share, most)
+    taken = copies_of(plan, sized, F.col("size") > 0, side)
+    return taken.select("doc_id", F.col("quill_sources").alias("sources"), "size", F.col("quill_copies").alias("copies")), by_source
+
+
+def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED) -> tuple[DataFrame, dict, dict]:
+    """As mixed(), with the sources' sizes and targets as dictionaries, for callers who know that their sources are few."""
+    taken, by_source = mixed(docs, sources, weights, share, most, seed)
+    rows = by_source.collect()
+    return taken, {r["sources"][0]: r["source_size"] for r in rows}, {r["sources"][0]: r["target"] for r in rows}
 
 
 def mixed_documents(docs: DataFrame, sources: Column | None = None) -> DataFrame:
@@ -190,8 +242,8 @@ def mixed_documents(docs: DataFrame, sources: Column | None = None) -> DataFrame
     sources = F.array("source") if sources is None else sources
     size = F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)").alias("size")
     sized = store.write(marked(docs, sources).select("quill_sources", "quill_key", size), "sized")
-    plan, _, _ = planned(sized)
-    taken = copies_of(plan, marked(docs, sources), F.coalesce(F.col("text").rlike(WORD.replace("\\\\", "\\")), F.lit(False))).where("quill_copies > 0")
+    plan, _, side = planned(sized)
+    taken = copies_of(plan, marked(docs, sources), F.coalesce(F.col("text").rlike(WORD.replace("\\\\", "\\")), F.lit(False)), side).where("quill_copies > 0")
     return taken.withColumn("quill_copy", F.explode(F.sequence(F.lit(1), "quill_copies"))).select(docs.columns)
 
 
@@ -201,15 +253,14 @@ def mix_overlapping_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     Returns doc_id, n_sources, size and taken; sources may be null.
     """
     docs = store.read(spark, sf_dir, "documents")
-    taken, _, _ = mix(docs, F.array(F.concat(F.lit("source "), "source"), F.concat(F.lit("language "), "lang")))
+    taken, _ = mixed(docs, F.array(F.concat(F.lit("source "), "source"), F.concat(F.lit("language "), "lang")))
     return taken.select("doc_id", F.size("sources").cast("long").alias("n_sources"), "size", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken, sizes, wanted = mix(store.read(spark, sf_dir, "documents"), F.array("source"))
-    by_source = spark.createDataFrame([(s, int(n), round(wanted[s], 6)) for s, n in sizes.items()], "source string, source_size long, target double")
-    by_source = by_source.select(F.array("source").alias("sources"), "source_size", "target")
-    return taken.join(by_source, "sources").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    taken, by_source = mixed(store.read(spark, sf_dir, "documents"), F.array("source"))
+    rounded = by_source.withColumn("target", F.round("target", 6))
+    return taken.join(rounded, "sources").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP3_SQL = r"""

@@ -244,3 +244,23 @@ def test_op10_probabilities_sum_to_one_with_other_odds():
     for odds in (0.2, 3.0):
         p = np.exp([net.log_probs(h, np.array([k]), odds)[0] for k in range(8)])
         assert p.sum() == pytest.approx(1) and p[0] / p[3] == pytest.approx(odds * plain[0] / plain[3], rel=1e-4)
+
+
+# --- op3
+
+
+def test_op3_without_a_bound_on_sources(spark, tmp_path, monkeypatch):
+    """More sources than the flow takes: the same rows as by the flow."""
+    from quillspark.llm import mixing
+
+    source = lambda k: None if k % 31 == 0 else f"s{k % 23}" if k % 3 else "hot"
+    rows = [(k, " ".join(["w"] * R.randrange(0, 90)) if k % 17 else None, "en", source(k)) for k in range(700)] + [(None, "a b", "en", "s1"), (5, "x", "en", "hot"), (900, "", "en", "empty")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2, "y") for r in rows], MIXED)
+    d = saved(docs, tmp_path, "documents")
+    want = sorted(map(str, mixing.op3_mix_sources(spark, d).collect()))
+    kept = sorted(map(str, mixing.mixed_documents(docs).collect()))
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 4)
+    assert sorted(map(str, mixing.op3_mix_sources(spark, d).collect())) == want and len(want) == len(rows)
+    assert sorted(map(str, mixing.mixed_documents(docs).collect())) == kept
+    with pytest.raises(ValueError, match="share documents"):
+        mixing.mix_overlapping_sources(spark, d)
