@@ -35,8 +35,10 @@ from . import store
 from .words import U, Words, mix, signed, slices
 
 VOCABULARY, CLASSES, HIDDEN, EMBEDDED = 4000, 40, 16, 16
-#: Share of the training documents that the network is fitted on (all), its rounds, words in a truncated step, and documents side by side: few, so that small inputs make updates enough.
-SHARE, ROUNDS, STEPS, LANES, AHEAD = 1.0, 3, 24, 16, 2048
+#: Share of the training documents that the network is fitted on (all), its rounds, words in a truncated step, and documents side by side at most.
+SHARE, ROUNDS, STEPS, LANES, AHEAD = 1.0, 3, 24, 256, 2048
+#: Fewer documents go side by side, down to so many, where a trainer would not make so many updates.
+FEWEST_LANES, UPDATES = 16, 600
 #: One training document in so many only judges whether a round has helped.
 JUDGES = 32
 TRAINER_TOKENS, RATE, FAN_IN = 3_000_000, 0.3, 16
@@ -408,7 +410,7 @@ def training_documents(batches: Iterator[pa.RecordBatch], symbols: Symbols, shar
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.int64())], ["draw", "ids", "n"])
 
 
-def trainer_of(counts: np.ndarray, weights):
+def trainer_of(counts: np.ndarray, weights, lanes: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = np.dtype(np.uint16 if len(counts) <= 1 << 16 else np.int32)
         n = 0
@@ -422,7 +424,7 @@ def trainer_of(counts: np.ndarray, weights):
                     yield np.append(np.int32(END), own.astype(np.int32))
 
         network = Network(counts).unpack(np.frombuffer(weights.value, np.float32))
-        network.train(documents())
+        network.train(documents(), lanes=lanes)
         if n:
             yield pa.RecordBatch.from_pylist([{"trainer": TaskContext.get().partitionId(), "n": n, "weights": network.packed()}], WEIGHTS)
 
@@ -470,11 +472,12 @@ def fit(documents: DataFrame, counts: np.ndarray, tokens: int, rounds: int = ROU
         return [r["loss"] for r in sorted(found, key=lambda r: r["candidate"])] or [0.0] * len(candidates)
 
     best = judged([network.packed()])[0] if tokens else 0.0
-    trainers = max(1, tokens // (rounds * TRAINER_TOKENS))
+    trainers = max(1, tokens // (rounds * TRAINER_TOKENS)) if tokens else 1
+    lanes = min(LANES, max(FEWEST_LANES, tokens // (max(1, rounds) * trainers * STEPS * UPDATES)))
     for k in range(rounds if tokens else 0):
         weights = spark.sparkContext.broadcast(network.packed())  # a fixed size: it follows from the vocabulary and layers
         mine = documents.where(F.col("draw") % rounds == k).repartition(trainers, "draw").sortWithinPartitions("draw", "ids")
-        got, left = mine.mapInArrow(trainer_of(counts, weights), WEIGHTS_DDL), trainers
+        got, left = mine.mapInArrow(trainer_of(counts, weights, lanes), WEIGHTS_DDL), trainers
         while left > FAN_IN**2:
             left = -(-left // FAN_IN)
             got = got.groupBy(F.floor(F.col("trainer") / FAN_IN)).applyInPandas(averaged, WEIGHTS_DDL)
