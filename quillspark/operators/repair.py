@@ -1,7 +1,7 @@
 """The repair loop: drafts that fail their checks are rewritten once, sanitised and checked again.
 
-The checks' reports are written before their verdicts send rows two ways, and the rewritten drafts before anything reads them, so each draft is
-checked once and each failing one is sent out once. Only failing drafts take the second way; the others stay as they are.
+The drafts are written before their checks read them, the checks' reports before their verdicts send rows two ways, and the rewritten and sanitised drafts
+before anything reads them, so each draft is made and checked once and each failing one is sent out once. Only failing drafts take the second way; the others stay as they are.
 """
 
 from __future__ import annotations
@@ -42,16 +42,16 @@ def repaired_letters(
     A draft whose verdict is FAIL goes to the chain with its sources and its report; the answer is sanitised and checked anew, and its verdict counts. Where no provider answers,
     the draft and its report stay and repair_error says why. status: failed if the last verdict is FAIL, else completed. Letters of null are empty.
     """
-    drafts = letters.withColumn(text, F.coalesce(text, F.lit("")))
+    drafts = T.written(letters.withColumn(text, F.coalesce(text, F.lit(""))), "drafts")  # the checks and the rows that they join both read them
     _, report = S.check_letters(drafts, sources, key, text, kind, source_text)
     checked = T.written(drafts.join(report, key), "checked")
     failing = checked.where("verdict = 'FAIL'").join(contexts(sources, key, kind, source_text), key, "left")
     safety = F.to_json(F.struct("verdict", "issues"))
     prompt = repair_prompt(task, dict(zip(PARTS, (F.col(text), F.col("quill_case"), F.col("quill_policy"), F.col("quill_article"), safety), strict=True)), closing)
     asked = G.answered(failing, cache, chain, F.lit(system), prompt, batch, REPAIR_TEMPERATURE, tasks, wait)
-    answers = T.written(asked.select(*checked.columns, F.col("response").alias("quill_response"), F.col("error").alias("repair_error")), "repaired")
+    answers = T.written(asked.select(*checked.columns, S.sanitized("response").alias("quill_response"), F.col("error").alias("repair_error")), "repaired")
 
-    again = answers.where("quill_response is not null").select(*letters.columns, "quill_response").withColumn(text, S.sanitized("quill_response")).drop("quill_response")
+    again = answers.where("quill_response is not null").select(*letters.columns, "quill_response").withColumn(text, F.col("quill_response")).drop("quill_response")
     mine = sources.join(again.select(key), key, "left_semi")
     _, report_again = S.check_letters(again, mine, key, text, kind, source_text)
     outcome = lambda rows, tried, before, error: rows.withColumns({"repair_attempted": F.lit(tried), "pre_repair_verdict": before.cast("string"), "repair_error": error.cast("string")})

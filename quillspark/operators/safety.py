@@ -6,8 +6,6 @@ code, severity, message and evidence.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,62 +36,82 @@ def placeholders(text: Column | str, allowed: str = P.ALLOWED_BRACKET) -> Column
     return F.filter(F.transform(X.all_matches(text, BRACKET, 1), lambda x: X.trimmed(x)), lambda x: ~x.rlike(allowed))
 
 
-def _issues(rows: DataFrame, key: str, order: int, code: str, severity: str, evidence: Column) -> DataFrame:
-    before, found, after = MESSAGES[code].partition("{}")
-    message = F.concat(F.lit(before), evidence, F.lit(after)) if found else F.lit(before)
-    fixed = (F.lit(order).alias("class_order"), F.col("at").cast("int").alias("at"), F.lit(code).alias("code"), F.lit(severity).alias("severity"))
-    return rows.select(key, *fixed, message.alias("message"), evidence.alias("evidence"))
+def found(order: int, code: str, severity: str, evidence: Column) -> Column:
+    """An array of issues, one for each element of an array of evidence."""
+    before, shown, after = MESSAGES[code].partition("{}")
 
+    def issue(x: Column, at: Column) -> Column:
+        message = F.concat(F.lit(before), x, F.lit(after)) if shown else F.lit(before)
+        return F.struct(F.lit(order).alias("class_order"), at.cast("int").alias("at"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), x.alias("evidence"))
 
-def placeholder_issues(letters: DataFrame, key: str, text: str, allowed: str = P.ALLOWED_BRACKET) -> DataFrame:
-    rows = letters.select(key, F.posexplode(placeholders(text, allowed)).alias("at", "x"))
-    return _issues(rows, key, 0, "UNRESOLVED_PLACEHOLDER", "error", F.concat(F.lit("["), "x", F.lit("]")))
+    return F.transform(evidence, issue)
 
 
-def citation_issues(letters: DataFrame, counts: DataFrame, key: str, text: str, order: int = 1, kind: str = "GUIDELINE", named: str | None = None) -> DataFrame:
-    """Citations outside 1..n of the case's n sources; for plain [n], also sources without any citation. counts: key, n."""
-    rows = letters.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), X.citations(text, named).alias("refs"))
-    number = F.expr("try_cast(x as decimal(38,0))")
-    bad = rows.select(key, "n", F.posexplode("refs").alias("at", "x")).where(number.isNull() | (number < 1) | (number > F.col("n")))
-    shown = F.coalesce(number.cast("string"), "x")
-    out = _issues(bad, key, order, f"INVALID_{kind}_CITATION", "error", F.concat(F.lit(f"[{named} " if named else "["), shown, F.lit("]")))
+def placeholders_found(brackets: Column) -> Column:
+    return found(0, "UNRESOLVED_PLACEHOLDER", "error", F.transform(brackets, lambda x: F.concat(F.lit("["), x, F.lit("]"))))
+
+
+def citations_found(refs: Column, n: Column, order: int = 1, kind: str = "GUIDELINE", named: str | None = None) -> Column:
+    """Citations outside 1..n of the case's n sources; for plain [n], also sources without any citation."""
+    number = lambda x: x.try_cast("decimal(38,0)")
+    bad = lambda x: number(x).isNull() | (number(x) < 1) | (number(x) > n)
+    shown = lambda x: F.concat(F.lit(f"[{named} " if named else "["), F.coalesce(number(x).cast("string"), x), F.lit("]"))
+    out = F.filter(found(order, f"INVALID_{kind}_CITATION", "error", F.transform(refs, lambda x: F.when(bad(x), shown(x)))), lambda i: i["evidence"].isNotNull())
     if named:
         return out
-    none = rows.where((F.col("n") > 0) & (F.size("refs") == 0)).withColumn("at", F.lit(0))
-    return out.unionByName(_issues(none, key, order, f"MISSING_{kind}_CITATIONS", "warning", F.lit(None).cast("string")))
+    none = found(order, f"MISSING_{kind}_CITATIONS", "warning", F.array(F.lit(None).cast("string")))
+    return F.concat(out, F.filter(none, lambda _: (n > 0) & (F.size(refs) == 0)))
+
+
+def placeholder_issues(letters: DataFrame, key: str, text: str, allowed: str = P.ALLOWED_BRACKET) -> DataFrame:
+    return letters.select(key, F.inline(placeholders_found(placeholders(text, allowed))))
+
+
+def citation_issues(letters: DataFrame, counts: DataFrame, key: str, text: str, order: int = 1, kind: str = "GUIDELINE", named: str | None = None) -> DataFrame:
+    """citations_found() as rows. counts: key, n."""
+    rows = letters.select(key, X.citations(text, named).alias("refs")).join(counts, key, "left")
+    return rows.select(key, F.inline(citations_found(F.col("refs"), F.coalesce("n", F.lit(0)), order, kind, named)))
+
+
+def held(claim: str, source: str) -> Column:
+    """Whether a source holds a claim, word by word or in order within a window; both normalized."""
+    return F.contains(F.col(source), F.col(claim)) | X.has_ordered_window(X.grounding_tokens(claim), X.grounding_tokens(source))
 
 
 def ungrounded(claims: DataFrame, sources: DataFrame, key: str, claim: str, text: str) -> DataFrame:
     """Claims that no source of their key holds, word by word or in order within a window. An equi-join on the key, then the tests."""
     c = claims.withColumn("quill_claim", X.grounding_normalized(claim))
     s = sources.select(key, X.grounding_normalized(text).alias("quill_source"))
-    holds = F.contains("quill_source", F.col("quill_claim")) | X.has_ordered_window(X.grounding_tokens("quill_claim"), X.grounding_tokens("quill_source"))
     real = c.where("quill_claim <> ''")
-    met = real.join(s, key).where(holds).select(key, claim).distinct()
+    met = real.join(s, key).where(held("quill_claim", "quill_source")).select(key, claim).distinct()
     return real.join(met, [key, claim], "left_anti").drop("quill_claim")
 
 
-def quote_issues(letters: DataFrame, sources: DataFrame, key: str, text: str, source_text: str) -> DataFrame:
-    claims = letters.select(key, F.posexplode(F.filter(X.quotes(text), lambda q: X.needs_grounding(q, P.HEADING_QUOTE, P.CLINICAL_CLAIM))).alias("at", "x"))
-    return _issues(ungrounded(claims, sources, key, "x", source_text), key, 3, "UNGROUNDED_QUOTE", "warning", F.col("x"))
-
-
-def number_issues(letters: DataFrame, sources: DataFrame, key: str, text: str, source_text: str, pattern: str = P.NUMERIC_FACT) -> DataFrame:
-    claims = letters.select(key, F.posexplode(X.numeric_facts(text, pattern)).alias("at", "x"))
-    return _issues(ungrounded(claims, sources, key, "x", source_text), key, 4, "UNGROUNDED_NUMERIC_CLAIM", "warning", F.col("x"))
-
-
 def check_letters(letters: DataFrame, sources: DataFrame, key: str, text: str, kind: str = "kind", source_text: str = "source_text") -> tuple[DataFrame, DataFrame]:
-    """(issues, reports): reports have the verdict, five checks and the issues in order for every letter, also those without issues."""
-    n_of = lambda k: sources.where(F.col(kind) == k).groupBy(key).agg(F.count("*").alias("n"))
-    found = [
-        placeholder_issues(letters, key, text),
-        citation_issues(letters, n_of("policy"), key, text),
-        citation_issues(letters, n_of("article"), key, text, 2, "PUBMED", "PubMed"),
-        quote_issues(letters, sources, key, text, source_text),
-        number_issues(letters, sources, key, text, source_text),
-    ]
-    issues = reduce(DataFrame.unionByName, found)
+    """(issues, reports): reports have the verdict, five checks and the issues in order for every letter (one row a key), also those without issues.
+
+    A letter is read once, in place: what is shuffled is what its checks found, and claims meet the sources of their key.
+    """
+    quotes = F.filter(X.quotes(text), lambda q: X.needs_grounding(q, P.HEADING_QUOTE, P.CLINICAL_CLAIM))
+    read = letters.select(key, *(c.alias(f"quill_{n}") for n, c in {
+        "brackets": placeholders(text), "refs": X.citations(text), "pubmed": X.citations(text, "PubMed"), "quotes": quotes, "numbers": X.numeric_facts(text, P.NUMERIC_FACT),
+    }.items()))
+    n_of = lambda k: F.count_if(F.col(kind) == k)
+    read = read.join(sources.groupBy(key).agg(n_of("policy").alias("quill_policies"), n_of("article").alias("quill_articles")), key, "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    issues = F.concat(
+        placeholders_found(F.col("quill_brackets")),
+        citations_found(F.col("quill_refs"), n("quill_policies")),
+        citations_found(F.col("quill_pubmed"), n("quill_articles"), 2, "PUBMED", "PubMed"),
+        found(3, "UNGROUNDED_QUOTE", "warning", F.col("quill_quotes")),
+        found(4, "UNGROUNDED_NUMERIC_CLAIM", "warning", F.col("quill_numbers")),
+    )
+    rows = read.select(key, F.inline(issues))
+    rows = rows.withColumn("quill_claim", X.grounding_normalized(F.when(F.startswith("code", F.lit("UNGROUNDED")), F.col("evidence"))))
+    s = sources.select(F.col(key).alias("quill_key"), X.grounding_normalized(source_text).alias("quill_source"))
+    pairs = rows.where("quill_claim is null or quill_claim <> ''").join(s, (F.col(key) == F.col("quill_key")) & F.col("quill_claim").isNotNull(), "left")
+    met = F.bool_or(F.coalesce(held("quill_claim", "quill_source"), F.lit(False)))
+    issues = pairs.groupBy(*(c for c in rows.columns if c != "quill_claim")).agg(met.alias("quill_met")).where("not quill_met").drop("quill_met")
     return issues, report(letters.select(key), issues, key)
 
 

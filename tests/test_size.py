@@ -3,9 +3,13 @@
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from quillspark.operators import evidence as V
+from quillspark.operators import generation as G
+from quillspark.operators import repair as R
+from quillspark.operators import safety as S
 from quillspark.profiles import PLAIN
 
 
@@ -36,3 +40,16 @@ def test_offsets_of_a_repeating_run(spark):
     notes = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = [(r["start"], r["end"]) for r in V.spans(notes, "doc_id", "text", PLAIN, offsets=True).collect()]
     assert got == [m.span() for m in re.finditer(PLAIN.span, text)] and text.find(text[got[1][0] : got[1][1]], got[0][1]) < got[1][0]
+
+
+def test_letters_are_made_once(spark, tmp_path):
+    def made(check):
+        n = spark.sparkContext.accumulator(0)
+        letter = F.udf(lambda i: n.add(1) or f'"severe pain {i}" for 9 weeks [3] [INSERT NAME]')
+        check(spark.range(20).select("id", letter("id").alias("letter")))
+        return n.value
+
+    sources = spark.createDataFrame([(i, "case", f"severe pain {i}") for i in range(20)], "id long, kind string, source_text string")
+    assert made(lambda letters: S.check_letters(letters.select("id", "letter"), sources, "id", "letter")[0].collect()) <= 20
+    chain = [G.Provider("p", lambda system, prompt, temperature: "short")]
+    assert made(lambda letters: R.repaired_letters(letters, sources, "id", "letter", chain, f"file://{tmp_path}", "1", "", "", "").collect()) <= 20
