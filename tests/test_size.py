@@ -10,6 +10,7 @@ from quillspark.operators import evidence as V
 from quillspark.operators import generation as G
 from quillspark.operators import repair as R
 from quillspark.operators import safety as S
+from quillspark.operators import search as Q
 from quillspark.profiles import PLAIN
 
 
@@ -53,3 +54,22 @@ def test_letters_are_made_once(spark, tmp_path):
     assert made(lambda letters: S.check_letters(letters.select("id", "letter"), sources, "id", "letter")[0].collect()) <= 20
     chain = [G.Provider("p", lambda system, prompt, temperature: "short")]
     assert made(lambda letters: R.repaired_letters(letters, sources, "id", "letter", chain, f"file://{tmp_path}", "1", "", "", "").collect()) <= 20
+
+
+def test_vector_search_takes_few_rows_at_a_time(spark, monkeypatch):
+    v = spark.range(3000).selectExpr("id as vec_id", "id % 3 as label", "array(float(id % 7), float(id % 11), 1f) as embedding")
+    q = v.where("vec_id % 100 = 0").selectExpr("vec_id as q_id", "embedding as q")
+    find, rows = map_function(monkeypatch, lambda: Q.vector_topk(v, q, "embedding", "q", "q_id", "label", "vec_id"))
+    sizes = []
+    add = Q.Best.add
+    monkeypatch.setattr(Q.Best, "add", lambda self, scores, *a: sizes.append(len(scores)) or add(self, scores, *a))
+    assert sum(b.num_rows for b in find(rows.coalesce(1).toArrow().combine_chunks().to_batches())) >= 30 * 3
+    assert sum(sizes) == 3000 and max(sizes) <= Q.ROWS_AT_ONCE
+
+
+def test_windows_are_found_in_place(spark):
+    quotes = spark.createDataFrame([(1, "a b c d".split()), (2, "a b c".split()), (3, "d c b a".split())], "item_id long, q array<string>")
+    sources = spark.createDataFrame([(i, ["x"] * i + ["a", "b", "x", "c", "d"]) for i in range(50)] + [(99, None)], "doc_id long, s array<string>")
+    out = Q.window_join(quotes, sources, "item_id", "doc_id", "q", "s")
+    assert {tuple(r) for r in out.collect()} == {(1, i) for i in range(50)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
