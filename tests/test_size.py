@@ -1,6 +1,8 @@
 """What tasks hold and how often steps run, where results alone don't show it."""
 
+import random
 import re
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from quillspark.operators import generation as G
 from quillspark.operators import repair as R
 from quillspark.operators import safety as S
 from quillspark.operators import search as Q
-from quillspark.profiles import PLAIN
+from quillspark.profiles import PLAIN, SPAN
 
 
 def map_function(monkeypatch, make):
@@ -73,3 +75,17 @@ def test_windows_are_found_in_place(spark):
     out = Q.window_join(quotes, sources, "item_id", "doc_id", "q", "s")
     assert {tuple(r) for r in out.collect()} == {(1, i) for i in range(50)}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_runs_are_matched_in_one_go(spark):
+    r = random.Random(3)
+    texts = ["".join("".join(r.choices("aé🙂1 ", k=r.choice((3, 7, 8, 200, 259, 260, 261, 262, 700)))) + r.choice([".", "!", "\n", ":", "", ".."]) for _ in range(6)) for _ in range(60)]
+    texts += ["", "x" * 260, "x" * 261, "x" * 261 + "\n", "x" * 300 + "."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", V.span_matches("t").alias("m"), V.span_offsets("t").alias("o"))
+    got = {x["id"]: (x["m"], [(o["start"], o["end"]) for o in x["o"]]) for x in rows.collect()}
+    pattern = re.compile(SPAN.replace("(?d)", ""))
+    assert got == {i: (pattern.findall(t), [m.span() for m in pattern.finditer(t)]) for i, t in enumerate(texts)}
+    one = spark.createDataFrame([("x" * 4_000_000,)], "t string")
+    began = time.perf_counter()
+    assert len(one.select(F.element_at(V.span_matches("t"), 1).alias("m")).first()["m"]) == 260
+    assert time.perf_counter() - began < 8
