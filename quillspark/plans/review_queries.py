@@ -13,7 +13,7 @@ from quillspark.operators import evaluation as E
 from quillspark.operators import evidence as V
 from quillspark.operators import history as H
 from quillspark.operators import safety as S
-from quillspark.plans.queries import query, table
+from quillspark.plans.queries import query, spread, table
 from quillspark.profiles import CLINICAL_CLAIM, HEADING_QUOTE
 from quillspark.sources import documents as D
 
@@ -48,7 +48,8 @@ def coded(x: str, pattern: str) -> str:
 
 
 def built(spark, d, name: str, key: str, **columns: str) -> DataFrame:
-    return table(spark, d, name).select(key, *(F.expr(e).alias(c) for c, e in columns.items()))
+    # a few columns of a small file become long texts: dealt out before they are built
+    return spread(table(spark, d, name)).select(key, *(F.expr(e).alias(c) for c, e in columns.items()))
 
 
 DENIAL = """concat('Payer: **Acme ', c_mktsegment, '**,', chr(10), 'Patient Name: ', c_name, chr(10), '  member id: M-', c_custkey, ' ;', chr(10), 'DOB: ', c_custkey % 12 + 1, '/', c_custkey % 28 + 1, '/', 60 + c_custkey % 40, chr(10),

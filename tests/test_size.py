@@ -13,6 +13,7 @@ from quillspark.operators import generation as G
 from quillspark.operators import repair as R
 from quillspark.operators import safety as S
 from quillspark.operators import search as Q
+from quillspark.plans import review_queries
 from quillspark.profiles import PLAIN, SPAN
 
 
@@ -89,3 +90,10 @@ def test_long_runs_are_matched_in_one_go(spark):
     began = time.perf_counter()
     assert len(one.select(F.element_at(V.span_matches("t"), 1).alias("m")).first()["m"]) == 260
     assert time.perf_counter() - began < 8
+
+
+def test_built_texts_keep_all_cores_busy(spark, tmp_path):
+    spark.range(2000).selectExpr("id as c_custkey", "concat('Customer ', id) as c_name", "'BUILDING' as c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("denial_profile", "note_profile"):
+        out = getattr(review_queries, name)(spark, f"file://{tmp_path}")
+        assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 2000
