@@ -36,6 +36,8 @@ from . import store
 from .words import U, Words, joined, lists, mix, shingles, signed, slices
 
 SHINGLE, SIMILARITY = 5, 0.75
+#: What tells a shingle set.
+KEY = ["set1", "set2", "n_shingles"]
 BINS, ROWS, MOST_SIGNS = 128, 4, 40
 #: Classes in a bucket that are paired as rows; shingles in a block of a larger one; block pairs in a task.
 SMALL, BLOCK_SHINGLES, PAIRS_A_TASK = 16, 80_000, 8
@@ -114,16 +116,22 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' full sets are similar enough. A hub's text goes once to each HUB_PAIRS or so of its pairs, not to all of them in one task."""
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("quill_text"))
+    """The pairs (a, b) of doc_ids whose texts' full sets are similar enough; pairs: a written table. Only texts that are in a pair are shuffled.
+
+    A hub's text goes once to each HUB_PAIRS or so of its pairs, not to all of them in one task.
+    """
+    texts = lambda c: docs.select(F.col("doc_id").alias("id"), F.col("text").alias("quill_text")).join(pairs.select(F.col(c).alias("id")), "id", "left_semi")
     large = store.write(pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")).where("salts > 1"), "hubs")
     salts = F.coalesce("salts", F.lit(1))
     salted = pairs.join(large, pairs["a"] == large["hub"], "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
-    hubs = texts.join(large, texts["id"] == large["hub"], "left").select("id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("part"), "quill_text")
-    left = salted.join(hubs, (F.col("a") == F.col("id")) & (F.col("salt") == F.col("part"))).select("a", "b", F.col("quill_text").alias("text_a"))
-    both = left.join(texts, left["b"] == texts["id"]).select("a", "b", "text_a", F.col("quill_text").alias("text_b"))
+    hubs = texts("a").join(large, F.col("id") == large["hub"], "left").select("id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("part"), "quill_text")
+    # of one kind at every size: the texts meet their pairs by a shuffle
+    left = salted.hint("merge").join(hubs, (F.col("a") == F.col("id")) & (F.col("salt") == F.col("part"))).select("a", "b", F.col("quill_text").alias("text_a"))
+    both = left.hint("merge").join(texts("b"), left["b"] == F.col("id")).select("a", "b", "text_a", F.col("quill_text").alias("text_b"))
     check = F.arrow_udf(similar, T.BooleanType()).asNondeterministic()
-    return both.select("a", "b", check("text_a", "text_b").alias("ok")).where("ok").select("a", "b")
+    out = store.write(both.select("a", "b", check("text_a", "text_b").alias("ok")).where("ok").select("a", "b"), "links")
+    store.drop(large)
+    return out
 
 
 def set_of(text: pa.Array) -> pa.Array:
@@ -177,50 +185,71 @@ def links_in_blocks(groups: DataFrame, docs: DataFrame) -> DataFrame:
     blocks = store.write(blocks, "blocks")
     numbers = blocks.select("hub", "block")
     x, y = numbers.withColumnRenamed("block", "a"), numbers.withColumnRenamed("block", "b")
-    pairs = store.write(x.join(y, "hub").where("a <= b"), "pairs")
+    pairs = numbered = store.write(x.join(y, "hub").where("a <= b"), "pairs")
     tasks = max(1, -(-pairs.count() // PAIRS_A_TASK))
     for s in "ab":
         pairs = pairs.join(blocks.select("hub", F.col("block").alias(s), F.col("members").alias(f"members_{s}")), ["hub", s])
-    return store.write(pairs.repartition(tasks, "hub", "a", "b").mapInArrow(compare_blocks, "a long, b long"), "links")
+    out = store.write(pairs.repartition(tasks, "hub", "a", "b").mapInArrow(compare_blocks, "a long, b long"), "links")
+    store.drop(placed, blocks, numbered)
+    return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) for every row."""
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches, named): the written tables of every row's sketch and of each shingle set's component; all others are gone when this returns."""
     keyed = store.write(docs.select("doc_id", sketches("text").alias("s")).select("doc_id", "s.*"), "sketches")
-    key = ["set1", "set2", "n_shingles"]
     classes = store.write(
-        keyed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("bits1", "bits2", "bands"))), "classes"
+        keyed.where("n_shingles > 0 and doc_id is not null").groupBy(*KEY).agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("bits1", "bits2", "bands"))), "classes"
     )
     buckets = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    stars = buckets.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = store.write(stars, "stars")
-    links = store.write(verified(stars, docs), "links")
+    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # most buckets hold one class and end here: what follows is about the others' members. Of one kind at every size
+    shared = store.write(buckets.join(hubs.hint("merge"), "band").select("band", "rep", "hub", "n"), "shared")
+    stars = store.write(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    links = verified(stars, docs)
     label = store.components(links)
     # what is left: buckets that hold members of several components
-    member = classes.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "bits1", "bits2", F.coalesce("component", "rep").alias("label"), F.explode("bands").alias("band"))
-    mixed = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("hub"), F.count("*").alias("n")).where("low < high").select("band", "hub", "n")
-    rest = store.write(member.join(mixed, "band"), "rest")
+    member = store.write(shared.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", "hub", "n", F.coalesce("component", "rep").alias("label")), "member")
+    store.drop(shared, label)
+    mixed = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    rest = store.write(member.join(mixed, "band", "left_semi").join(classes.select("rep", "n_shingles", "bits1", "bits2"), "rep"), "rest")
+    store.drop(member)
     x, y = rest.where(f"n <= {SMALL}").alias("x"), rest.where(f"n <= {SMALL}").alias("y")
     differ = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2")))
     across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (differ <= MOST_SIGNS))
     across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = store.write(verified(store.write(across, "across"), docs), "links")
+    across = store.write(across, "across")
+    store.drop(stars)
+    more = verified(across, docs)
     large = links_in_blocks(rest.where(f"n > {SMALL}").select("hub", "rep", "label", "n_shingles").distinct(), docs)
+    store.drop(across, rest)
     final = store.components(links.unionByName(more).unionByName(large))
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    store.drop(links, more, large)
+    named = store.write(classes.join(final, F.col("rep") == F.col("node"), "left").select(*KEY, F.coalesce("component", "rep").alias("component")), "named")
+    store.drop(classes, final)
+    return keyed, named
+
+
+def rows_of(keyed: DataFrame, named: DataFrame) -> DataFrame:
     linked = F.expr("n_shingles > 0 and doc_id is not null")
-    found = keyed.where(linked).join(named, key).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    found = keyed.where(linked).join(named, KEY).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     # texts without words take no part in the join, where they would all have one key
     return found.unionByName(keyed.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) for every row."""
+    return rows_of(*classed(docs))
+
+
 def filter_documents(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, with all its columns. Rows that share a doc_id count as one document."""
-    found = near_duplicates(docs)
-    kept = store.write(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if kept.where("n > 1").limit(1).count():
+    keyed, named = classed(docs)
+    fates = rows_of(keyed, named).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n")).where("n <> 1")
+    # the few that go, not the many that stay, are what the documents are joined with
+    fates = store.write(fates, "fates")
+    store.drop(keyed, named)
+    out = docs.where("doc_id is not null").join(fates.where("n = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if fates.where("n > 1").limit(1).count():
         # of rows that share a doc_id the least by text, then by all columns
         first = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*(docs[c] for c in docs.columns))))
         out = out.withColumn("quill_n", F.row_number().over(first)).where("quill_n = 1").drop("quill_n")

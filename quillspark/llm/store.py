@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark removes the shuffle files of what it writes as soon as that is written, and not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors. Spark removes it at its end. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    with shuffles_end(spark):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path).alias(name)
@@ -41,7 +56,8 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     table = f"quill_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
     buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    with shuffles_end(spark):
+        df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.table(table)
@@ -49,13 +65,13 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     return out.alias(name)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table that write() made and that no later step reads."""
-    spark = df.sparkSession
-    paths = {os.path.dirname(f) for f in df.inputFiles()}
-    for path in paths:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that write() or write_bucketed() made, or all of whose rows lie in such ones, and that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -268,27 +268,32 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("key"))
     surveyed = store.write(docs.select("doc_id", "key", udf(survey, SURVEY, "text").alias("s")).select("doc_id", "key", "s.*"), "survey")
-    surveyed = store.write(with_copies(surveyed).select("doc_id", "key", "n_words", "full_sha256", "copy", F.when(~F.col("copy"), F.col("anchors")).alias("anchors")), "survey")
+    first, surveyed = surveyed, store.write(with_copies(surveyed).select("doc_id", "key", "n_words", "full_sha256", "copy", F.when(~F.col("copy"), F.col("anchors")).alias("anchors")), "survey")
+    store.drop(first)
     taking = surveyed.where(f"doc_id is not null and not copy and n_words >= {WINDOW}")
     total = taking.agg(F.sum("n_words")).first()[0] or 0
     shards, buckets = max(1, -(-total // SHARD_WORDS)), max(1, -(-total // TASK_WORDS))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
-    texts = store.write_bucketed(docs.where("doc_id is not null").select(shard("doc_id"), "doc_id", "key", "text"), "texts", "shard", buckets).groupBy("shard")
+    dealt = store.write_bucketed(docs.where("doc_id is not null").select(shard("doc_id"), "doc_id", "key", "text"), "texts", "shard", buckets)
+    texts = dealt.groupBy("shard")
     copies = surveyed.where("copy").select(shard("doc_id"), "doc_id", "key").distinct()
     given = lambda df: df.unionByName(copies, allowMissingColumns=True).groupBy("shard")
     anchors = taking.select(shard("doc_id"), "doc_id", F.explode("anchors").alias("anchor")).groupBy("shard", "anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     anchors = store.write(anchors, "anchors")
     recurring = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
     shared = store.write(anchors.select("shard", "anchor").join(recurring, "anchor"), "anchors")
+    store.drop(anchors)
     windows = texts.cogroup(given(shared)).applyInArrow(shard_windows, "window long, low long, high long")
     owned = windows.groupBy("window").agg(F.min("low").alias("owner"), F.max("high").alias("high")).where("owner < high").select(shard("owner"), "owner", "window")
-    passages = texts.cogroup(store.write(owned, "owned").groupBy("shard")).applyInArrow(shard_passages, "owner long, words binary, anchors array<long>")
+    owned = store.write(owned, "owned")
+    passages = texts.cogroup(owned.groupBy("shard")).applyInArrow(shard_passages, "owner long, words binary, anchors array<long>")
     passages = store.write(passages.withColumn("passage", F.xxhash64("owner", "words")), "passages")
     # which passages are compiled in which shards; words follow when that is known
     routes = passages.select("passage", F.explode("anchors").alias("anchor")).join(shared, "anchor").select("shard", "passage").distinct()
     routes = routes.join(passages.select("passage", "owner", "words"), "passage").drop("passage")
-    found = texts.cogroup(given(routes)).applyInArrow(shard_removals, REMOVED_DDL)
-    return surveyed.drop("anchors"), store.write(found, "runs")
+    found = store.write(texts.cogroup(given(routes)).applyInArrow(shard_removals, REMOVED_DDL), "runs")
+    store.drop(dealt, shared, owned, passages)
+    return surveyed.drop("anchors"), found
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
@@ -309,6 +314,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = surveyed.where("copy").select("doc_id", "key", whole.alias("runs"))
     cuts = found.select("doc_id", "key", "runs").unionByName(copies).groupBy(F.col("doc_id").alias("quill_id"), F.col("key").alias("quill_key")).agg(F.first("runs").alias("quill_runs"))
     cuts = store.write(cuts, "cuts")
+    store.drop(surveyed, found)
     both = docs.join(cuts, (docs["doc_id"] == cuts["quill_id"]) & (F.xxhash64(docs["text"]) == cuts["quill_key"]), "left")
     cut = both.withColumn("quill_text", F.when(F.col("quill_runs").isNotNull(), udf(cut_out, T.StringType(), "text", "quill_runs")))
     cut = cut.where("quill_text is null or quill_text <> ''").withColumn("text", F.coalesce("quill_text", "text"))
