@@ -43,6 +43,8 @@ BINS, ROWS, MOST_SIGNS = 128, 4, 40
 SMALL, BLOCK_SHINGLES, PAIRS_A_TASK = 16, 80_000, 8
 #: Pairs of one hub that are verified with one copy of its text.
 HUB_PAIRS = 1024
+#: Bytes of text that a task sketches at a time: its arrays take some 100 MB.
+SKETCHED = 4 << 20
 
 
 def similarity_sketch(rows: np.ndarray, found: np.ndarray, n_rows: int, bins: int = BINS) -> np.ndarray:
@@ -64,7 +66,11 @@ def similarity_sketch(rows: np.ndarray, found: np.ndarray, n_rows: int, bins: in
 
 
 def sketch_text(text: pa.Array) -> pa.Array:
-    """Per text: n_shingles, the set's hash (set1, set2), 128 sign bits (bits1, bits2) and its band keys."""
+    """Per text: n_shingles, the set's hash (set1, set2), 128 sign bits (bits1, bits2) and its band keys. Made for SKETCHED bytes of text at a time, whatever the batch's size."""
+    return joined([sketch_part(part) for part in slices(text, SKETCHED)], pa.struct([(f.name, pa.list_(pa.int64()) if f.name == "bands" else pa.int64()) for f in SKETCH]))
+
+
+def sketch_part(text: pa.Array) -> pa.Array:
     parts, base = [], 0
     for part in slices(text):
         rows, found = shingles(Words(part, lower=True), SHINGLE)

@@ -6,9 +6,11 @@ import glob
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.llm import minhash, store, substring
+from quillspark.llm.words import slices
 
 
 def tables(spark):
@@ -50,6 +52,17 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert not {x for x in files() - before if x.endswith(".data") and os.path.getsize(x) > 1000}
 
 
+def test_sketches_are_made_in_bounded_runs(monkeypatch):
+    text = pa.array([f"a{i} b{i} c d e f" * 20 for i in range(300)] + [None, ""])
+    whole = minhash.sketch_text(text)
+    sizes, part = [], minhash.sketch_part
+    monkeypatch.setattr(minhash, "SKETCHED", 4096)
+    monkeypatch.setattr(minhash, "sketch_part", lambda t: sizes.append(t.nbytes) or part(t))
+    assert minhash.sketch_text(text).equals(whole)
+    assert len(sizes) > 5 and len(sizes) == len(list(slices(text, 4096)))
+    assert minhash.sketch_text(text.slice(0, 0)).type == whole.type
+
+
 def test_near_dedup_keeps_rows_as_before_where_ids_repeat(spark):
     """A doc_id stays if any of its rows is the first of its group, one row of it only if several are; null ids stay."""
     text = " ".join(f"x{i}" for i in range(30))
