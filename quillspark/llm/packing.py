@@ -10,7 +10,7 @@
 So only the last sequence of a partition can be short, and padding is below one window a partition.
 
 Ids come from a public tokenizer's file, whose path is a parameter. Texts are cut at its added tokens, which have ids of their
-own, and between them at white space in the way of its own pre-tokenizer; each distinct piece is encoded once a task.
+own, and between them at white space in the way of its own pre-tokenizer; each distinct piece is encoded once a worker.
 
 Defined results: a null text is empty and has only its end id; equal rows are packed separately; extra columns are
 ignored; an empty table gives an empty result.
@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -51,8 +52,42 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class Spans:
+    """Pieces of bytes as a list has them, without an object for each until it is asked for."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends = data, starts, ends
+
+    @classmethod
+    def of(cls, pieces: list[bytes]) -> Spans:
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return cls(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __iter__(self) -> Iterator[bytes]:
+        raw = self.data.tobytes()
+        return (raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True))
+
+    def where(self, mask: np.ndarray) -> Spans:
+        return Spans(self.data, self.starts[mask], self.ends[mask])
+
+    def joined(self) -> bytes:
+        sizes = self.ends - self.starts
+        total = np.cumsum(sizes)
+        return self.data[np.repeat(self.starts - (total - sizes), sizes) + np.arange(sizes.sum())].tobytes()
+
+    def after_space(self) -> np.ndarray:
+        """Which are one space and then something else."""
+        long = np.flatnonzero(self.ends - self.starts > 1)
+        out = np.zeros(len(self), bool)
+        out[long] = (self.data[self.starts[long]] == 32) & (self.data[self.starts[long] + 1] != 32)
+        return out
+
+
 def load_tokenizer(path: str):
-    """A function from pieces (bytes) to all their ids and each one's number of ids; ranks have no added tokens.
+    """A function from pieces (a list of bytes, or Spans) to all their ids and each one's number of ids; ranks have no added tokens.
 
     path: a tokenizer's JSON, or a ranks file. Ranks encode the pieces that begin with a space as one text, in which
     each stays a pre-token of its own; the tokens' lengths in bytes tell where a piece ends.
@@ -74,13 +109,14 @@ def load_tokenizer(path: str):
     n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
     n_bytes[list(ranks.values())] = list(map(len, ranks))
 
-    def ids_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        spaced = np.fromiter((p[:1] == b" " and len(p) > 1 and p[1:2] != b" " for p in pieces), bool, len(pieces))
-        many = [p for p, x in zip(pieces, spaced.tolist(), strict=True) if x]
-        ids = np.array(own.encode_to_numpy(b"".join(many).decode(), disallowed_special=()), np.uint32)
-        ends = np.cumsum(np.fromiter(map(len, many), np.int64, len(many)))
+    def ids_of(pieces: list[bytes] | Spans) -> tuple[np.ndarray, np.ndarray]:
+        pieces = pieces if isinstance(pieces, Spans) else Spans.of(pieces)
+        spaced = pieces.after_space()
+        many = pieces.where(spaced)
+        ids = np.array(own.encode_to_numpy(many.joined().decode(), disallowed_special=()), np.uint32)
+        ends = np.cumsum(many.ends - many.starts)
         sizes = np.diff(np.searchsorted(np.cumsum(n_bytes[ids]), ends, "right"), prepend=0)
-        rest, rest_sizes = numbered([own.encode_ordinary(p.decode()) for p, x in zip(pieces, spaced.tolist(), strict=True) if not x])
+        rest, rest_sizes = numbered([own.encode_ordinary(p.decode()) for p in pieces.where(~spaced)])
         out = np.empty(len(pieces), np.int64)
         out[spaced], out[~spaced] = sizes, rest_sizes
         flat, of_spaced = np.empty(len(ids) + len(rest), np.uint32), np.repeat(spaced, out)
@@ -113,8 +149,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.rank: dict[int, int] = {}  # of a piece's hash
-        self.codes, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.hashes, self.rank = np.zeros(0, U), np.zeros(0, np.int64)  # of the pieces, by hash
+        self.codes, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)  # by rank
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; texts are cut at added tokens first, as each part is a text of its own to the pre-tokenizer."""
@@ -131,30 +167,40 @@ class Encoder:
         w = Words(column)
         starts, ends = pieces(w)
         row = np.searchsorted(w.offsets, starts, "right") - 1
-        distinct, first, back = np.unique(w.spans(starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.rank) + len(keys) > self.most:
-            self.clear()
-        known = list(map(self.rank.get, keys))
-        new = [k for k, r in enumerate(known) if r is None]
-        if new:
-            raw, at = w.data.tobytes(), first[new]
-            codes, sizes = self.ids_of([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            for k in new:
-                known[k] = self.rank[keys[k]] = len(self.rank)
-            self.codes, self.sizes = np.concatenate([self.codes, codes]), np.concatenate([self.sizes, sizes])
-        if not len(keys):
+        if not len(starts):
             return [np.zeros(0, np.uint32)] * len(column)
-        codes, sizes = self.codes, self.sizes
-        begins = np.cumsum(sizes) - sizes
-        rank = np.array(known, np.int64)[back]
-        n = sizes[rank]
+        hashes = w.spans(starts, ends)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        distinct, some = ordered[head], order[head]
+        if len(self.hashes) + len(distinct) > self.most:
+            self.clear()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = np.flatnonzero(at < len(self.hashes))
+        new[inside] = self.hashes[at[inside]] != distinct[inside]
+        if new.any():
+            codes, sizes = self.ids_of(Spans(w.data, starts[some[new]], ends[some[new]]))
+            begins = len(self.codes) + np.cumsum(sizes) - sizes
+            self.hashes, self.rank = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.rank, at[new], np.arange(len(sizes)) + len(self.sizes))
+            self.codes, self.begins, self.sizes = (np.concatenate(x) for x in ((self.codes, codes), (self.begins, begins), (self.sizes, sizes)))
+            at += np.cumsum(new) - new
+        rank = np.empty(len(starts), np.int64)
+        rank[order] = self.rank[at][np.cumsum(head) - 1]
+        n = self.sizes[rank]
         total = np.cumsum(n)
-        flat = codes[np.repeat(begins[rank] - (total - n), n) + np.arange(total[-1])]
+        flat = self.codes[np.repeat(self.begins[rank] - (total - n), n) + np.arange(total[-1])]
         per_row = np.bincount(row, n, len(column)).astype(np.int64)
         return np.split(flat, np.cumsum(per_row)[:-1])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that none loads the vocabulary again or encodes what an earlier one has."""
+    return Encoder(path)
+
+
 def pieces(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Where the pieces of all rows start and end: a word with the single space before it, and the other white space.
 
@@ -177,13 +223,19 @@ def pieces(w: Words) -> tuple[np.ndarray, np.ndarray]:
     gap_before[1:], gap_after[:-1] = ~inside[:-1], ~inside[1:]
     gap_before[edges], gap_after[edges - 1] = False, False
     low, high = np.flatnonzero(~inside & ~gap_before), np.flatnonzero(~inside & ~gap_after) + 1
-    at_end = np.isin(high, bounds)
-    last = np.empty(len(high), np.int64)  # where each run's last character begins
-    lead = np.concatenate([a for a, _ in whole]) if whole else np.zeros(0, np.int64)
-    lead.sort()
-    last[:] = lead[np.searchsorted(lead, high) - 1] if len(high) else 0
+    at_bound = np.zeros(len(inside) + 1, bool)
+    at_bound[bounds] = True
+    at_end = at_bound[high]
+    last = high - 1  # where each run's last character begins
+    if len(whole) > 1:
+        wide, size = (np.concatenate(x) for x in zip(*whole[1:], strict=True))
+        ends_wide = np.zeros(len(inside) + 1, np.int64)
+        ends_wide[wide + size] = size
+        last = high - np.maximum(1, ends_wide[high])
     single = (w.data[last] == 32) & ~at_end if len(high) else np.zeros(0, bool)
-    joined_to = np.isin(starts, high[single])
+    after_single = np.zeros(len(inside) + 1, bool)
+    after_single[high[single]] = True
+    joined_to = after_single[starts]
     cut = ~at_end & (low < last)
     alone = ~at_end & ~single
     all_starts = np.concatenate([starts - joined_to, low[at_end], low[cut], last[alone]])
@@ -207,7 +259,7 @@ def white_space(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Full windows as finished pieces; the rest of each document with its ids and its place in the order of similar texts."""
-    encoder, made = Encoder(path), 0
+    encoder, made = encoder_of(path), 0
     base = (1 << 62) | (TaskContext.get().partitionId() << 34)
     for batch in batches:
         ids, done = batch.column("doc_id").to_pylist(), 0

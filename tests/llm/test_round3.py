@@ -283,6 +283,49 @@ def test_op10_exponentials_of_far_values():
         assert np.log(sums) + top == pytest.approx(np.log(np.exp(want).sum(1)) + rows.max(1, initial=-1e9), rel=1e-5)
 
 
+# --- op5
+
+
+def test_op5_tasks_of_a_worker_share_what_is_encoded(monkeypatch):
+    """A second task loads no vocabulary and encodes only pieces that the first has not had."""
+    from types import SimpleNamespace
+
+    from quillspark.llm import packing
+
+    load, loaded, given = packing.load_tokenizer, [], []
+
+    def counted(path):
+        loaded.append(path)
+        ids_of = load(path)
+        return lambda pieces: (given.append(len(pieces)), ids_of(pieces))[1]
+
+    monkeypatch.setattr(packing, "load_tokenizer", counted)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    path = str(packing.tokenizer_path())
+    texts = ["one two  three\n", "", None, "two three one\u3000one"]
+    batch = lambda more: pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1), pa.int64()), pa.array([*texts, more])], ["doc_id", "text"])
+    if hasattr(packing, "encoder_of"):
+        packing.encoder_of.cache_clear()
+    first, again, other = (pa.Table.from_batches(packing.encode(iter([batch(more)]), path, 1)) for more in (" two", " two", " four four"))
+    assert first == again and len(loaded) == 1 and len(given) == 2 and given[1] == 1
+    assert other["ids"].to_pylist()[:-1] == first["ids"].to_pylist()[:-1]
+    if hasattr(packing, "encoder_of"):
+        packing.encoder_of.cache_clear()  # it holds the counting function
+
+
+def test_op5_encoder_forgets_at_its_bound():
+    from quillspark.llm import packing
+
+    parts = [" a", "b", " \n", "\u3000", "\u2003\t ", " é", "\x85", "漢字 ", "  ", *(f" w{k}" for k in range(40))]
+    texts = ["".join(R.choices(parts, k=R.randrange(30))) for _ in range(120)]
+    small, large = packing.Encoder(packing.tokenizer_path(), most=25), packing.Encoder(packing.tokenizer_path())
+    json = packing.Encoder(packing.tokenizer_path().replace(".tiktoken", ".json"))
+    for k in range(0, 120, 5):
+        column = pa.array([*texts[k : k + 5], None])
+        want = [x.tolist() for x in json(column)]
+        assert [x.tolist() for x in small(column)] == [x.tolist() for x in large(column)] == want
+
+
 # --- op3
 
 
