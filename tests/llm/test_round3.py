@@ -283,6 +283,60 @@ def test_op10_exponentials_of_far_values():
         assert np.log(sums) + top == pytest.approx(np.log(np.exp(want).sum(1)) + rows.max(1, initial=-1e9), rel=1e-5)
 
 
+def test_op10_long_document_read_last_is_not_trained_alone():
+    """Lanes stay full: the updates are those of all words side by side, also where the longest document comes last."""
+    from quillspark.llm import recurrent
+
+    net, calls = recurrent.Network(np.ones(12)), []
+    gradients = net.gradients
+    net.gradients = lambda *x: (calls.append(1), gradients(*x))[1]
+    rng = np.random.default_rng(5)
+    lengths = [20] * 4000 + [4900]
+    net.train((np.append(np.int32(recurrent.END), rng.integers(2, 12, n)) for n in lengths), steps=24, lanes=16)
+    assert len(calls) <= 1.02 * sum(lengths) / (24 * 16)
+
+
+def test_op10_steps_take_little_new_memory():
+    """Large arrays are used again: fresh pages took a third of a step's CPU seconds."""
+    import tracemalloc
+
+    from quillspark.llm import recurrent
+
+    rng = np.random.default_rng(6)
+    net = recurrent.Network(1e6 / np.arange(1, 4003.0))
+    x, y = np.minimum(rng.zipf(1.2, (2, 24, 256)), 4001)
+    h, ids = np.zeros((256, net.hidden), np.float32), x.ravel().astype(np.int64)
+    for call in (lambda: net.gradients(x, y, h), lambda: net.log_probs(np.zeros((len(ids), net.hidden), np.float32), ids)):
+        call()
+        tracemalloc.start()
+        call()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 2_500_000
+
+
+def test_op10_classes_of_far_logits():
+    """Logits out of an exponential's range take the way by their maxima, which gives what the plain way gives where both can go."""
+    from quillspark.llm import recurrent
+
+    rng = np.random.default_rng(7)
+    net = recurrent.Network(np.sort(rng.integers(1, 500, 60))[::-1].astype(float), classes=6)
+    net.w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in net.w.items()}
+    x, y, h = *rng.integers(0, 60, (2, 5, 4)), np.tanh(rng.standard_normal((4, net.hidden))).astype(np.float32)
+    assert net.tame()
+    plain, probs = net.gradients(x, y, h), net.log_probs(h, y[0], 1.3)
+    net.tame = lambda: False
+    other = net.gradients(x, y, h)
+    assert other[0] == pytest.approx(plain[0], rel=1e-5) and net.log_probs(h, y[0], 1.3) == pytest.approx(probs, abs=1e-5)
+    assert all(np.allclose(other[1][k], v, atol=1e-5) for k, v in plain[1].items())
+    del net.tame
+    net.w["to_symbol"] *= 3000
+    assert not net.tame()
+    assert np.exp([net.log_probs(h, np.full(4, k)) for k in range(60)]).sum(0) == pytest.approx(1, abs=2e-3)
+    loss, g, _ = net.gradients(x, y, h)
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+
+
 # --- op5
 
 
