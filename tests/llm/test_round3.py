@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quillspark.llm import alignment, audit, passages
@@ -101,6 +102,16 @@ def test_op13_blocks_and_forgotten_segments(spark, monkeypatch):
     assert Counter(map(tuple, alignment.align_documents(with_extras(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect())) == whole
 
 
+def test_op13_row_groups_hold_few_blocks(spark, monkeypatch):
+    """A reader of blocks has a whole row group in memory, so its rows must not grow with the task's."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 3000)
+    texts = [" ".join(f"w{R.randrange(4000)}" for _ in range(400)) for _ in range(90)]
+    blocks = alignment.blocks_of(with_extras(spark, [(i, t, "en") for i, t in enumerate(texts)]).coalesce(1))
+    footers = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert sum(f.num_rows for f in footers) >= 60
+    assert max(f.row_group(k).num_rows for f in footers for k in range(f.num_row_groups)) <= 4
+
+
 def test_op13_empty_and_without_tokens(spark):
     assert alignment.align_documents(with_extras(spark, [(1, None, None)])).collect() == [(1, 0, 0, 0, 0, 0, 0, "")]
     assert alignment.align_documents(with_extras(spark, [(1, None, None)]).where("doc_id > 5")).count() == 0
