@@ -271,8 +271,9 @@ def blocks_of(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> Dat
     """The written blocks of all documents."""
     paths = paths or default_paths()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # a few blocks a row group, so that writer and readers hold no more: its size is looked at after each row, not only after the first 100
-    return store.write(rows.mapInArrow(lambda it: make_blocks(it, paths), BLOCKS), "alignment", **{"parquet.block.size": 4 * BLOCK_BYTES, "parquet.page.size.row.check.min": 1})
+    # a few blocks a row group, so that writer and readers hold no more: its size is looked at after each row, and not first after 100 or when the size of the rows so far lets expect it
+    small = {"parquet.block.size": 4 * BLOCK_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    return store.write(rows.mapInArrow(lambda it: make_blocks(it, paths), BLOCKS), "alignment", **small)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

@@ -112,6 +112,16 @@ def test_op13_row_groups_hold_few_blocks(spark, monkeypatch):
     assert max(f.row_group(k).num_rows for f in footers for k in range(f.num_row_groups)) <= 4
 
 
+def test_op13_row_groups_after_a_small_block(spark, monkeypatch):
+    """A group's first block may be far smaller than those that follow."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 3000)
+    texts = ["w"] + [" ".join(f"w{R.randrange(4000)}" for _ in range(700)) for _ in range(60)]
+    blocks = alignment.blocks_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    footers = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert sum(f.num_rows for f in footers) == 61
+    assert max(f.row_group(k).num_rows for f in footers for k in range(f.num_row_groups)) <= 4
+
+
 def test_op13_empty_and_without_tokens(spark):
     assert alignment.align_documents(with_extras(spark, [(1, None, None)])).collect() == [(1, 0, 0, 0, 0, 0, 0, "")]
     assert alignment.align_documents(with_extras(spark, [(1, None, None)]).where("doc_id > 5")).count() == 0
